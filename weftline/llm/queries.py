@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weftline.llm import mixing
+from weftline.llm import mixing, packing
 
 QUERIES = {
+    "op6_packing": packing.op6_packing,
     "op9_mixing": mixing.op9_mixing,
 }
 
