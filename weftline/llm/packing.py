@@ -43,7 +43,12 @@ class ChunkTokenizer:
         self.parts: list[np.ndarray] = []
 
     def encode(self, chunks: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for x in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
+        """A chunk of letters a-z is the same before and after the tokenizer's normalising and
+        cutting, so its ids come straight from the tokenizer's model, which is faster."""
+        plain = [c.isascii() and c.isalpha() and c.islower() for c in chunks]
+        rest = iter(self.tok.encode_batch_fast([c for c, p in zip(chunks, plain, strict=True) if not p], add_special_tokens=False))
+        model = self.tok.model
+        return [np.array([t.id for t in model.tokenize(c)] if p else next(rest).ids, np.uint32) for c, p in zip(chunks, plain, strict=True)]
 
     def block(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a block, and each text's first id (one more than texts)."""
