@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weftline.llm import mixing, packing, pii
+from weftline.llm import mixing, packing, pii, toxicity
 
 QUERIES = {
+    "op5_toxicity": toxicity.op5_toxicity,
     "op1_pii": pii.op1_pii,
     "op6_packing": packing.op6_packing,
     "op9_mixing": mixing.op9_mixing,
