@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weftline.llm import mixing, packing, pii, toxicity
+from weftline.llm import mixing, packing, pii, topk, toxicity
 
 QUERIES = {
+    "op4_topk": topk.op4_topk,
     "op5_toxicity": toxicity.op5_toxicity,
     "op1_pii": pii.op1_pii,
     "op6_packing": packing.op6_packing,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_topk": topk.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
 }
