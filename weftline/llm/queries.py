@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weftline.llm import mixing, packing, pii, topk, toxicity
+from weftline.llm import html, mixing, packing, pii, topk, toxicity
 
 QUERIES = {
+    "op3_html": html.op3_html,
     "op4_topk": topk.op4_topk,
     "op5_toxicity": toxicity.op5_toxicity,
     "op1_pii": pii.op1_pii,
