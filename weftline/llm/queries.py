@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from weftline.llm import html, mixing, packing, pii, topk, toxicity
+import corpus_pipeline
+from weftline.llm import html, jaccard, mixing, packing, pii, topk, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op8_jaccard": jaccard.op8_jaccard,
     "op3_html": html.op3_html,
     "op4_topk": topk.op4_topk,
     "op5_toxicity": toxicity.op5_toxicity,
