@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from weftline.llm import html, jaccard, media, mixing, packing, pii, topk, toxicity
+from weftline.llm import html, jaccard, media, mixing, packing, pii, substrings, topk, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_topk": topk.op4_topk,
     "op5_toxicity": toxicity.op5_toxicity,
     "op2_media": media.op2_media,
+    "op10_substrings": substrings.op10_substrings,
     "op1_pii": pii.op1_pii,
     "op6_packing": packing.op6_packing,
     "op9_mixing": mixing.op9_mixing,
