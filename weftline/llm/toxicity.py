@@ -9,7 +9,6 @@ logistic regression over r-scaled features, of those with |r| over a bound, give
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import read_table, text_blocks, words
+from weftline.llm.common import mixed, read_table, text_blocks, words
 
 ORDERS = (3, 4, 5, 6)
 FEATURE_BITS = 20
@@ -32,15 +31,29 @@ DECAY = 1e-3
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def ngrams(chunk: str) -> set[int]:
-    """Hashed n-grams of a white-space chunk's words."""
-    out = set()
-    for w in _LETTERS.findall(chunk.lower()):
-        w = f" {w} "
-        for n in ORDERS:
-            for i in range(len(w) - n + 1):
-                out.add(zlib.crc32(w[i : i + n].encode()) & ((1 << FEATURE_BITS) - 1))
-    return out
+def ngrams(chunks: list[str], active: np.ndarray | None = None) -> list[np.ndarray]:
+    """Hashed n-grams of each white-space chunk's words, those of active alone where given."""
+    found = [_LETTERS.findall(c.lower()) for c in chunks]
+    texts = [f" {w} " for ws in found for w in ws]
+    of_chunk = np.repeat(np.arange(len(chunks)), [len(ws) for ws in found])
+    c = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    pairs = []
+    with np.errstate(over="ignore"):
+        h = np.zeros(len(c), np.uint64)
+        for n in range(1, min(max(ORDERS), len(c)) + 1):
+            m = len(c) - n + 1
+            h = h[:m] * np.uint64(0x9E3779B97F4A7C15) + c[n - 1 :] + np.uint64(1)
+            if n in ORDERS:
+                at = np.flatnonzero(word[:m] == word[n - 1 :])
+                f = (mixed(h[at]) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
+                if active is not None:
+                    keep = active[f]
+                    at, f = at[keep], f[keep]
+                pairs.append((of_chunk[word[at]] << FEATURE_BITS) | f)
+    pairs = np.unique(np.concatenate([*pairs, np.zeros(0, np.int64)]))
+    stops = np.searchsorted(pairs >> FEATURE_BITS, np.arange(1, len(chunks)))
+    return np.split(pairs & ((1 << FEATURE_BITS) - 1), stops)
 
 
 class Features:
@@ -49,24 +62,21 @@ class Features:
     def __init__(self, active: np.ndarray | None = None, memory: int = 300_000):
         self.active, self.memory, self.known = active, memory, {}
 
-    def of(self, chunk: str) -> np.ndarray:
-        f = np.fromiter(ngrams(chunk), np.int64)
-        return f if self.active is None else f[self.active[f]]
-
     def block(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Text number and feature of every distinct pair of a block, sorted."""
         starts, ends, h, first = words(data, off)
         keys, where, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) + len(keys) > self.memory:
             self.known.clear()
-        known, parts = self.known, []
-        for i, k in enumerate(keys.tolist()):
-            if (f := known.get(k)) is None:
-                f = known[k] = self.of(data[starts[where[i]] : ends[where[i]]].tobytes().decode())
-            parts.append(f)
+        known = self.known
+        new = [i for i, k in enumerate(keys.tolist()) if k not in known]
+        chunks = [data[starts[where[i]] : ends[where[i]]].tobytes().decode() for i in new]
+        known.update(zip(keys[new].tolist(), ngrams(chunks, self.active), strict=False))
+        parts = [known[k] for k in keys.tolist()]
         lens = np.array([len(f) for f in parts], np.int64)
         rows = np.repeat(np.arange(len(off) - 1), np.diff(first))
-        pairs = np.unique(rows * (len(keys) + 1) + back) if len(rows) else np.zeros(0, np.int64)
+        some = lens[back] > 0 if len(back) else np.zeros(0, bool)
+        pairs = np.unique(rows[some] * (len(keys) + 1) + back[some])
         rows, back = pairs // (len(keys) + 1), pairs % (len(keys) + 1)
         n = lens[back] if len(back) else np.zeros(0, np.int64)
         base, stop = np.cumsum(lens) - lens, np.cumsum(n)
