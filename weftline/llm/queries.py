@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from weftline.llm import html, jaccard, media, mixing, packing, pii, substrings, topk, toxicity
+from weftline.llm import html, jaccard, lm, media, mixing, packing, pii, substrings, topk, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op2_media": media.op2_media,
     "op10_substrings": substrings.op10_substrings,
+    "op7_lm": lm.op7_lm,
     "op1_pii": pii.op1_pii,
     "op6_packing": packing.op6_packing,
     "op9_mixing": mixing.op9_mixing,
