@@ -110,6 +110,10 @@ def mix(docs: DataFrame, size: str = "size", *, weights: tuple[int, ...] = WEIGH
     others pass through. Rows with a null doc_id count as any others."""
     added = ["source_size", "target", "taken", "copies", "rest_a", "rest_b"]
     docs = docs.drop(*added)
+    names = docs.columns
+    rest = [c for c in names if c not in ("doc_id", "source", size)]  # kept apart, whatever their names
+    docs = docs.select("doc_id", "source", F.col(size).alias("__size0"), F.struct(F.lit(0).alias("__none"), *rest).alias("__rest"))
+    own, size = size, "__size0"
     sources = materialised(docs.groupBy("source").agg(F.sum(size).alias("source_size"), F.count(F.lit(1)).alias("n_rows")), "sources")
     goal = targets(sources, weights, share)
     total = F.sum("target").over(Window.partitionBy(F.lit(0)))
@@ -149,7 +153,8 @@ def mix(docs: DataFrame, size: str = "size", *, weights: tuple[int, ...] = WEIGH
     copies = F.coalesce(F.col("__full"), F.lit(0)).cast("long")
     length = lambda c: F.coalesce(F.col(f"{c}.stop") - F.col(f"{c}.start"), F.lit(0))
     d = d.withColumn("copies", copies).withColumn("taken", (F.col("copies") * F.col(size) + length("rest_a") + length("rest_b")).cast("long"))
-    return d.select(*docs.columns, *added)
+    back = {"doc_id": F.col("doc_id"), "source": F.col("source"), own: F.col(size).alias(own)}
+    return d.select(*(back.get(c, F.col("__rest")[c].alias(c)) for c in names), *added)
 
 
 def mixed_texts(docs: DataFrame) -> DataFrame:
