@@ -59,6 +59,19 @@ def signature(tokens: np.ndarray) -> int:
         return int(mixed(np.array([mixed(tokens).sum(dtype=np.uint64) + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
 
 
+def sketch(tokens: np.ndarray) -> list[int]:
+    """512 bits: whether the tokens of each slot are odd in number. The bits in which two
+    sketches differ are no more than the tokens of which only one of the sets has each."""
+    odd = np.bincount((tokens & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def _close(sx: str, sy: str, nx: str, ny: str) -> Column:
+    """Whether two sketches let their sets be similar."""
+    apart = sum((F.bit_count(F.col(sx)[i].bitwiseXOR(F.col(sy)[i])) for i in range(8)), F.lit(0))
+    return apart <= F.col(nx) + F.col(ny) - 2 * F.ceil(3 * (F.col(nx) + F.col(ny)) / 7)
+
+
 def _slot_key(doc_id: int | None) -> int:
     return xxhash.xxh64_intdigest((doc_id or 0).to_bytes(8, "little", signed=True), 42)  # as Spark's xxhash64
 
@@ -83,7 +96,7 @@ class Join:
     def __init__(self, docs: DataFrame, k: int = WORDS):
         self.docs, self.k, self.spark = docs.select(F.col("doc_id").cast("long"), "text"), k, docs.sparkSession
         self.sets = materialised(self._sets(), "sets")
-        self.nodes = materialised(self.sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "nodes")
+        self.nodes = materialised(self.sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
         # texts of equal sets are read once: a filter of fixed size passes at least one document of each node
         self.chosen = self._shared_filter(self.nodes.select(F.xxhash64(F.coalesce("doc_id", F.lit(0))).alias("k")), "k")
 
@@ -95,10 +108,11 @@ class Join:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sets = [(signature(t) if len(t) else 0, len(t)) for _, _, t in token_sets([batch], k)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in sets], pa.int64()), pa.array([n for _, n in sets], pa.int64())], names=["doc_id", "node", "n"])
+                sets = [(signature(t) if len(t) else 0, len(t), sketch(t)) for _, _, t in token_sets([batch], k)]
+                types = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([s[i] for s in sets], t) for i, t in enumerate(types))], names=["doc_id", "node", "n", "sketch"])
 
-        return self.docs.mapInArrow(run, "doc_id long, node long, n long")
+        return self.docs.mapInArrow(run, "doc_id long, node long, n long, sketch array<long>")
 
     def heavy(self):
         """A table of fixed size of the tokens that stand last. As a function of the token it
@@ -121,25 +135,29 @@ class Join:
         return self._shared_filter(n.select(F.shiftleft("t", 24).alias("k")), "k")
 
     def index(self, heavy) -> DataFrame:
-        """key, node of the prefix tokens, of keys of two nodes at least, with m: how many."""
+        """key, node, rank (of the key in its node's order) and n (the node's tokens) of prefix
+        tokens, of keys of two nodes at least, with m: how many."""
         chosen, k = self.chosen, self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            schema = [("key", pa.int64()), ("node", pa.int64())]
-            keys, nodes, n = [], [], 0
+            schema = [("key", pa.int64()), ("node", pa.int64()), ("at", pa.int64())]
+            keys, nodes, ats, n = [], [], [], 0
             for t in chosen_sets(batches, chosen.value, k):
                 own = first_order(t, heavy.value)[: prefix_length(len(t))]
                 keys.append(own.view(np.int64))
                 nodes.append(np.full(len(own), signature(t)))
+                ats.append((np.arange(len(own)) << 32) | len(t))
                 n += len(own)
                 if n > 500_000:
-                    yield _flush([keys, nodes], schema)
-                    keys, nodes, n = [], [], 0
+                    yield _flush([keys, nodes, ats], schema)
+                    keys, nodes, ats, n = [], [], [], 0
             if keys:
-                yield _flush([keys, nodes], schema)
+                yield _flush([keys, nodes, ats], schema)
 
-        rows = self.docs.mapInArrow(run, "key long, node long")
-        return materialised(rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1"), "index")
+        rows = self.docs.mapInArrow(run, "key long, node long, at long")
+        rows = rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1")
+        rank, n = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+        return materialised(rows.select("key", "node", rank.alias("rank"), n.alias("n"), "m"), "index")
 
     def tokens_of(self, nodes: DataFrame) -> DataFrame:
         """node, tokens (8 bytes each, sorted) of at least the given nodes, a row for each."""
@@ -159,10 +177,10 @@ class Join:
     def links(self, pairs: DataFrame, shared: DataFrame) -> DataFrame:
         """x, y of the distinct pairs(x, y) that are similar."""
         # how many prefix tokens of the first order they share decides what they can share at most
-        n = self.nodes.select("node", "n")
+        n = self.nodes.select("node", "n", "sketch")
         pairs = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        pairs = pairs.join(n.withColumnsRenamed({"node": "x", "n": "nx"}), "x").join(n.withColumnsRenamed({"node": "y", "n": "ny"}), "y")
-        pairs = materialised(pairs.where("4 * least(nx, ny) >= 3 * greatest(nx, ny)"), "pairs")
+        pairs = pairs.join(n.withColumnsRenamed({"node": "x", "n": "nx", "sketch": "sx"}), "x").join(n.withColumnsRenamed({"node": "y", "n": "ny", "sketch": "sy"}), "y")
+        pairs = materialised(pairs.where("4 * least(nx, ny) >= 3 * greatest(nx, ny)").where(_close("sx", "sy", "nx", "ny")).select("x", "y", "nx", "ny"), "pairs")
         both = pairs.join(shared.withColumnsRenamed({"node": "x", "keys": "kx"}), "x").join(shared.withColumnsRenamed({"node": "y", "keys": "ky"}), "y")
         rest = F.greatest(*(F.floor(3 * F.col(c) / 4) for c in ("nx", "ny")))  # tokens after the longer prefix, at most
         both = both.where(F.size(F.array_intersect("kx", "ky")) + rest >= F.ceil(3 * (F.col("nx") + F.col("ny")) / 7)).select("x", "y")
@@ -177,15 +195,12 @@ class Join:
         shared = materialised(index.groupBy("node").agg(F.collect_set("key").alias("keys")), "shared")
         few = index.where(F.col("m") <= SMALL_GROUP)
         many = index.where(F.col("m") > SMALL_GROUP)
-        pairs = few.groupBy("key").agg(F.collect_set("node").alias("g")).select(F.explode(_all_pairs("g")).alias("p")).select("p.x", "p.y")
-        found = self.links(pairs.unionByName(_with_pivot(many.withColumn("root", F.col("node")), 0)), shared)
+        pairs = few.groupBy("key").agg(F.collect_set(F.struct("node", "rank", "n")).alias("g")).select(F.explode(_all_pairs("g")).alias("p"))
+        pairs = pairs.where(_first_common("p.a.n", "p.a.rank", "p.b.n", "p.b.rank")).select(F.col("p.a.node").alias("x"), F.col("p.b.node").alias("y"))
+        found = self.links(pairs.unionByName(_with_pivot(many)), shared)
         roots = components(found)
-        for turn in (1, 2):
-            own = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            pairs = _with_pivot(own, turn) if turn == 1 else _across(own)
-            found = found.unionByName(self.links(pairs, shared))
-            roots = components(found)
-        return roots
+        own = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(self.nodes.select("node", "sketch"), "node")
+        return components(found.unionByName(self.links(_across(own), shared)))
 
 
 def first_order(t: np.ndarray, heavy: np.ndarray) -> np.ndarray:
@@ -196,26 +211,40 @@ def first_order(t: np.ndarray, heavy: np.ndarray) -> np.ndarray:
 
 
 def _all_pairs(g: str) -> Column:
-    return F.expr(f"flatten(transform({g}, (a, i) -> transform(slice({g}, i + 2, size({g})), b -> struct(a as x, b as y))))")
+    return F.expr(f"flatten(transform({g}, (a, i) -> transform(slice({g}, i + 2, size({g})), b -> struct(a as a, b as b))))")
+
+
+def _first_common(nx: str, rx: str, ny: str, ry: str) -> Column:
+    """Whether two sets can be similar if this is their first common key: what is left of
+    either, this key included, must hold the least overlap."""
+    least = F.ceil(3 * (F.col(nx) + F.col(ny)) / 7)
+    return (F.col(nx) - F.col(rx) >= least) & (F.col(ny) - F.col(ry) >= least)
 
 
-def _with_pivot(own: DataFrame, turn: int) -> DataFrame:
-    """Each node of a key(key, node, root) with the key's pivot, if their roots differ."""
-    pivot = own.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")).alias("p"))
-    pivot = materialised(pivot.select("key", F.col("p.node").alias("pivot"), F.col("p.root").alias("proot")), "pivots")
-    return own.join(pivot, "key").where("root <> proot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct()
+def _with_pivot(own: DataFrame) -> DataFrame:
+    """Each node of a key with a pivot of about its size: the node that has the key first in
+    its order. Fewer tokens of its own stand before it, so it is the nearest to what a group
+    shares. Sizes of a class are similar enough for links."""
+    own = own.withColumn("size", F.floor(F.log("n") / F.log(F.lit(4 / 3))))
+    pivot = own.groupBy("key", "size").agg(F.min(F.struct("rank", F.xxhash64("node").alias("h"), "node", "n")).alias("p"))
+    pivot = materialised(pivot.select("key", "size", F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("p.rank").alias("rx")), "pivots")
+    return own.join(pivot, ["key", "size"]).where(_first_common("nx", "rx", "n", "rank")).select("x", F.col("node").alias("y")).distinct()
 
 
 def _across(own: DataFrame) -> DataFrame:
-    """All pairs of a key's nodes of different components: those outside the key's largest
-    component with every node of another one."""
-    own = materialised(own.select("key", "node", "root").distinct(), "own")
+    """All pairs of a key's nodes of different components that can be similar if the key is
+    their first common one: those outside the key's largest component with every node of
+    another one."""
+    own = materialised(own.select("key", "node", "root", "rank", "n", "sketch").dropDuplicates(["key", "node"]), "own")
     sizes = own.groupBy("key", "root").agg(F.count(F.lit(1)).alias("s"))
-    most = materialised(sizes.groupBy("key").agg(F.max(F.struct("s", "root")).alias("most"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.col("most.root").alias("most")), "most")
+    most = sizes.groupBy("key").agg(F.max(F.struct("s", "root")).alias("most"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    most = materialised(most.select("key", F.col("most.root").alias("most")), "most")
     mixed_keys = materialised(own.join(most, "key"), "mixed")
-    a = mixed_keys.where("root <> most").select("key", F.col("node").alias("x"), F.col("root").alias("rx"))
-    b = mixed_keys.select("key", F.col("node").alias("y"), F.col("root").alias("ry"))
-    return a.join(b, "key").where("rx <> ry").select("x", "y")
+    a = mixed_keys.where("root <> most").select("key", F.col("node").alias("x"), F.col("root").alias("rootx"), F.col("n").alias("nx"), F.col("rank").alias("rx"), F.col("sketch").alias("sx"))
+    b = mixed_keys.select("key", F.col("node").alias("y"), F.col("root").alias("rooty"), F.col("most").alias("mosty"), F.col("n").alias("ny"), F.col("rank").alias("ry"), F.col("sketch").alias("sy"))
+    # two nodes outside the largest component meet once
+    met = a.join(b, "key").where((F.col("rootx") != F.col("rooty")) & ((F.col("rooty") == F.col("mosty")) | (F.col("x") < F.col("y"))))
+    return met.where(_first_common("nx", "rx", "ny", "ry") & _close("sx", "sy", "nx", "ny")).select("x", "y").distinct()
 
 
 def share_prefix(tx: np.ndarray, ty: np.ndarray, multiple: np.uint64) -> bool:
