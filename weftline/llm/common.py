@@ -33,10 +33,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def short_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts are long rows: unless the session says otherwise, Arrow batches hold fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back. Its lineage ends there, so a
     lost executor costs no recomputation, and later joins see the table's true size."""
     spark = df.sparkSession
+    short_batches(spark)
     path = f"{shared_folder(spark)}/weftline/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
@@ -44,6 +52,7 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -118,7 +127,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def text_blocks(texts: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_blocks(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Blocks of whole texts of about size bytes: first row, bytes, offsets (one more than
     rows). Null counts as empty; a longer text is a block of its own."""
     texts = texts.cast(pa.large_string())

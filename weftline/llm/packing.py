@@ -31,7 +31,7 @@ class ChunkTokenizer:
     text are those of its white-space chunks in order, each chunk encoded once while the
     bounded memory holds it."""
 
-    def __init__(self, path: str, memory: int = 400_000):
+    def __init__(self, path: str, memory: int = 250_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker on each core

@@ -18,11 +18,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.llm.common import in_filter, key_filter, materialised, read_table
 
@@ -163,21 +163,15 @@ def document_counts(docs: DataFrame, wanted: DataFrame, stem: int = STEM) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Spark's xxhash64 of a string is XXH64 of its bytes with seed 42
-        hits: dict[str, bool] = {}
         for batch in batches:
             n: Counter[str] = Counter()
             for v in batch.column("text"):
                 terms = set(map(str.lower, _TERM.findall(v.as_py() or "")))
                 n.update(terms)
                 n.update({t[:stem] + "*" for t in terms})
-            new = [t for t in n if t not in hits]
-            if len(hits) > 500_000:
-                hits.clear()
-                new = list(n)
-            if new:
-                h = np.array([xxhash.xxh64_intdigest(t.encode(), 42) for t in new], np.uint64)
-                hits.update(zip(new, in_filter(bits.value, h).tolist(), strict=True))
-            kept = [(t, c) for t, c in n.items() if hits[t]]
+            h = np.array([xxhash.xxh64_intdigest(t.encode(), 42) for t in n], np.uint64)
+            hit = in_filter(bits.value, h).tolist() if n else []
+            kept = [x for x, y in zip(n.items(), hit, strict=True) if y]
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in kept], pa.string()), pa.array([c for _, c in kept], pa.int64())], names=["term", "n"])
 
     n = docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
@@ -252,35 +246,34 @@ def sanitised_texts(docs: DataFrame) -> DataFrame:
     null stays null. n_chars, where there is one, is counted anew for changed texts."""
     marks = sanitise_spans(docs).where("spans != ''").groupBy("text_key").agg(F.first("terms").alias("__terms"))
     marks = materialised(marks.withColumnRenamed("text_key", "__key"), "marks")
-    keyed = docs.withColumn("__base", _base_spans(F.col("text")))
-    plain = keyed.where("size(__base.spans) = 0").select(*docs.columns)
-    hit = keyed.where("size(__base.spans) > 0").join(marks, F.col("__base.key") == F.col("__key"), "left")
-    new = _masked_column(F.col("text"), F.col("__base.spans"), F.col("__terms"))
-    hit = hit.withColumn("text", new)
-    if "n_chars" in docs.columns:
-        hit = hit.withColumn("n_chars", F.length("text").cast("long"))
-    return plain.unionByName(hit.select(*docs.columns))
-
-
-def _base_spans(text: Column) -> Column:
-    @F.pandas_udf("struct<key: long, spans: array<string>>")
-    def run(s: pd.Series) -> pd.DataFrame:
-        spans = [find_base(t or "") for t in s]
-        return pd.DataFrame({"key": [_long(t or "") if x else 0 for t, x in zip(s, spans, strict=True)], "spans": [[f"{k}:{a}:{b}" for k, a, b in x] for x in spans]})
-
-    return run(text)
-
+    schema = docs.schema
+    keyed = T.StructType([*schema.fields, T.StructField("__text_key", T.LongType())])
 
-def _masked_column(text: Column, base: Column, terms: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(t: pd.Series, b: pd.Series, m: pd.Series) -> pd.Series:
-        out = []
-        for x, spans, own in zip(t, b, m, strict=True):
-            cut = [(k, int(p), int(q)) for k, p, q in (s.split(":") for s in spans)]
-            out.append(masked(x, cut, [(r["start"], r["stop"], r["action"]) for r in own] if own is not None else []))
-        return pd.Series(out)
-
-    return run(text, base, terms)
+    def split(batches: Iterator[pa.RecordBatch], with_spans: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [v.as_py() or "" for v in batch.column("text")]
+            hit = [bool(find_base(t)) for t in texts]
+            kept = batch.filter(pa.array([h == with_spans for h in hit], pa.bool_()))
+            if with_spans:
+                keys = pa.array([_long(t) for t, h in zip(texts, hit, strict=True) if h], pa.int64())
+                kept = pa.RecordBatch.from_arrays([*kept.columns, keys], names=keyed.names)
+            yield kept
+
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = []
+            for v, own in zip(batch.column("text"), batch.column("__terms").to_pylist(), strict=True):
+                text = v.as_py()
+                new.append(masked(text, find_base(text), [(r["start"], r["stop"], r["action"]) for r in own or []]))
+            columns = {n: batch.column(n) for n in schema.names} | {"text": pa.array(new, pa.string())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=schema.names)
+
+    plain = docs.mapInArrow(lambda b: split(b, False), schema)
+    hit = docs.mapInArrow(lambda b: split(b, True), keyed).join(marks, F.col("__text_key") == F.col("__key"), "left")
+    hit = hit.select(*(F.col(c) for c in schema.names), "__terms").mapInArrow(mask, schema)
+    if "n_chars" in docs.columns:
+        hit = hit.withColumn("n_chars", F.length("text").cast("long")).select(*schema.names)
+    return plain.unionByName(hit)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

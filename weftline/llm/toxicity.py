@@ -59,7 +59,7 @@ def ngrams(chunks: list[str], active: np.ndarray | None = None) -> list[np.ndarr
 class Features:
     """Sets of features of texts. Chunks' own features are kept in a bounded memory."""
 
-    def __init__(self, active: np.ndarray | None = None, memory: int = 300_000):
+    def __init__(self, active: np.ndarray | None = None, memory: int = 150_000):
         self.active, self.memory, self.known = active, memory, {}
 
     def block(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
