@@ -105,7 +105,8 @@ def features(payload: bytes) -> str:
 
 
 def manifests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (its sha256), media_bytes and the ordered digests of its chunks."""
+    """doc_id, n_bytes, media (the file's digest), media_bytes and the ordered digests of its
+    chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,12 +114,12 @@ def manifests(docs: DataFrame) -> DataFrame:
             for v in batch.column("text"):
                 n, payload = payload_of(v.as_py())
                 media = encoded(payload)
-                rows.append((n, hashlib.sha256(media).hexdigest(), len(media), [digest(c) for c in chunked(media)]))
-            types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.binary())]
+                rows.append((n, digest(media), len(media), [digest(c) for c in chunked(media)]))
+            types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.binary())]
             cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "n_bytes", "media", "media_bytes", "digests"])
 
-    schema = "doc_id long, n_bytes long, media string, media_bytes long, digests array<binary>"
+    schema = "doc_id long, n_bytes long, media binary, media_bytes long, digests array<binary>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -137,30 +138,30 @@ class ChunkStore:
         # copies of a file are read once: the filter passes at least one document of each
         owners = spark.sparkContext.broadcast(key_filter(self.files.select(F.xxhash64("doc_id").alias("k")), "k"))
 
-        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], list[bytes], bool]]:
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[bytes], list[bytes], bool]]:
             for batch in batches:
                 keys = [xxhash.xxh64_intdigest((x or 0).to_bytes(8, "little", signed=True), 42) for x in batch.column("doc_id").to_pylist()]
                 for v in batch.filter(pa.array(in_filter(owners.value, np.array(keys, np.uint64)))).column("text"):
                     media = encoded(payload_of(v.as_py())[1])
                     bodies = chunked(media)
                     digests = [digest(c) for c in bodies]
-                    yield hashlib.sha256(media).hexdigest(), digests, bodies, bool(in_filter(shared.value, _filter_keys(digests)).any())
+                    yield digest(media), digests, bodies, bool(in_filter(shared.value, _filter_keys(digests)).any())
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in _lots((m, d, b) for m, d, b, s in chosen(batches) if not s):
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), *(pa.array([r[i] for r in rows], pa.list_(pa.binary())) for i in (1, 2))], names=["media", "digests", "bodies"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), *(pa.array([r[i] for r in rows], pa.list_(pa.binary())) for i in (1, 2))], names=["media", "digests", "bodies"])
 
         def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in _lots(x for _, d, b, s in chosen(batches) if s for x in zip(d, b, strict=True)):
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], names=["digest", "body"])
 
         texts = docs.select(F.col("doc_id").cast("long"), "text")
-        self.whole = materialised(texts.mapInArrow(whole, "media string, digests array<binary>, bodies array<binary>"), "whole")
+        self.whole = materialised(texts.mapInArrow(whole, "media binary, digests array<binary>, bodies array<binary>"), "whole")
         chunks = texts.mapInArrow(parts, "digest binary, body binary").groupBy("digest").agg(F.first("body").alias("body"))
         self.chunks = materialised(chunks, "chunks")
 
     def read(self) -> DataFrame:
-        """media, media_bytes, payload_bytes, payload_sha256, tail_crc32 and feature of every
+        """media, media_sha256, media_bytes, payload_bytes, payload_sha256, tail_crc32 and feature of every
         file, from its stored bytes; a file that does not have its digest is an error."""
         stored = self.whole.select("media", "bodies")
         refs = self.files.join(self.whole.select("media"), "media", "left_anti").select("media", F.posexplode("digests").alias("pos", "digest"))
@@ -172,17 +173,19 @@ class ChunkStore:
                 rows = []
                 for name, bodies in zip(batch.column("media").to_pylist(), batch.column("bodies"), strict=True):
                     media = b"".join(bodies.as_py())
-                    if hashlib.sha256(media).hexdigest() != name:
-                        raise ValueError(f"the chunks of {name} make another file")
+                    if digest(media) != name:
+                        raise ValueError(f"the chunks of {name.hex()} make another file")
                     p = decoded(media)
-                    rows.append((name, len(media), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), features(p)))
-                types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-                names = ["media", "media_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "feature"]
+                    rows.append((name, hashlib.sha256(media).hexdigest(), len(media), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), features(p)))
+                types = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+                names = ["media", "media_sha256", "media_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "feature"]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
-        schema = "media string, media_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+        schema = "media binary, media_sha256 string, media_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
         found = stored.mapInArrow(run, schema).unionByName(rebuilt.mapInArrow(run, schema))
-        return materialised(found.dropDuplicates(["media"]), "read")
+        if stored.count() > stored.select("media").distinct().count():  # the filter passed copies of a file too
+            found = found.dropDuplicates(["media"])
+        return materialised(found, "read")
 
 
 def _lots(rows: Iterator[tuple], size: int = 512) -> Iterator[list[tuple]]:
@@ -207,7 +210,7 @@ def media_features(docs: DataFrame) -> DataFrame:
     store = ChunkStore(docs)
     light = store.manifest.select("doc_id", "n_bytes", "media")
     out = light.join(store.read(), "media")
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("media").alias("media_sha256"), "feature")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
