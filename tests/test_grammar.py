@@ -32,7 +32,7 @@ def test_any_grammar_counts(spark):
 
 
 def test_corpus(spark):
-    rows = registry.lg_corpus_errors(spark, SF).collect()
+    rows = registry.gr_corpus_errors(spark, SF).collect()
     assert len(rows) == 10 and not any(r["error"] for r in rows), rows
 
 

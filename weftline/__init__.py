@@ -1 +1 @@
-"""Link-grammar analytics and training-data preparation on Spark DataFrames."""
+"""Grammatical analysis of text and preparation of training data on Spark DataFrames."""

@@ -19,42 +19,36 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.lookup(sentences.tokens(sentences.sentences(texts, KEYS[:2]), KEYS), KEYS)
 
 
-def lg_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gr_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of conversations and their tokens, the wall not counted."""
     return _words(spark, sf_dir).groupBy(*KEYS).agg((F.count(F.lit(1)) - 1).alias("n_tokens"))
 
 
-def lg_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gr_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How words are found: by the dictionary, by a pattern, or not at all."""
     return _words(spark, sf_dir).where("w > 0").groupBy("classname", "how").agg(F.count(F.lit(1)).alias("n"))
 
 
-def lg_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gr_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and clauses of each class of the grammar."""
     words = grammar.morphemes(spark).groupBy("classname").agg(F.countDistinct("morpheme").alias("n_words"))
     rows = grammar.clauses(spark).groupBy("classname").agg(F.count(F.lit(1)).alias("n_clauses"), F.min("cost").alias("least_cost"))
     return rows.join(words, "classname", "left").select("classname", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), "n_clauses", "least_cost")
 
 
-def lg_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gr_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of connectors of a sentence's clauses that match, by link name."""
     c = parsing.sentence_clauses(_words(spark, sf_dir), KEYS)
     return parsing.partners(parsing.connectors(c, KEYS), KEYS).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-def lg_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gr_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses of each sentence that pruning leaves."""
     c = parsing.sentence_clauses(_words(spark, sf_dir), KEYS)
     return parsing.pruned(c, KEYS).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_clauses"), F.countDistinct("w").alias("n_words"))
 
 
-def lg_parse_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of conversations that parse, and in how many ways."""
-    c = parsing.sentence_clauses(_words(spark, sf_dir), KEYS)
-    return parsing.parse_counts(parsing.pruned(c, KEYS), KEYS)
-
-
-def lg_corpus_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gr_corpus_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled corpus: parses of each sentence, and whether they contradict its label."""
     corpus = spark.createDataFrame(evaluation.CORPUS, "line int, label string, sentence string")
     words = sentences.lookup(sentences.tokens(corpus, ["line"]), ["line"])
@@ -62,8 +56,8 @@ def lg_corpus_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.errors(corpus, counts).select("line", "label", "sentence", "n_parses", "error")
 
 
-FLAGSHIP = "lg_links"
-QUERIES = {f.__name__: f for f in (lg_tokens, lg_lookup, lg_categories, lg_links, lg_pruned, lg_parse_counts, lg_corpus_errors)}
+FLAGSHIP = "gr_links"
+QUERIES = {f.__name__: f for f in (gr_tokens, gr_lookup, gr_categories, gr_links, gr_pruned, gr_corpus_errors)}
 
 
 # --- SQL ---
@@ -111,12 +105,12 @@ def _connector_rows() -> tuple[list[tuple], list[tuple]]:
 
 _ROWS, _NAMES = _connector_rows()
 ORACLE_SQL = {
-    "lg_tokens": f"WITH {_WORDS} SELECT conv_id, turn, s, count(*) - 1 AS n_tokens FROM words GROUP BY ALL",
-    "lg_lookup": f"WITH {_WORDS} SELECT classname, how, count(*) AS n FROM words WHERE w > 0 GROUP BY ALL",
-    "lg_categories": f"""WITH d AS (SELECT c, count(DISTINCT m) AS n FROM (VALUES {_values([*_CLOSED, ("LEFT-WALL", "LEFT-WALL")])}) t(m, c) GROUP BY c)
+    "gr_tokens": f"WITH {_WORDS} SELECT conv_id, turn, s, count(*) - 1 AS n_tokens FROM words GROUP BY ALL",
+    "gr_lookup": f"WITH {_WORDS} SELECT classname, how, count(*) AS n FROM words WHERE w > 0 GROUP BY ALL",
+    "gr_categories": f"""WITH d AS (SELECT c, count(DISTINCT m) AS n FROM (VALUES {_values([*_CLOSED, ("LEFT-WALL", "LEFT-WALL")])}) t(m, c) GROUP BY c)
 SELECT classname, coalesce(max(d.n), 0)::BIGINT AS n_words, count(*) AS n_clauses, min(cost)::DOUBLE AS least_cost
 FROM (VALUES {_values(grammar.CLAUSES)}) t(classname, disjunct, cost) LEFT JOIN d ON d.c = classname GROUP BY classname""",
-    "lg_links": f"""WITH {_WORDS},
+    "gr_links": f"""WITH {_WORDS},
 con AS (SELECT * FROM (VALUES {_values(_ROWS)}) t(classname, d, nl, nr, i, dir, uc, lc)),
 placed AS (SELECT *, max(w) OVER (PARTITION BY conv_id, turn, s) AS last FROM words),
 cons AS (SELECT p.conv_id, p.turn, p.s, p.w, con.* FROM placed p JOIN con ON p.classname = con.classname WHERE nl <= w AND nr <= last - w)
