@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.connectors import link_name, parsed, subtypes_match
@@ -62,49 +65,94 @@ def pruned(clauses: DataFrame, keys: list[str]) -> DataFrame:
     return left
 
 
-def parse_counts(clauses: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and n_parses: the planar linkages of each sentence in which every word is linked,
-    all with one at least.
+@dataclass(frozen=True)
+class Payload:
+    """What a span carries: the empty span (its left word, that word's clause and cost), two
+    spans side by side, a span whose ends get linked, and all ways to one state together."""
+
+    unit: Callable[[Column, Column, Column], Column]
+    joined: Callable[[Column, Column], Column]
+    linked: Callable[[Column, Column, Column, Column], Column]
+    total: Callable[[Column], Column]
+
+
+def counted() -> Payload:
+    """The number of ways, up to MOST."""
+    whole = lambda c: c.cast("decimal(38,0)")
+    return Payload(lambda w, d, cost: whole(F.lit(1)), lambda a, b: a * b, lambda n, lw, rw, name: n, lambda n: whole(F.least(F.sum(n), F.lit(MOST))))
+
+
+def ranked(most: int) -> Payload:
+    """The best linkages in order of cost, length of links, and links: as many as asked for."""
+    best = lambda c: F.slice(F.array_sort(c), 1, most)
+    row = lambda cost, length, links, chosen: F.struct(cost.alias("cost"), length.alias("length"), links.alias("links"), chosen.alias("clauses"))
+    none = lambda: F.expr("cast(array() as array<struct<lw:int,rw:int,name:string>>)")
+    both = lambda x, y: row(x["cost"] + y["cost"], x["length"] + y["length"], F.concat(x["links"], y["links"]), F.concat(x["clauses"], y["clauses"]))
+    link = lambda x, lw, rw, name: row(x["cost"], x["length"] + rw - lw - 1, F.concat(x["links"], F.array(F.struct(lw.alias("lw"), rw.alias("rw"), name.alias("name")))), x["clauses"])
+    return Payload(
+        lambda w, d, cost: F.array(row(F.round(cost * 1e6).cast("long"), F.lit(0), none(), F.array(F.struct(w.alias("w"), d.alias("d"))))),
+        lambda a, b: best(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: both(x, y))))),
+        lambda n, lw, rw, name: F.transform(n, lambda x: link(x, lw, rw, name)),
+        lambda n: best(F.flatten(F.collect_list(n))),
+    )
+
+
+def parse_counts(clauses: DataFrame, keys: list[str], max_null: int = 0) -> DataFrame:
+    """keys, nulls and n_parses: the planar linkages of each sentence in which every word is
+    linked, but for as few words as allow one, max_null at most."""
+    return _least_nulls(chart(clauses, keys, counted(), max_null), keys).select(*keys, "nulls", F.col("n").cast("long").alias("n_parses"))
+
+
+def linkages(clauses: DataFrame, keys: list[str], most: int, max_null: int = 0) -> DataFrame:
+    """keys, rank (from 1), nulls, cost, length, links(lw, rw, name) and clauses(w, d) of each
+    sentence's best linkages, as many as asked for: by cost, length of links, and links."""
+    found = _least_nulls(chart(clauses, keys, ranked(most), max_null), keys)
+    rows = found.select(*keys, "nulls", F.posexplode("n").alias("rank", "x"))
+    return rows.select(*keys, (F.col("rank") + 1).alias("rank"), "nulls", (F.col("x.cost") / 1e6).alias("cost"), "x.length", F.array_sort("x.links").alias("links"), F.array_sort("x.clauses").alias("clauses"))
+
+
+def _least_nulls(whole: DataFrame, keys: list[str]) -> DataFrame:
+    return whole.groupBy(*keys).agg(F.min(F.struct("nulls", "n")).alias("x")).select(*keys, "x.*")
+
+
+def chart(clauses: DataFrame, keys: list[str], pay: Payload, max_null: int) -> DataFrame:
+    """keys, nulls and n: the payload of each sentence's linkages with so many unlinked words.
 
     A state is the span between words lw and rw, with what is still to link of lw's clause to
-    the right (l connectors of it, the nearest ones) and of rw's to the left (r). Its count is
-    a sum over the word between them that takes lw's farthest connector, or, if lw has none
-    left, rw's; spans are joined from shorter to longer ones, all sentences at once."""
-    # a word without clauses leaves its sentence without parses
-    full = clauses.groupBy(*keys).agg(F.countDistinct("w").alias("__n"), F.first("last").alias("__last")).where("__n = __last + 1").select(*keys)
-    left = clauses.join(full, keys, "left_semi").select(*keys, "w", "last", "d", "left", "right")
-    end = left.select(*keys, "last").distinct().select(*keys, (F.col("last") + 1).alias("w"), "last", F.lit(0).alias("d"), F.expr("cast(array() as array<struct<text:string,multi:boolean,hd:string,uc:string,lc:string,dir:string>>)").alias("left"))
+    the right (l connectors of it, the nearest ones) and of rw's to the left (r), and how many
+    words inside are unlinked. Its payload is a total over the word between them that takes
+    lw's farthest connector, or, if lw has none left, rw's; spans are joined from shorter to
+    longer ones, all sentences at once."""
+    # no linkage leaves more than max_null words without a clause
+    full = clauses.groupBy(*keys).agg(F.countDistinct("w").alias("__n"), F.first("last").alias("__last")).where(F.col("__n") + max_null > F.col("__last")).select(*keys)
+    left = clauses.join(full, keys, "left_semi").select(*keys, "w", "last", "d", "cost", "left", "right")
+    end = left.select(*keys, "last").distinct().select(*keys, (F.col("last") + 1).alias("w"), "last", F.lit(0).alias("d"), F.lit(0.0).alias("cost"), F.expr("cast(array() as array<struct<text:string,multi:boolean,hd:string,uc:string,lc:string,dir:string>>)").alias("left"))
     end = end.withColumn("right", F.col("left"))
     nodes = cut(left.unionByName(end))
-    longest = nodes.agg(F.max("w")).first()[0]
-    if longest is None:
-        return clauses.select(*keys).limit(0).withColumn("n_parses", F.lit(0).cast("long"))
-    a = nodes.select(*keys, F.col("w").alias("lw"), F.col("d").alias("ld"))
+    longest = nodes.agg(F.max("w")).first()[0] or 0
+    a = nodes.select(*keys, F.col("w").alias("lw"), F.col("d").alias("ld"), "cost", F.explode(F.sequence(F.col("w") + 1, F.col("w") + 1 + max_null)).alias("rw"))
     b = nodes.select(*keys, F.col("w").alias("rw"), F.col("d").alias("rd"))
-    zero = F.lit(0)
-    state = [*keys, "lw", "rw", "ld", "rd", "l", "r"]
-    near = a.join(b, keys).where("rw = lw + 1")
-    spans = cut(near.select(*keys, "lw", "rw", "ld", "rd", zero.alias("l"), zero.alias("r"), F.lit(1).cast("decimal(38,0)").alias("n")))
+    state = [*keys, "lw", "rw", "ld", "rd", "l", "r", "nulls"]
+    near = a.join(b, [*keys, "rw"]).withColumns({"l": F.lit(0), "r": F.lit(0), "nulls": F.col("rw") - F.col("lw") - 1})
+    spans = cut(near.select(*state, pay.unit(F.col("lw"), F.col("ld"), F.col("cost")).alias("n")))
     pairs = cut(partners(connectors_by_side(nodes, keys), keys))
     sizes = nodes.select(*keys, F.col("w"), F.col("d"), F.size("left").alias("nl"), F.size("right").alias("nr"), F.transform("left", lambda c: c["multi"]).alias("ml"), F.transform("right", lambda c: c["multi"]).alias("mr"))
+    mid_right = lambda df: df.select(*keys, "lw", "ld", "l", F.col("rw").alias("m"), F.col("rd").alias("md"), F.col("nulls").alias("u1"), F.col("n").alias("n1"))
+    mid_left = lambda df: df.select(*keys, F.col("lw").alias("m"), F.col("ld").alias("md"), "rw", "rd", "r", F.col("nulls").alias("u2"), F.col("n").alias("n2"))
     for length in range(2, longest + 1):
-        left_linked, right_linked = _linked(spans, pairs, sizes, keys)
+        left_linked, right_linked = _linked(spans, pairs, sizes, keys, pay)
         left_linked, right_linked = cut(left_linked), cut(right_linked)
-        mid = lambda df, c, o: df.withColumnsRenamed({c: "m", o: "md"})
         # the word between takes lw's farthest connector; on its other side it may take rw's or not
         open_right = spans.join(sizes.select(*keys, F.col("w").alias("lw"), F.col("d").alias("ld"), F.col("nr")), [*keys, "lw", "ld"]).where("l = nr").drop("nr")
         open_left = spans.join(sizes.select(*keys, F.col("w").alias("rw"), F.col("d").alias("rd"), F.col("nl")), [*keys, "rw", "rd"]).where("r = nl and l = 0").drop("nl")
-        right_any = mid(right_linked.select(*state, "n").unionByName(open_right.select(*state, "n")), "lw", "ld").select(*keys, "m", "md", "rw", "rd", "r", F.col("n").alias("n2"))
-        one = mid(left_linked, "rw", "rd").select(*keys, "lw", "ld", "l", "m", "md", F.col("n").alias("n1")).join(right_any, [*keys, "m", "md"])
-        two = mid(open_left, "rw", "rd").select(*keys, "lw", "ld", "l", "m", "md", F.col("n").alias("n1")).join(
-            mid(right_linked, "lw", "ld").select(*keys, "m", "md", "rw", "rd", "r", F.col("n").alias("n2")), [*keys, "m", "md"]
-        )
-        new = one.unionByName(two).where(F.col("rw") - F.col("lw") == length)
-        new = new.groupBy(*state).agg(F.least(F.sum(F.col("n1") * F.col("n2")), F.lit(MOST)).cast("decimal(38,0)").alias("n"))
-        spans = cut(spans.unionByName(new))
+        right_any = mid_left(right_linked.select(*state, "n").unionByName(open_right.select(*state, "n")))
+        one = mid_right(left_linked).join(right_any, [*keys, "m", "md"])
+        two = mid_right(open_left).join(mid_left(right_linked), [*keys, "m", "md"])
+        new = one.unionByName(two).where((F.col("rw") - F.col("lw") == length) & (F.col("u1") + F.col("u2") <= max_null))
+        new = new.withColumn("nulls", F.col("u1") + F.col("u2")).withColumn("n", pay.joined(F.col("n1"), F.col("n2")))
+        spans = cut(spans.unionByName(new.groupBy(*state).agg(pay.total(F.col("n")).alias("n"))))
     whole = spans.join(nodes.where("w = 0").select(*keys, F.col("d").alias("ld"), F.col("last"), F.size("right").alias("nr")), [*keys, "ld"])
-    whole = whole.where("lw = 0 and rw = last + 1 and l = nr and r = 0").groupBy(*keys).agg(F.least(F.sum("n"), F.lit(MOST)).cast("long").alias("n_parses"))
-    return whole
+    return whole.where("lw = 0 and rw = last + 1 and l = nr and r = 0").groupBy(*keys, "nulls").agg(pay.total(F.col("n")).alias("n"))
 
 
 def connectors_by_side(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -113,7 +161,7 @@ def connectors_by_side(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return one("left").unionByName(one("right"))
 
 
-def _linked(spans: DataFrame, pairs: DataFrame, sizes: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+def _linked(spans: DataFrame, pairs: DataFrame, sizes: DataFrame, keys: list[str], pay: Payload) -> tuple[DataFrame, DataFrame]:
     """Spans whose end words are linked to each other besides what is inside: with the left
     word's next connector and all of the right word's left side used up, and the mirror image.
     A connector that may link again stays as well."""
@@ -121,12 +169,12 @@ def _linked(spans: DataFrame, pairs: DataFrame, sizes: DataFrame, keys: list[str
     on = [F.col(f"s.{k}") == F.col(f"p.{k}") for k in [*keys, "lw", "rw", "ld", "rd"]]
     lmulti = sizes.select(*[F.col(k).alias(f"a_{k}") for k in keys], F.col("w").alias("a_w"), F.col("d").alias("a_d"), F.col("mr"), F.col("nr"))
     rmulti = sizes.select(*[F.col(k).alias(f"b_{k}") for k in keys], F.col("w").alias("b_w"), F.col("d").alias("b_d"), F.col("ml"), F.col("nl"))
-    both = s.join(p, on).select(*[F.col(f"s.{k}").alias(k) for k in keys], "s.lw", "s.rw", "s.ld", "s.rd", "s.l", "s.r", "s.n", "p.li", "p.ri")
+    both = s.join(p, on).select(*[F.col(f"s.{k}").alias(k) for k in keys], "s.lw", "s.rw", "s.ld", "s.rd", "s.l", "s.r", "s.nulls", "s.n", "p.li", "p.ri", "p.name")
     both = both.join(lmulti, [*(F.col(k) == F.col(f"a_{k}") for k in keys), F.col("lw") == F.col("a_w"), F.col("ld") == F.col("a_d")])
     both = both.join(rmulti, [*(F.col(k) == F.col(f"b_{k}") for k in keys), F.col("rw") == F.col("b_w"), F.col("rd") == F.col("b_d")])
     again = lambda i, have, multi: (F.col(i) == F.col(have) + 1) | ((F.col(i) == F.col(have)) & F.element_at(multi, F.greatest(F.col(i), F.lit(1))))
     both = both.where(again("li", "l", "mr") & again("ri", "r", "ml"))
-    rows = both.select(*keys, "lw", "rw", "ld", "rd", F.col("li").alias("l"), F.col("ri").alias("r"), "n", "nl", "nr")
-    state = [*keys, "lw", "rw", "ld", "rd", "l", "r"]
-    total = lambda df: df.groupBy(*state).agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+    rows = both.select(*keys, "lw", "rw", "ld", "rd", F.col("li").alias("l"), F.col("ri").alias("r"), "nulls", pay.linked(F.col("n"), F.col("lw"), F.col("rw"), F.col("name")).alias("n"), "nl", "nr")
+    state = [*keys, "lw", "rw", "ld", "rd", "l", "r", "nulls"]
+    total = lambda df: df.groupBy(*state).agg(pay.total(F.col("n")).alias("n"))
     return total(rows.where("r = nl")), total(rows.where("l = nr"))

@@ -36,3 +36,14 @@ def lookup(toks: DataFrame, keys: list[str]) -> DataFrame:
     rule = F.coalesce(*(F.when(F.col("__k").rlike(p), F.lit(c)) for _, _, p, c in sorted(grammar.PATTERNS)))
     how = F.when(F.col("__c").isNotNull(), "dict").when(rule.isNotNull(), "regex").otherwise("unknown")
     return found.select(*keys, "w", "word", F.coalesce("__c", rule, F.lit("noun")).alias("classname"), how.alias("how"))
+
+
+def stems(toks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, w, stem and suffix of every way to split a suffix of the grammar's list off a
+    word: an equi-join on the word's last letters with a table of fixed size."""
+    rows = [(x,) for x in grammar.SUFFIXES]
+    suffixes = F.broadcast(toks.sparkSession.createDataFrame(rows, "suffix string"))
+    sizes = F.explode(F.array(*(F.lit(n) for n in sorted({len(x) for x in grammar.SUFFIXES}))))
+    cut = toks.select(*keys, "w", F.lower("word").alias("k"), sizes.alias("n")).where(F.length("k") >= F.col("n") + grammar.STEM_LETTERS)
+    cut = cut.select(*keys, "w", F.expr("substring(k, 1, length(k) - n)").alias("stem"), F.expr("right(k, n)").alias("suffix"))
+    return cut.join(suffixes, "suffix").select(*keys, "w", "stem", "suffix")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.connectors import CONNECTOR
-from weftline.operators import evaluation, parsing, sentences
+from weftline.operators import evaluation, generation, parsing, postprocess, sentences
 from weftline.sources import grammar
 
 KEYS = ["conv_id", "turn", "s"]
@@ -51,13 +51,48 @@ def gr_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gr_corpus_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled corpus: parses of each sentence, and whether they contradict its label."""
     corpus = spark.createDataFrame(evaluation.CORPUS, "line int, label string, sentence string")
-    words = sentences.lookup(sentences.tokens(corpus, ["line"]), ["line"])
-    counts = parsing.parse_counts(parsing.pruned(parsing.sentence_clauses(words, ["line"]), ["line"]), ["line"])
+    counts = parsing.parse_counts(_corpus_clauses(spark), ["line"])
     return evaluation.errors(corpus, counts).select("line", "label", "sentence", "n_parses", "error")
 
 
+def _corpus_clauses(spark: SparkSession) -> DataFrame:
+    corpus = spark.createDataFrame(evaluation.CORPUS, "line int, label string, sentence string")
+    words = sentences.lookup(sentences.tokens(corpus, ["line"]), ["line"])
+    return parsing.pruned(parsing.sentence_clauses(words, ["line"]), ["line"])
+
+
+def gr_linkages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled corpus: the ten best linkages of each sentence, with at most two words
+    unlinked, and how many rules each breaks."""
+    best = parsing.linkages(_corpus_clauses(spark), ["line"], 10, max_null=2)
+    broken = postprocess.violations(best, ["line"]).groupBy("line", "rank").agg(F.count(F.lit(1)).alias("n_violations"))
+    links = F.array_join(F.transform("links", lambda x: F.concat_ws("-", x["lw"].cast("string"), x["name"], x["rw"].cast("string"))), " ")
+    out = best.join(broken, ["line", "rank"], "left")
+    return out.select("line", "rank", "nulls", "cost", "length", links.alias("links"), F.coalesce("n_violations", F.lit(0)).cast("long").alias("n_violations"))
+
+
+def gr_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of two to four words that the grammar allows: the twenty cheapest of each length."""
+    return generation.generated(spark, [2, 3, 4], 20)
+
+
+def gr_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of conversations by the suffixes that split off them, and their stems."""
+    return sentences.stems(_words(spark, sf_dir), KEYS).groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("stem").alias("n_stems"))
+
+
+def gr_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses and their costs where two dialects are in use."""
+    return grammar.dialect_clauses(spark, ["headline", "colloquial"])
+
+
+def gr_inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary's words that begin with d: their classes, clauses and costs."""
+    return grammar.inspected(spark, "d*")
+
+
 FLAGSHIP = "gr_links"
-QUERIES = {f.__name__: f for f in (gr_tokens, gr_lookup, gr_categories, gr_links, gr_pruned, gr_corpus_errors)}
+QUERIES = {f.__name__: f for f in (gr_tokens, gr_lookup, gr_categories, gr_links, gr_pruned, gr_corpus_errors, gr_linkages, gr_generated, gr_stems, gr_dialects, gr_inspected)}
 
 
 # --- SQL ---
@@ -116,4 +151,16 @@ placed AS (SELECT *, max(w) OVER (PARTITION BY conv_id, turn, s) AS last FROM wo
 cons AS (SELECT p.conv_id, p.turn, p.s, p.w, con.* FROM placed p JOIN con ON p.classname = con.classname WHERE nl <= w AND nr <= last - w)
 SELECT name, count(*) AS n FROM cons a JOIN cons b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.s = b.s AND a.w < b.w AND a.dir = '+' AND b.dir = '-' AND a.uc = b.uc
 JOIN (VALUES {_values(_NAMES)}) n(uc, x, y, name) ON n.uc = a.uc AND n.x = a.lc AND n.y = b.lc GROUP BY name""",
+    "gr_stems": f"""WITH {_WORDS}, suf AS (SELECT * FROM (VALUES {_values([(x,) for x in grammar.SUFFIXES])}) t(suffix)),
+plain AS (SELECT lower(word) AS k FROM toks)
+SELECT suffix, count(*) AS n, count(DISTINCT left(k, length(k) - length(suffix))) AS n_stems
+FROM plain JOIN suf ON ends_with(k, suffix) AND length(k) >= length(suffix) + {grammar.STEM_LETTERS} GROUP BY suffix""",
+    "gr_dialects": f"""WITH c AS (SELECT * FROM (VALUES {_values(grammar.CLAUSES)}) t(classname, disjunct, cost)),
+m AS (SELECT * FROM (VALUES {_values(grammar.DIALECT_CLAUSES)}) t(classname, disjunct, component)),
+told AS (SELECT component, arg_max(told, CASE dialect WHEN 'headline' THEN 0 ELSE 1 END)::DOUBLE AS told
+  FROM (VALUES {_values(grammar.DIALECTS)}) t(dialect, component, told) GROUP BY component)
+SELECT c.classname, c.disjunct, (CASE WHEN component IS NULL THEN cost ELSE coalesce(told, {grammar.NOT_ALLOWED}) END)::DOUBLE AS cost
+FROM c LEFT JOIN m USING (classname, disjunct) LEFT JOIN told USING (component)""",
+    "gr_inspected": f"""SELECT m AS morpheme, m || '.' || w.c AS subscript, w.c AS classname, disjunct, cost::DOUBLE AS cost
+FROM (VALUES {_values(_ENTRIES)}) w(m, c) JOIN (VALUES {_values(grammar.CLAUSES)}) t(classname, disjunct, cost) ON w.c = t.classname WHERE m LIKE 'd%'""",
 }

@@ -8,6 +8,7 @@ link more than once. Of connectors of one direction the first links nearest.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Closed-class words of the grammar, by class.
 CLOSED = {
@@ -49,6 +50,15 @@ PATTERNS = [
     (5, "ANY-WORD", r"^[a-zà-ÿ]+$", "noun"),
 ]
 
+# Suffixes that may split off a word, and the letters its stem has at least.
+SUFFIXES = ["ed", "ing", "es", "ly", "ment", "tion", "ung", "en"]
+STEM_LETTERS = 2
+# Clauses that only a dialect allows, and what each dialect makes them cost.
+DIALECT_CLAUSES = [("noun", "Wd- & Ss+", "headline"), ("noun", "Os-", "headline"), ("noun", "Js-", "headline"), ("conj", "MV- & J*+", "loose")]
+DIALECTS = [("headline", "headline", 0.0), ("colloquial", "headline", 1.0), ("colloquial", "loose", 0.5)]
+#: What a clause costs that no dialect in use allows: over any cut-off.
+NOT_ALLOWED = 10000.0
+
 
 def morphemes(spark: SparkSession) -> DataFrame:
     """morpheme, subscript, classname."""
@@ -69,3 +79,21 @@ def patterns(spark: SparkSession) -> DataFrame:
 def from_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """A grammar of the same two tables, from Parquet."""
     return {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in ("morphemes", "clauses")}
+
+
+def dialect_clauses(spark: SparkSession, dialects: list[str]) -> DataFrame:
+    """As clauses(), under the named dialects: a clause of a component costs what the last of
+    them that knows the component says, and too much if none does."""
+    marks = spark.createDataFrame(DIALECT_CLAUSES, "classname string, disjunct string, component string")
+    rows = [(dialects.index(d), c, cost) for d, c, cost in DIALECTS if d in dialects]
+    costs = spark.createDataFrame(rows, "at int, component string, told double").groupBy("component").agg(F.max_by("told", "at").alias("told"))
+    out = clauses(spark).join(marks, ["classname", "disjunct"], "left").join(costs, "component", "left")
+    cost = F.when(F.col("component").isNull(), F.col("cost")).otherwise(F.coalesce("told", F.lit(NOT_ALLOWED)))
+    return out.select("classname", "disjunct", cost.alias("cost"))
+
+
+def inspected(spark: SparkSession, pattern: str) -> DataFrame:
+    """The dictionary's words that match a pattern in which * stands for any letters, with
+    their classes, clauses and costs."""
+    like = pattern.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%")
+    return morphemes(spark).where(F.col("morpheme").like(like)).join(clauses(spark), "classname").select("morpheme", "subscript", "classname", "disjunct", "cost")
