@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from weftline.llm import substrings
+from weftline.llm import lm, substrings
 
 # --- 10 ---
 
@@ -50,3 +50,20 @@ def test_cut_chains_against_all_stretches():
                 if like(a, p, b, q, substrings.common(np.array(x[a:p]), np.array(y[b:q]))):
                     assert all(any(g[0] <= e and e + substrings.K <= g[1] for g in got) for e, _ in anchors[i : j + 1])
     assert found > 10
+
+
+# --- 7 ---
+
+
+def test_every_word_trains(spark):
+    """Words that stand only at places 1, 2, 4, 5 and 7 of eight are learned too."""
+    text = " ".join("x" if i % 8 in (0, 3, 6) else f"p{i % 8}" for i in range(40_000))
+    row = lm.lm_scores(spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)).first()
+    assert row["n_tokens"] == 40_000 and row["mean_log_prob"] > -0.5
+
+
+def test_lessons_cover_all_words_once():
+    for sizes in ([5, 0, 1, 2, 7], [5], [0, 0], [1, 1, 1, 1], []):
+        starts, n = np.cumsum(sizes, dtype=np.int64) - np.array(sizes, np.int64), sum(sizes)
+        picks = np.concatenate([lm.lessons(starts, n, t) for t in range(lm.ROUNDS)])
+        assert sorted(picks.tolist()) == list(range(n))

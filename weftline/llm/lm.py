@@ -4,8 +4,8 @@ A token is a word; a network of a window predicts each from the two words on eit
 words' probability has two factors: their class's given the window, by the network, and theirs
 given the class, by counts. Words are hashed to buckets, counted over all documents in Spark;
 the most frequent buckets are classes of their own and the rest share some. The network is
-trained in numpy on every partition of the corpus from the same start, for a few rounds, its
-weights averaged by Spark after each. A document's score is the sum of its words' conditional
+trained in numpy on every partition of the corpus from the same start, for a few rounds, on
+every word in one of them, its weights averaged by Spark after each. A document's score is the sum of its words' conditional
 log-probabilities.
 """
 
@@ -27,9 +27,8 @@ SHARED = 32
 EDGE = CLASSES
 SIDE = 2
 HIDDEN = 32
+#: Every word of every document is a training example in one of the rounds.
 ROUNDS = 3
-#: In each round every STRIDE-th word of every document is a training example.
-STRIDE = 8
 BATCH = 512
 RATE = 0.2
 CHUNK = 1 << 15
@@ -166,8 +165,15 @@ def contexts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return near, joined[at], starts
 
 
+def lessons(starts: np.ndarray, n: int, turn: int) -> np.ndarray:
+    """Which of a batch's n words are examples in a round: by their places in their documents,
+    so that over the rounds each word is one once, however documents fall into batches."""
+    place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+    return np.flatnonzero(place % ROUNDS == turn)
+
+
 def train(encoded: DataFrame, counts: np.ndarray) -> Network:
-    """The network after ROUNDS rounds over all of the corpus's partitions."""
+    """The network after ROUNDS rounds over all of the corpus's partitions, all words in all."""
     spark, net = encoded.sparkSession, Network.start(counts)
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(net.flat())
@@ -176,8 +182,8 @@ def train(encoded: DataFrame, counts: np.ndarray) -> Network:
             own, n = Network(start.value), 0
             squares = [np.full_like(p, 1e-4) for p in own.parts]
             for batch in batches:
-                near, at, _ = contexts(batch)
-                pick = np.random.default_rng(turn).permutation(np.arange(turn * 3 % STRIDE, len(at), STRIDE))
+                near, at, starts = contexts(batch)
+                pick = np.random.default_rng(turn).permutation(lessons(starts, len(at), turn))
                 for i in range(0, len(pick), BATCH):
                     own.train(near[:, pick[i : i + BATCH]], at[pick[i : i + BATCH]], squares)
                 n += len(pick)
@@ -198,7 +204,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     mean_log_prob (null without words).
 
     Null, empty and white texts have no tokens and log_prob 0. Every document counts and
-    trains, repeated rows as often as they stand. An empty table gives no rows; a text of any
+    trains, each of its words once, repeated rows as often as they stand. An empty table gives no rows; a text of any
     length is scored in pieces of bounded memory. Other columns are not read."""
     counts = bucket_counts(docs)
     vocabulary = Vocabulary.of(counts)
