@@ -3,27 +3,32 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where
-    that is unset (tests on one machine), a fresh temporary folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a
+    session on one machine gets a fresh temporary folder, and any other is an error: executors
+    would write where nobody else can read."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="weftline-"))
     return path.rstrip("/")
 
 
+_OWN: dict[str, str] = {}
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -33,11 +38,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def short_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Texts are long rows: unless the session says otherwise, Arrow batches hold fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+def short_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> None:
+    """Texts are long rows: unless the session says otherwise, Arrow batches hold fewer, and
+    end at a few megabytes whatever the length of their rows."""
+    for key, own, new in (("maxRecordsPerBatch", "10000", rows), ("maxBytesPerBatch", "64MB", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, own) in (own, str(64 << 20)):
+            spark.conf.set(key, str(new))
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
@@ -61,38 +68,62 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-# --- a filter of fixed size over hashed keys -------------------------------------------
+# --- a filter of bounded size over hashed keys ------------------------------------------
+
+#: Bits of a filter: eight a key and more, up to 32 MB. A full filter only routes more rows to
+#: the exact join behind it.
+LEAST_BITS, MOST_BITS = 18, 28
+
+
+@dataclass(frozen=True)
+class KeyFilter:
+    """A set of slots of 64-bit keys, a slot being a key's upper `bits` bits."""
+
+    bits: int
+    slots: np.ndarray
 
-#: Bits of the filter: 2 MB whatever the input. A full filter only routes more rows to the
-#: exact join behind it.
-FILTER_BITS = 24
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each uint64 key may be in the filter."""
+        s = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (self.slots[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
 
 
-def filter_slot(h: Column) -> Column:
-    """A long key's slot: its upper FILTER_BITS bits."""
-    return F.shiftrightunsigned(h, 64 - FILTER_BITS)
+def filter_bits(n: int) -> int:
+    return max(LEAST_BITS, min(MOST_BITS, n.bit_length() + 3))
 
 
-def key_filter(df: DataFrame, key: str) -> np.ndarray:
-    """The set of slots of df's long keys as a packed bit array of fixed size. It may say
-    yes wrongly and never no: an exact join must follow."""
-    slot = filter_slot(F.col(key)) + 1  # Spark's bitmap buckets count from 1
+def key_filter(df: DataFrame, key: str, spare: int = 0) -> KeyFilter:
+    """The slots of df's long keys, sized by their number, with spare more bits, up to a limit.
+    It may say yes wrongly and never no: an exact join must follow."""
+    bits = filter_bits(df.count() << spare)
+    slot = F.shiftrightunsigned(F.col(key), 64 - bits) + 1  # Spark's bitmap buckets count from 1
     rows = (
         df.select(F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("p"))
         .groupBy("b")
         .agg(F.bitmap_construct_agg("p").alias("bits"))
-        .collect()  # at most 2**FILTER_BITS / 32768 rows of 4 KB
+        .collect()  # at most 2**MOST_BITS / 32768 rows of 4 KB
     )
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    out = np.zeros(max(4096, (1 << bits) // 8), np.uint8)
     for r in rows:
         out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return out
+    return KeyFilter(bits, out)
 
 
-def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether each uint64 key may be in the filter."""
-    s = (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-    return (bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
+def spark_hashes(keys: pa.Array, seed: np.ndarray | int = 42) -> np.ndarray:
+    """Spark's xxhash64 of a long column, null as 0; a column's hashes seed the next one's."""
+    x = np.asarray(keys.fill_null(0), np.int64).view(np.uint64)
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in _XXH64)
+    with np.errstate(over="ignore"):
+        k = x * p2
+        h = (np.asarray(seed, np.uint64) + p5 + np.uint64(8)) ^ (((k << np.uint64(31)) | (k >> np.uint64(33))) * p1)
+        h = ((h << np.uint64(27)) | (h >> np.uint64(37))) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+
+# fixed values: the primes of XXH64
+_XXH64 = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 
 
 # --- words as 64-bit hashes, a block of texts at a time --------------------------------
@@ -127,7 +158,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def text_blocks(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_blocks(texts: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Blocks of whole texts of about size bytes: first row, bytes, offsets (one more than
     rows). Null counts as empty; a longer text is a block of its own."""
     texts = texts.cast(pa.large_string())
@@ -148,14 +179,14 @@ def text_blocks(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, np.
         a = b
 
 
-def words(data: np.ndarray, off: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The words [^\\x20\\x09-\\x0D]+ of a block: start and end bytes, 64-bit hash (of A-Z as
-    a-z if fold), and each text's first word (one more entry than texts)."""
+def words(data: np.ndarray, off: np.ndarray, fold: bool = True, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words [^\\x20\\x09-\\x0D]+ of a block, or what other bytes set apart: start and end
+    bytes, 64-bit hash (of A-Z as a-z if fold), and each text's first word (one more entry than texts)."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~apart[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     heads = off[:-1][off[:-1] < n]
@@ -178,6 +209,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
         return mixed((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+_PLACES = np.array([pow(0x9FB21C651E98DF25, i + 1, 1 << 64) for i in range(64)], np.uint64)
+
+
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of every k consecutive word hashes; one of all of them where there are fewer."""
     if len(h) == 0:
@@ -186,5 +220,23 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
         m = max(1, len(h) - k + 1)
         out = np.zeros(m, np.uint64)
         for i in range(min(k, len(h))):
-            out = mixed(out * np.uint64(0x9FB21C651E98DF25) + h[i : i + m])
-    return out
+            out += h[i : i + m] * _PLACES[i]
+        return mixed(out)
+
+
+def shingle_sets(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted sets of shingles of a block's texts, one behind the other, and where each
+    starts (one more entry than texts)."""
+    n = np.diff(first)
+    m = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+    stop = np.cumsum(m)
+    at = np.repeat(first[:-1] - (stop - m), m) + np.arange(int(m.sum()))  # each shingle's first word
+    out = shingles(np.append(h, np.zeros(k, np.uint64)), k)[at]
+    for i in np.flatnonzero((n > 0) & (n < k)):
+        out[stop[i] - 1] = shingles(h[first[i] : first[i + 1]], k)[0]
+    for a, b in zip((stop - m).tolist(), stop.tolist(), strict=True):
+        out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[(stop - m)[m > 0]] = True
+    return out[new], np.append(0, np.append(0, np.cumsum(new))[stop])

@@ -2,10 +2,11 @@
 
 Documents are sets of word shingles. Two sets of a Jaccard similarity of at least 3/4 share a
 token among the first n - ceil(3 n / 4) + 1 of each, in any order of tokens that is the same
-for all. The first order has tokens of many documents last, by a table of fixed size, and is
-joined in Spark. A pair of documents that meets there must also share as many prefix tokens as
-the similarity takes, and a token among the prefixes of each of the other orders, before its
-sets are compared.
+for all. The first order has tokens of many documents last, by a table of hashed tokens, and
+makes the candidates by a join in Spark. Candidates must also share as many prefix tokens as
+the similarity takes, and a token among the prefixes of each of the other orders: those
+prefixes alone, at half a token's size, meet by joins, and only pairs that pass every order's
+filter have their sets brought together and compared.
 
 Equal sets are one node. Where many nodes share a token, they are first compared with one of
 them; what that links needs no more comparisons inside its component. Only then all remaining
@@ -18,11 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import in_filter, key_filter, materialised, mixed, read_table, shingles, text_blocks, words
+from weftline.llm.common import KeyFilter, key_filter, materialised, mixed, read_table, shingle_sets, spark_hashes, text_blocks, words
 from weftline.llm.components import components
 
 WORDS = 5
@@ -36,34 +36,44 @@ SMALL_GROUP = 4
 ORDERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
-def prefix_length(n: int) -> int:
-    return n - (3 * n + 3) // 4 + 1 if n else 0
+def prefix_length(n):
+    """How many tokens of a set of n, a number or an array of them, are its prefix."""
+    return (n - (3 * n + 3) // 4 + 1) * (n > 0)
 
 
 def similar(inter: int, nx: int, ny: int) -> bool:
     return 100 * inter >= 75 * (nx + ny - inter) and inter > 0
 
 
-def token_sets(batches: Iterator[pa.RecordBatch], k: int = WORDS) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
-    """Each row of the batches with its sorted set of shingle hashes."""
+Block = tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]
+
+
+def token_sets(batches: Iterator[pa.RecordBatch], k: int = WORDS) -> Iterator[Block]:
+    """The batches in blocks of rows: the rows, their sorted sets of shingle hashes one behind
+    the other, where each set starts (one more entry than rows), and the sets' signatures."""
     for batch in batches:
         for row, data, off in text_blocks(batch.column("text")):
             _, _, h, first = words(data, off)
-            for i in range(len(off) - 1):
-                yield batch, row + i, np.unique(shingles(h[first[i] : first[i + 1]], k))
+            t, at = shingle_sets(h, first, k)
+            yield batch.slice(row, len(off) - 1), t, at, signatures(t, at)
 
 
-def signature(tokens: np.ndarray) -> int:
-    """A set's 64-bit hash: equal sets, equal hashes."""
+def signatures(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set: equal sets, equal hashes; 0 for empty ones."""
     with np.errstate(over="ignore"):
-        return int(mixed(np.array([mixed(tokens).sum(dtype=np.uint64) + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
+        run = np.append(np.uint64(0), np.cumsum(mixed(tokens), dtype=np.uint64))
+        n = np.diff(at).astype(np.uint64)
+        return np.where(n > 0, mixed(run[at[1:]] - run[at[:-1]] + n), 0).view(np.int64)
 
 
-def sketch(tokens: np.ndarray) -> list[int]:
-    """512 bits: whether the tokens of each slot are odd in number. The bits in which two
-    sketches differ are no more than the tokens of which only one of the sets has each."""
-    odd = np.bincount((tokens & np.uint64(511)).astype(np.int64), minlength=512) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+def sketches(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """512 bits of each set, as 8 longs: whether the tokens of each slot are odd in number. The
+    bits in which two sketches differ are no more than the tokens of which only one of the sets
+    has each."""
+    rows = len(at) - 1
+    slot = np.repeat(np.arange(rows) << 9, np.diff(at)) | (tokens & np.uint64(511)).astype(np.int64)
+    odd = (np.bincount(slot, minlength=rows << 9) & 1).astype(np.uint8).reshape(rows, 512)
+    return np.packbits(odd, axis=1, bitorder="little").view("<i8")
 
 
 def _close(sx: str, sy: str, nx: str, ny: str) -> Column:
@@ -72,22 +82,15 @@ def _close(sx: str, sy: str, nx: str, ny: str) -> Column:
     return apart <= F.col(nx) + F.col(ny) - 2 * F.ceil(3 * (F.col(nx) + F.col(ny)) / 7)
 
 
-def _slot_key(doc_id: int | None) -> int:
-    return xxhash.xxh64_intdigest((doc_id or 0).to_bytes(8, "little", signed=True), 42)  # as Spark's xxhash64
-
-
-def _flush(cols: list[list], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
-    arrays = [pa.array(np.concatenate(c) if c and isinstance(c[0], np.ndarray) else c, t) for c, (_, t) in zip(cols, schema, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in schema])
+def chosen_sets(batches: Iterator[pa.RecordBatch], chosen: KeyFilter, k: int) -> Iterator[Block]:
+    """The sets of the documents that the filter passes."""
+    for batch in batches:
+        yield from token_sets([batch.filter(pa.array(chosen.passes(spark_hashes(batch.column("doc_id")))))], k)
 
 
-def chosen_sets(batches: Iterator[pa.RecordBatch], chosen: np.ndarray, k: int) -> Iterator[np.ndarray]:
-    """The sets, empty ones left out, of the documents that the filter passes."""
-    for batch in batches:
-        keys = np.array([_slot_key(x) for x in batch.column("doc_id").to_pylist()], np.uint64)
-        for _, _, t in token_sets([batch.filter(pa.array(in_filter(chosen, keys)))], k):
-            if len(t):
-                yield t
+def places(at: np.ndarray) -> np.ndarray:
+    """Each token's place in its set."""
+    return np.arange(int(at[-1])) - np.repeat(at[:-1], np.diff(at))
 
 
 class Join:
@@ -107,32 +110,24 @@ class Join:
         k = self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sets = [(signature(t) if len(t) else 0, len(t), sketch(t)) for _, _, t in token_sets([batch], k)]
-                types = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([s[i] for s in sets], t) for i, t in enumerate(types))], names=["doc_id", "node", "n", "sketch"])
+            for batch, t, at, own in token_sets(batches, k):
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(at), dtype=np.int32) * 8), pa.array(sketches(t, at).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own), pa.array(np.diff(at)), bits], names=["doc_id", "node", "n", "sketch"])
 
         return self.docs.mapInArrow(run, "doc_id long, node long, n long, sketch array<long>")
 
     def heavy(self):
-        """A table of fixed size of the tokens that stand last. As a function of the token it
-        makes an order whatever it holds; what it holds only decides the size of groups."""
+        """A table of the tokens that stand last. As a function of the token it makes an order
+        whatever it holds; what it holds only decides the size of groups."""
         chosen, k = self.chosen, self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            schema = [("t", pa.int64())]
-            held, n = [], 0
-            for t in chosen_sets(batches, chosen.value, k):
-                held.append((t[: int(COUNTED * len(t)) + 1] >> np.uint64(24)).astype(np.int64))
-                n += len(held[-1])
-                if n > 500_000:
-                    yield _flush([held], schema)
-                    held, n = [], 0
-            if held:
-                yield _flush([held], schema)
+            for _, t, at, _ in chosen_sets(batches, chosen.value, k):
+                least = t[places(at) <= COUNTED * np.repeat(np.diff(at), np.diff(at))]
+                yield pa.RecordBatch.from_arrays([pa.array((least >> np.uint64(24)).astype(np.int64))], names=["t"])
 
         n = self.docs.mapInArrow(run, "t long").groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HEAVY)
-        return self._shared_filter(n.select(F.shiftleft("t", 24).alias("k")), "k")
+        return self._shared_filter(materialised(n.select(F.shiftleft("t", 24).alias("k")), "heavy"), "k")
 
     def index(self, heavy) -> DataFrame:
         """key, node, rank (of the key in its node's order) and n (the node's tokens) of prefix
@@ -140,19 +135,12 @@ class Join:
         chosen, k = self.chosen, self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            schema = [("key", pa.int64()), ("node", pa.int64()), ("at", pa.int64())]
-            keys, nodes, ats, n = [], [], [], 0
-            for t in chosen_sets(batches, chosen.value, k):
-                own = first_order(t, heavy.value)[: prefix_length(len(t))]
-                keys.append(own.view(np.int64))
-                nodes.append(np.full(len(own), signature(t)))
-                ats.append((np.arange(len(own)) << 32) | len(t))
-                n += len(own)
-                if n > 500_000:
-                    yield _flush([keys, nodes, ats], schema)
-                    keys, nodes, ats, n = [], [], [], 0
-            if keys:
-                yield _flush([keys, nodes, ats], schema)
+            for _, t, at, own in chosen_sets(batches, chosen.value, k):
+                key, rank = first_order(t, at, heavy.value)
+                n = np.diff(at)
+                keep = rank < np.repeat(prefix_length(n), n)
+                cols = [key[keep].view(np.int64), np.repeat(own, n)[keep], ((rank << 32) | np.repeat(n, n))[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "at"])
 
         rows = self.docs.mapInArrow(run, "key long, node long, at long")
         rows = rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1")
@@ -160,19 +148,20 @@ class Join:
         return materialised(rows.select("key", "node", rank.alias("rank"), n.alias("n"), "m"), "index")
 
     def tokens_of(self, nodes: DataFrame) -> DataFrame:
-        """node, tokens (8 bytes each, sorted) of at least the given nodes, a row for each."""
+        """node, its prefix in each of the other orders (4 bytes a token, which may only join
+        more) and its tokens (8 bytes each, sorted) of the given nodes, a row for each."""
         bits, k, chosen = self._shared_filter(nodes, "node"), self.k, self.chosen
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = [(signature(t), t) for t in chosen_sets([batch], chosen.value, k)]
-                s = np.array([s for s, _ in out], np.int64)
-                hit = in_filter(bits.value, s.view(np.uint64)).tolist() if len(s) else []
-                kept = [(s, t.astype("<u8").tobytes()) for (s, t), h in zip(out, hit, strict=True) if h]
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in kept], pa.int64()), pa.array([t for _, t in kept], pa.binary())], names=["node", "tokens"])
+            for _, t, at, own in chosen_sets(batches, chosen.value, k):
+                hit = np.flatnonzero(bits.value.passes(own.view(np.uint64)) & (np.diff(at) > 0))
+                sets = [t[at[i] : at[i + 1]] for i in hit.tolist()]
+                cols = [pa.array(own[hit]), *(pa.array([prefix(s, m) for s in sets], pa.list_(pa.int32())) for m in ORDERS)]
+                cols.append(pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "o1", "o2", "tokens"])
 
-        rows = self.docs.mapInArrow(run, "node long, tokens binary").join(nodes, "node", "left_semi")
-        return materialised(rows.groupBy("node").agg(F.first("tokens").alias("tokens")), "tokens")
+        rows = self.docs.mapInArrow(run, "node long, o1 array<int>, o2 array<int>, tokens binary").join(nodes, "node", "left_semi")
+        return materialised(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("o1", "o2", "tokens"))), "tokens")
 
     def links(self, pairs: DataFrame, shared: DataFrame) -> DataFrame:
         """x, y of the distinct pairs(x, y) that are similar."""
@@ -186,7 +175,12 @@ class Join:
         both = both.where(F.size(F.array_intersect("kx", "ky")) + rest >= F.ceil(3 * (F.col("nx") + F.col("ny")) / 7)).select("x", "y")
         pairs = materialised(both, "pairs")
         tokens = self.tokens_of(pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct())
-        met = pairs.join(tokens.withColumnsRenamed({"node": "x", "tokens": "tx"}), "x").join(tokens.withColumnsRenamed({"node": "y", "tokens": "ty"}), "y")
+        # the other orders' filters: prefixes meet, the sets stay where they are
+        orders = tokens.select("node", "o1", "o2")
+        met = pairs.join(orders.toDF("x", "ax", "bx"), "x").join(orders.toDF("y", "ay", "by"), "y")
+        pairs = materialised(met.where(F.arrays_overlap("ax", "ay") & F.arrays_overlap("bx", "by")).select("x", "y"), "pairs")
+        sets = tokens.select("node", "tokens")
+        met = pairs.join(sets.toDF("x", "tx"), "x").join(sets.toDF("y", "ty"), "y")
         return materialised(met.mapInArrow(verified, "x long, y long"), "links")
 
     def components(self) -> DataFrame:
@@ -203,11 +197,22 @@ class Join:
         return components(found.unionByName(self.links(_across(own), shared)))
 
 
-def first_order(t: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """A sorted set's keys in the first order: light tokens by hash, then heavy ones."""
-    h = in_filter(heavy, t)
-    key = t >> np.uint64(1)
-    return np.concatenate([key[~h], key[h] | np.uint64(1 << 63)])
+def first_order(t: np.ndarray, at: np.ndarray, heavy: KeyFilter) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of sorted sets' tokens in the first order, and each one's rank in its set: light
+    tokens by hash, then heavy ones."""
+    h = heavy.passes(t)
+    n = np.diff(at)
+    light = np.append(0, np.cumsum(~h))
+    before = light[:-1] - np.repeat(light[at[:-1]], n)  # light tokens of the set that stand before
+    rank = np.where(h, np.repeat(light[at[1:]] - light[at[:-1]], n) + places(at) - before, before)
+    return (t >> np.uint64(1)) | (h.astype(np.uint64) << np.uint64(63)), rank
+
+
+def prefix(t: np.ndarray, multiple: np.uint64) -> np.ndarray:
+    """The upper halves of a set's prefix in the order of multiples."""
+    p = int(prefix_length(len(t)))
+    with np.errstate(over="ignore"):
+        return (np.partition(t * multiple, p - 1)[:p] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _all_pairs(g: str) -> Column:
@@ -247,21 +252,15 @@ def _across(own: DataFrame) -> DataFrame:
     return met.where(_first_common("nx", "rx", "ny", "ry") & _close("sx", "sy", "nx", "ny")).select("x", "y").distinct()
 
 
-def share_prefix(tx: np.ndarray, ty: np.ndarray, multiple: np.uint64) -> bool:
-    """Whether two sets share a token of their prefixes in the order of multiples."""
-    with np.errstate(over="ignore"):
-        kx, ky = (np.partition(t * multiple, prefix_length(len(t)) - 1)[: prefix_length(len(t))] for t in (tx, ty))
-    return len(np.intersect1d(kx, ky, assume_unique=True)) > 0
-
-
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs that pass the other orders' filters and whose sets are similar."""
+    """The pairs whose sets are similar."""
     for batch in batches:
         keep = []
         for tx, ty in zip(batch.column("tx"), batch.column("ty"), strict=True):
             a, b = np.frombuffer(tx.as_buffer(), "<u8"), np.frombuffer(ty.as_buffer(), "<u8")
-            ok = all(share_prefix(a, b, m) for m in ORDERS)
-            keep.append(ok and similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)))
+            both = np.concatenate([a, b])
+            both.sort()
+            keep.append(similar(int(np.count_nonzero(both[1:] == both[:-1])), len(a), len(b)))
         yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -288,11 +287,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Documents without shingles and those with a null doc_id stay."""
     found = jaccard_components(docs)
     kept = found.where("doc_id = component_id or n_shingles = 0").select("doc_id").where("doc_id is not null").distinct()
-    kept = materialised(kept.withColumnRenamed("doc_id", "__kept"), "kept")
-    # of repeated rows of one doc_id the first in order of text stays
-    once = Window.partitionBy("doc_id").orderBy(F.length("text"), F.xxhash64("text"))
-    ids = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    return ids.withColumn("__row", F.row_number().over(once)).where("__row = 1").drop("__row").unionByName(docs.where("doc_id is null"))
+    kept = materialised(kept, "kept")
+    # of repeated rows of one doc_id the first in order of text stays; other columns travel as one, whatever their names
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    ids = docs.where("doc_id is not null").select("doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("h"), row.alias("row"))
+    ids = ids.join(kept, "doc_id", "left_semi").withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "h"))).where("at = 1")
+    return ids.select(*(F.col("row")[c].alias(c) for c in docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import in_filter, key_filter, materialised, mixed, read_table
+from weftline.llm.common import key_filter, materialised, mixed, read_table, spark_hashes
 
 UNIT = 576
 PAD = 255
@@ -140,12 +140,11 @@ class ChunkStore:
 
         def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[bytes], list[bytes], bool]]:
             for batch in batches:
-                keys = [xxhash.xxh64_intdigest((x or 0).to_bytes(8, "little", signed=True), 42) for x in batch.column("doc_id").to_pylist()]
-                for v in batch.filter(pa.array(in_filter(owners.value, np.array(keys, np.uint64)))).column("text"):
+                for v in batch.filter(pa.array(owners.value.passes(spark_hashes(batch.column("doc_id"))))).column("text"):
                     media = encoded(payload_of(v.as_py())[1])
                     bodies = chunked(media)
                     digests = [digest(c) for c in bodies]
-                    yield digest(media), digests, bodies, bool(in_filter(shared.value, _filter_keys(digests)).any())
+                    yield digest(media), digests, bodies, bool(shared.value.passes(_filter_keys(digests)).any())
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in _lots((m, d, b) for m, d, b, s in chosen(batches) if not s):
@@ -188,13 +187,15 @@ class ChunkStore:
         return materialised(found, "read")
 
 
-def _lots(rows: Iterator[tuple], size: int = 512) -> Iterator[list[tuple]]:
-    lot = []
+def _lots(rows: Iterator[tuple], size: int = 4 << 20) -> Iterator[list[tuple]]:
+    """Rows, whose last entry is a chunk or a list of them, in lots of some megabytes of chunks."""
+    lot, held = [], 0
     for r in rows:
         lot.append(r)
-        if len(lot) == size:
+        held += len(r[-1]) if isinstance(r[-1], bytes) else sum(map(len, r[-1]))
+        if held >= size:
             yield lot
-            lot = []
+            lot, held = [], 0
     if lot:
         yield lot
 

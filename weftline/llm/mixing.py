@@ -159,16 +159,18 @@ def mix(docs: DataFrame, size: str = "size", *, weights: tuple[int, ...] = WEIGH
 
 def mixed_texts(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them: whole copies as they are, then the words of a part, joined
-    by single spaces. Same columns; documents of which nothing is taken go. n_chars, where
+    by single spaces. Same columns, whatever their names; documents of which nothing is taken go. n_chars, where
     there is one, is counted anew for parts."""
-    m = mix(docs.withColumn("__words", n_words(F.col("text"))), "__words").withColumnsRenamed({"copies": "__copies", "rest_a": "__ra", "rest_b": "__rb"})
-    whole = F.array_repeat(F.struct(F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("stop")), F.col("__copies").cast("int"))
-    piece = F.explode(F.concat(whole, F.array_compact(F.array("__ra", "__rb"))))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), (F.col("__piece.start") + 1).cast("int"), (F.col("__piece.stop") - F.col("__piece.start")).cast("int")), " ")
-    m = m.withColumn("__piece", piece).withColumn("text", F.when(F.col("__piece.start").isNull(), F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
-        m = m.withColumn("n_chars", F.when(F.col("__piece.start").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return m.select(*docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # other columns travel as one, whatever their names
+    m = mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("words"), row), "words")
+    whole = F.array_repeat(F.struct(F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("stop")), F.col("copies").cast("int"))
+    piece = F.explode(F.concat(whole, F.array_compact(F.array("rest_a", "rest_b"))))
+    m = m.select("row", piece.alias("piece"))
+    text, part = F.col("row.text"), F.col("piece.start").isNotNull()
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), (F.col("piece.start") + 1).cast("int"), (F.col("piece.stop") - F.col("piece.start")).cast("int")), " ")
+    m = m.withColumn("cut", F.when(part, cut).otherwise(text))
+    new = {"text": F.col("cut"), "n_chars": F.when(part, F.length("cut").cast("long")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return m.select(*((new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
