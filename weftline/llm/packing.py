@@ -7,6 +7,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,57 +30,84 @@ def vocabulary_path(name: str = TOKENIZER) -> str:
 
 class ChunkTokenizer:
     """Token ids of texts whose tokenizer cuts at ASCII white space at the latest: ids of a
-    text are those of its white-space chunks in order, each chunk encoded once while the
-    bounded memory holds it."""
+    text are those of its white-space chunks in order.
 
-    def __init__(self, path: str, memory: int = 250_000):
-        from tokenizers import Tokenizer
+    A memory of fixed size keeps the ids of short chunks, each in the slot that its hash names,
+    where a later one of the same slot takes its place."""
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker on each core
-        self.tok, self.memory = Tokenizer.from_file(path), memory
-        self.clear()
+    SLOT_BITS = 21
+    WIDTH = 8
 
-    def clear(self) -> None:
-        self.index: dict[int, int] = {}
-        self.parts: list[np.ndarray] = []
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-    def encode(self, chunks: list[str]) -> list[np.ndarray]:
-        """A chunk of letters a-z is the same before and after the tokenizer's normalising and
-        cutting, so its ids come straight from the tokenizer's model, which is faster."""
-        plain = [c.isascii() and c.isalpha() and c.islower() for c in chunks]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker on each core
+        self.tok = Tokenizer.from_file(path)
+        n = 1 << self.SLOT_BITS
+        self.keys, self.lens = np.zeros(n, np.uint64), np.zeros(n, np.uint8)
+        self.ids = np.zeros((n, self.WIDTH), np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32)
+        # letters of the Latin blocks as the tokenizer's model has them: lower case, bytes as characters
+        bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        latin = [chr(c) for c in range(0x250) if chr(c).isalpha() and len(chr(c).lower()) == 1]
+        self.latin, self.letters = {ord(c): bytewise.pre_tokenize_str(c.lower())[0][0] for c in latin}, frozenset(latin)
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, one behind the other, and their numbers. Normalising and cutting
+        leave a chunk of Latin letters one lower-case word, so its ids come straight from the
+        tokenizer's model, which is faster."""
+        latin, model = self.latin, self.tok.model
+        plain = [self.letters.issuperset(c) for c in chunks]
         rest = iter(self.tok.encode_batch_fast([c for c, p in zip(chunks, plain, strict=True) if not p], add_special_tokens=False))
-        model = self.tok.model
-        return [np.array([t.id for t in model.tokenize(c)] if p else next(rest).ids, np.uint32) for c, p in zip(chunks, plain, strict=True)]
+        parts = [[t.id for t in model.tokenize(c.translate(latin))] if p else next(rest).ids for c, p in zip(chunks, plain, strict=True)]
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        return np.fromiter(chain.from_iterable(parts), self.ids.dtype, int(n.sum())), n
 
     def block(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a block, and each text's first id (one more than texts)."""
         starts, ends, _, first = words(data, off)
-        # a full stop or comma after an ASCII letter or digit is a token of its own
-        last, before = data[ends - 1], data[np.maximum(ends - 2, 0)]
+        # a full stop or comma after an ASCII letter or digit, or a letter from À to ÿ, is a token of its own
+        last, before, two = data[ends - 1], data[np.maximum(ends - 2, 0)], data[np.maximum(ends - 3, 0)]
         low = before | 32
-        alone = ((last == 44) | (last == 46)) & (ends - starts > 1) & (((low >= 97) & (low <= 122)) | ((before >= 48) & (before <= 57)))
+        letter = ((low >= 97) & (low <= 122)) | ((before >= 48) & (before <= 57)) | ((two == 0xC3) & (ends - starts > 2) & (before >= 0x80) & (before != 0x97) & (before != 0xB7))
+        alone = ((last == 44) | (last == 46)) & (ends - starts > 1) & letter
         at = np.arange(len(starts)) + np.concatenate([[0], np.cumsum(alone)])[:-1] if len(starts) else starts
         n = len(starts) + int(alone.sum())
         s, e = np.zeros(n, np.int64), np.zeros(n, np.int64)
         s[at], e[at] = starts, ends - alone
         s[at[alone] + 1], e[at[alone] + 1] = ends[alone] - 1, ends[alone]
         first = np.append(at, n)[first]
-        keys, where, back = np.unique(span_hashes(data, s, e), return_index=True, return_inverse=True)
-        if len(self.index) + len(keys) > self.memory:
-            self.clear()
-        index, parts = self.index, self.parts
-        new = [i for i, k in enumerate(keys.tolist()) if k not in index]
-        index.update(zip(keys[new].tolist(), range(len(parts), len(parts) + len(new)), strict=True))
-        parts += self.encode([data[s[where[i]] : e[where[i]]].tobytes().decode() for i in new])
-        ids = [index[k] for k in keys.tolist()]
-        own = [parts[j] for j in ids]
-        lens = np.array([len(p) for p in own], np.int64)
-        flat = np.concatenate([*own, np.zeros(0, np.uint32)])
+        keys = span_hashes(data, s, e)
+        slots = (keys >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
+        known = (self.keys[slots] == keys) & (self.lens[slots] > 0)
+        new = np.flatnonzero(~known)
+        fresh, where, back = np.unique(keys[new], return_index=True, return_inverse=True)
+        flat, lens = self.encode([data[s[i] : e[i]].tobytes().decode() for i in new[where].tolist()])
         base = np.cumsum(lens) - lens
-        n_ids = lens[back]
+        # where each span's ids are: in the memory, or behind it among the new ones
+        n_ids, source = self.lens[slots].astype(np.int64), slots * self.WIDTH
+        n_ids[new], source[new] = lens[back], self.ids.size + base[back]
         stop = np.cumsum(n_ids)
-        pick = np.repeat(base[back] - (stop - n_ids), n_ids) + np.arange(int(stop[-1]) if len(stop) else 0)
-        return flat[pick], np.append(0, stop)[first]
+        pick = np.repeat(source - (stop - n_ids), n_ids) + np.arange(int(stop[-1]) if len(stop) else 0)
+        out = np.empty(len(pick), np.uint32)
+        late = pick >= self.ids.size
+        out[late] = flat[pick[late] - self.ids.size]
+        out[~late] = self.ids.ravel()[pick[~late]]
+        self.keep(fresh, flat, base, lens)
+        return out, np.append(0, stop)[first]
+
+    def keep(self, keys: np.ndarray, flat: np.ndarray, base: np.ndarray, lens: np.ndarray) -> None:
+        short = np.flatnonzero((lens > 0) & (lens <= self.WIDTH))
+        slots, one = np.unique((keys[short] >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64), return_index=True)
+        short = short[one]
+        self.keys[slots], self.lens[slots] = keys[short], lens[short]
+        for j in range(self.WIDTH):
+            self.ids[slots, j] = flat[np.minimum(base[short] + j, len(flat) - 1)] if len(flat) else 0
+
+
+@cache
+def tokenizer(path: str) -> ChunkTokenizer:
+    """One for each Python worker, whatever the number of its tasks."""
+    return ChunkTokenizer(path)
 
 
 def binary_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
@@ -95,7 +124,7 @@ def pieces(docs: DataFrame, path: str, longest: int = MAX_LENGTH, end_id: int =
     """One row for each piece of each document(doc_id, text); with_ids adds the ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = ChunkTokenizer(path), np.array([end_id], np.uint32)
+        tok, end = tokenizer(path), np.array([end_id], np.uint32)
         for batch in batches:
             doc_ids = batch.column("doc_id")
             for row, data, off in text_blocks(batch.column("text")):
