@@ -78,6 +78,65 @@ def test_disclosing_terms(spark):
     assert out[0]["spans"].startswith("email:") and out[10]["spans"] == ""
 
 
+def disclosed_by_the_letter(texts, threshold):
+    """Terms over the threshold, and whether they go: counted over all texts, one at a time."""
+    folded = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    df, df_e, c, entity_texts = Counter(), Counter(), Counter(), set(texts)
+    for text in entity_texts:
+        found = [(m[0].translate(folded), *m.span()) for m in re.finditer("[A-Za-z\x80-\U0010ffff]{3,}", text)]
+        df.update({t for t, _, _ in found} | {(t[:3],) for t, _, _ in found})
+        base = pii.find_base(text)
+        spans = base + pii.find_secrets(text, base)
+        free = [t for t in found if not any(a < t[2] and t[1] < b for _, a, b in spans)]
+        mine = set()
+        for kind, a, b in spans:
+            at = sum(1 for t in free if t[1] < a)
+            for e in pii.entity_keys(kind, text[a:b]):
+                mine |= {(e, None)} | {(e, x) for t, _, _ in free[max(0, at - pii.WINDOW) : at + pii.WINDOW] for x in (t, (t[:3],))}
+        c.update(x for x in mine if x[1] is not None)
+        df_e.update(e for e, t in mine if t is None)
+    n = len(entity_texts)
+
+    def over(e, t):
+        p, m = df_e[e] / n, pii.SMOOTHING
+        return p < 1 and np.log2((c[e, t] + m * p) / (df[t] + m) / p) >= threshold * -np.log2(p)
+
+    gone: dict[str, bool] = {}
+    for e, t in c:
+        if isinstance(t, str) and over(e, t):
+            gone[t] = gone.get(t, False) or len(t) <= 3 or over(e, (t[:3],))
+    return gone
+
+
+def test_disclosure_by_the_letter(spark, docs, texts):
+    """All marks of a corpus, of words, of entities and of what removal leaves, by brute force."""
+    want = disclosed_by_the_letter(texts.values(), 0.8)
+    folded = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    marked = 0
+    for r in pii.sanitise_spans(docs, threshold=0.8).collect():
+        text = texts[r["doc_id"]]
+        base = pii.find_base(text)
+        spans = base + pii.find_secrets(text, base)
+        places = [(m.start(), m.end(), want[t]) for m in re.finditer("[A-Za-z\x80-\U0010ffff]{3,}", text) if (t := m[0].translate(folded)) in want and not any(a < m.end() and m.start() < b for _, a, b in spans)]
+        assert [(t["start"], t["stop"], t["remove"]) for t in r["terms"]] == places
+        assert r["spans"] == ",".join(filter(None, [pii.joined(spans), ",".join(f"term:{a}:{b}" for a, b, _ in places)]))
+        assert r["base_sha256"] == hashlib.sha256(pii.joined(by_the_letter(text)).encode()).hexdigest()
+        marked += len(places)
+    assert marked > 20 and len({r["doc_id"] for r in docs.collect()}) == len(texts)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised_texts(docs, threshold=0.8).collect()}
+    for i, text in texts.items():
+        new, words_left = clean[i] or "", set()
+        assert not pii.find_base(new)
+        words_left = {m[0].translate(folded) for m in re.finditer("[A-Za-z\x80-\U0010ffff]{3,}", new)}
+        assert not {t for t, g in want.items() if g} & words_left
+
+
+def test_secrets():
+    found = lambda t: [t[a:b] for _, a, b in pii.find_secrets(t, [])]
+    assert found('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"') == ["04dbebab91ab85687d33eeaaf9ac699e1188f962"]
+    assert found("Donaudampfschifffahrtsgesellschaft a1a1a1a1a1a1a1a1a1a1a1a1a1 12345678901234567890 short1234") == []
+
+
 # --- 2 ---
 
 

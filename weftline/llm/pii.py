@@ -1,18 +1,22 @@
 """Information-theoretic sanitisation of personal data.
 
-Patterns find the data themselves: e-mail addresses, IP addresses, card and phone numbers.
-Each distinct value is a protected entity. Words around its mentions may give it away even
-when the value is gone; how much is estimated from the whole corpus. With N documents, the
-information content of entity e is IC(e) = log2(N / df(e)), and what term t discloses of it is
-PMI(t; e) = log2(N c(t, e) / (df(t) df(e))), c counting the documents that have t near e. A
-term with PMI >= threshold * IC, seen near e in at least `support` documents, is generalised
-to its first letters, if those as a class stay under the threshold, and else removed, wherever
-it stands in a document that has it near e.
+Patterns find the data themselves: e-mail addresses, IP addresses, card and phone numbers, and
+secrets: long strings of letters and digits with as many bits a character as chance gives.
+Each distinct value is a protected entity, and so is the part of it that others share: an
+address's domain, a number's first digits. Terms around the mentions may give an entity away
+when the value is gone; how much is estimated from the whole corpus, copies of a text counted
+once. With N texts, entity e has the information content IC(e) = log2(N / df(e)). A term t
+near e in c of its df(t) texts discloses D(t; e) = log2(p(e | t) / p(e)), with p(e) = df(e) / N
+and p(e | t) = (c + m p(e)) / (df(t) + m): pointwise mutual information, smoothed by m texts of
+the corpus at large, so that a rare term's evidence counts by how rare it is. A term with
+D >= threshold * IC is generalised to its first letters, if those as a class stay under the
+threshold, and else removed, wherever it stands in the corpus.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,25 +26,27 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from weftline.llm.common import in_filter, key_filter, materialised, read_table
+from weftline.llm.common import key_filter, materialised, mixed, read_table, span_hashes, spark_hashes, text_blocks, words
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 8
-THRESHOLD = 0.8
-SUPPORT = 3
+THRESHOLD = 0.9
+SMOOTHING = 1.0
 STEM = 3
+#: A secret's least length, letters, digits and bits a character.
+SECRET_LENGTH, SECRET_LETTERS, SECRET_DIGITS, SECRET_BITS = 20, 4, 4, 3.0
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match can only start where a run of digits does, which keeps long runs linear.
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+")
 _DIGITS = re.compile(r"[0-9]")
+_NO_LETTER = np.ones(256, bool)
+_NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -87,150 +93,235 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _long(s: str) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))).view(np.int64))
+def bits_a_character(s: str) -> float:
+    return sum(n * math.log2(len(s) / n) for n in Counter(s).values()) / len(s)
+
+
+def find_secrets(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(secret, start, end) in code points, none inside a base span."""
+    out = []
+    for m in _SECRET.finditer(text):
+        digits = len(_DIGITS.findall(m[0]))
+        letters = sum(map(str.isalpha, m[0]))
+        if digits >= SECRET_DIGITS and letters >= SECRET_LETTERS and bits_a_character(m[0]) >= SECRET_BITS:
+            if not any(a < m.end() and m.start() < b for _, a, b in base):
+                out.append(("secret", *m.span()))
+    return out
 
 
-def entity_key(kind: str, value: str) -> int:
-    """An entity's key: its kind and value without case and punctuation of numbers."""
-    return _long(kind + ":" + (value.lower() if kind == "email" else value if kind == "ip" else "".join(_DIGITS.findall(value))))
+def _long(s: str) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))).view(np.int64))
 
 
-def stem_of(term: str, n: int = STEM) -> str:
-    return term[:n] + "*"
+def entity_keys(kind: str, value: str) -> list[int]:
+    """An entity's keys, of its value without case and punctuation, and of the part of it that
+    other entities share: domain, network, first six digits."""
+    if kind in ("email", "secret"):
+        value = value.lower()
+        part = value.partition("@")[2]
+    elif kind == "ip":
+        part = ".".join(value.split(".")[:2])
+    else:
+        value = "".join(_DIGITS.findall(value))
+        part = value[:6]
+    return [_long(f"{kind}:{value}"), *([_long(f"{kind} of {part}")] if part else [])]
+
+
+def terms(data: np.ndarray, off: np.ndarray, stem: int = STEM) -> dict[str, np.ndarray]:
+    """The terms of a block of texts: runs of letters, of three code points or more. start and
+    end in code points of the text, hash, stem's hash, long (longer than the stem), text."""
+    starts, ends, h, _ = words(data, off, apart=_NO_LETTER)
+    points = np.append(0, np.cumsum((data & 0xC0) != 0x80))  # code points begun before each byte
+    keep = points[ends] - points[starts] >= 3
+    starts, ends, h = starts[keep], ends[keep], h[keep]
+    text = np.searchsorted(off, starts, "right") - 1
+    cut = np.minimum(np.searchsorted(points, points[starts] + stem, "right") - 1, ends)
+    base = points[off[text]]
+    return {
+        "start": points[starts] - base, "end": points[ends] - base, "hash": h.view(np.int64),
+        "stem": mixed(span_hashes(data, starts, cut)).view(np.int64), "long": points[ends] - points[starts] > stem, "text": text,
+    }
 
 
 def near_terms(text: str, spans: list[tuple[str, int, int]], window: int = WINDOW) -> list[dict]:
-    """For each entity mentioned, the terms within window words of a mention, with all places
-    where they stand in the text, outside the base spans."""
-    words = [(m[0].lower(), m.start(), m.end()) for m in _TERM.finditer(text)]
-    covered = sorted((a, b) for _, a, b in spans)
-    ends = np.maximum.accumulate(np.array([b for _, b in covered], np.int64))
-    heads = np.array([a for a, _ in covered], np.int64)
-    starts = np.array([w[1] for w in words], np.int64)
-    if not len(starts):
-        return []
-    k = np.searchsorted(heads, np.array([w[2] for w in words], np.int64), "left") - 1
-    free = (k < 0) | (ends[np.maximum(k, 0)] <= starts)
-    words = [w for w, f in zip(words, free.tolist(), strict=True) if f]
-    starts = starts[free]
-    near: dict[tuple[int, str], None] = {}
+    """The terms within window terms of a mention of an entity, outside all spans."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    t = terms(raw, np.array([0, len(raw)]))
+    free = outside(t["start"], t["end"], spans)
+    t = {k: v[free] for k, v in t.items()}
+    near: dict[tuple[int, int], dict] = {}
     for kind, a, b in spans:
-        e, at = entity_key(kind, text[a:b]), int(np.searchsorted(starts, a))
-        near |= dict.fromkeys((e, t) for t, _, _ in words[max(0, at - window) : at + window])
-    wanted = {t for _, t in near}
-    places: dict[str, list[int]] = {t: [] for t in wanted}
-    for t, a, b in words:
-        if t in wanted:
-            places[t] += (a, b)
-    return [{"entity": e, "term": t, "places": places[t]} for e, t in near]
+        at = int(np.searchsorted(t["start"], a))
+        around = range(max(0, at - window), min(at + window, len(t["start"])))
+        for e in entity_keys(kind, text[a:b]):
+            for i in around:
+                k = (e, int(t["hash"][i]))
+                near.setdefault(k, {"entity": e, "term": k[1], "stem": int(t["stem"][i]), "long": bool(t["long"][i])})
+    return list(near.values())
+
+
+def outside(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[str, int, int]]) -> np.ndarray:
+    """Which of the stretches meet none of the spans."""
+    if not spans:
+        return np.ones(len(starts), bool)
+    covered = sorted((a, b) for _, a, b in spans)
+    reach = np.maximum.accumulate(np.array([b for _, b in covered], np.int64))
+    k = np.searchsorted(np.array([a for a, _ in covered], np.int64), ends, "left") - 1
+    return (k < 0) | (reach[np.maximum(k, 0)] <= starts)
+
+
+def candidates(batch: pa.RecordBatch) -> list[bool]:
+    """The texts that can hold a span: an @, or the digits of the shortest other kind."""
+    out: list[bool] = []
+    for _, data, off in text_blocks(batch.column("text")):
+        digits = np.append(0, np.cumsum((data >= 48) & (data <= 57)))[off]
+        ats = np.append(0, np.cumsum(data == 64))[off]
+        out += ((np.diff(digits) >= 4) | (np.diff(ats) > 0)).tolist()
+    return out
+
+
+def text_keys(batch: pa.RecordBatch) -> np.ndarray:
+    """A hash of each text, null as the empty one."""
+    return np.array([xxhash.xxh3_64_intdigest(v.as_buffer() or b"") for v in batch.column("text")], np.uint64).view(np.int64)
+
+
+def row_keys(batch: pa.RecordBatch, keys: np.ndarray) -> np.ndarray:
+    """A hash of each row's doc_id and text."""
+    return spark_hashes(pa.array(keys), spark_hashes(batch.column("doc_id")))
 
 
 FOUND = (
-    "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string,"
-    " entities array<long>, near array<struct<entity: long, term: string, places: array<int>>>, text_key long"
+    "doc_id long, row long, text_key long, n_email long, n_ip long, n_card long, n_phone long, n_secret long, base_sha256 string, found string,"
+    " entities array<long>, near array<struct<entity: long, term: long, stem: long, long: boolean>>"
 )
 
 
 def found(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Base spans of every document, and the terms near them."""
-    near_type = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("places", pa.list_(pa.int32()))]))
+    """Spans of every document's patterns, and the terms near them."""
+    near_type = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("stem", pa.int64()), ("long", pa.bool_())]))
+    none = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys = text_keys(batch)
             rows = []
-            for v in batch.column("text"):
-                text = v.as_py() or ""
-                spans = find_base(text)
+            for v, may in zip(batch.column("text"), candidates(batch), strict=True):
+                text = v.as_py() if may else ""
+                spans = find_base(text) if may else []
+                secrets = find_secrets(text, spans) if may else []
+                if not spans and not secrets:
+                    rows.append((0, 0, 0, 0, 0, none, "", [], []))
+                    continue
                 n = Counter(k for k, _, _ in spans)
                 base = joined(spans)
-                entities = sorted({entity_key(k, text[a:b]) for k, a, b in spans})
-                rows.append((*(n[k] for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, entities, near_terms(text, spans, window) if spans else [], _long(text) if spans else 0))
-            types = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.list_(pa.int64()), near_type, pa.int64()]
+                entities = sorted({e for k, a, b in spans + secrets for e in entity_keys(k, text[a:b])})
+                rows.append((*(n[k] for k in KINDS), len(secrets), hashlib.sha256(base.encode()).hexdigest(), joined(spans + secrets), entities, near_terms(text, spans + secrets, window)))
+            types = [*[pa.int64()] * 5, pa.string(), pa.string(), pa.list_(pa.int64()), near_type]
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
-            names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "near", "text_key"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=names)
+            cols = [batch.column("doc_id"), pa.array(row_keys(batch, keys).view(np.int64)), pa.array(keys), *cols]
+            names = ["doc_id", "row", "text_key", "n_email", "n_ip", "n_card", "n_phone", "n_secret", "base_sha256", "found", "entities", "near"]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FOUND)
+    return docs.mapInArrow(run, FOUND)
 
 
-def document_counts(docs: DataFrame, wanted: DataFrame, stem: int = STEM) -> DataFrame:
-    """df of each of wanted's terms and stems over all documents: term, df.
+def text_counts(docs: DataFrame, hits: DataFrame, wanted: DataFrame) -> DataFrame:
+    """term, df: in how many texts each of the wanted terms and stems stands, copies of a text
+    counted once, under the least doc_id that it has.
 
-    A filter of fixed size drops most other words at the scan; the join does so exactly."""
+    A filter drops most other terms at the scan; the join does so exactly."""
     keys = wanted.select("term").distinct()
-    bits = keys.sparkSession.sparkContext.broadcast(key_filter(keys.withColumn("k", F.xxhash64("term")), "k"))
+    spark = keys.sparkSession
+    bits = spark.sparkContext.broadcast(key_filter(keys, "term"))
+    first = hits.groupBy("text_key").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("doc_id"))
+    chosen = spark.sparkContext.broadcast(key_filter(first.select(F.xxhash64("doc_id", "text_key").alias("k")), "k", 4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Spark's xxhash64 of a string is XXH64 of its bytes with seed 42
         for batch in batches:
-            n: Counter[str] = Counter()
-            for v in batch.column("text"):
-                terms = set(map(str.lower, _TERM.findall(v.as_py() or "")))
-                n.update(terms)
-                n.update({t[:stem] + "*" for t in terms})
-            h = np.array([xxhash.xxh64_intdigest(t.encode(), 42) for t in n], np.uint64)
-            hit = in_filter(bits.value, h).tolist() if n else []
-            kept = [x for x, y in zip(n.items(), hit, strict=True) if y]
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in kept], pa.string()), pa.array([c for _, c in kept], pa.int64())], names=["term", "n"])
-
-    n = docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+            part = batch.filter(pa.array(chosen.value.passes(row_keys(batch, text_keys(batch)))))
+            for _, data, off in text_blocks(part.column("text"), 1 << 20):
+                t = terms(data, off)
+                h, text = np.concatenate([t["hash"], t["stem"]]), np.tile(t["text"], 2)
+                hit = bits.value.passes(h.view(np.uint64))
+                own, back = np.unique(h[hit], return_inverse=True)
+                pairs = np.unique(text[hit] * len(own) + back)
+                n = np.bincount(pairs % max(1, len(own)), minlength=len(own))
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], names=["term", "n"])
+
+    n = docs.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
     return n.join(keys, "term", "left_semi")
 
 
-def disclosing(docs: DataFrame, hits: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT, stem: int = STEM) -> DataFrame:
-    """(entity, term, action) of the pairs over the threshold: action is the stem to write
-    instead, or empty: remove."""
-    n_docs = docs.select(F.count(F.lit(1)).alias("n_docs"))
-    df_e = hits.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
-    near = hits.select(F.explode("near").alias("x")).select("x.entity", "x.term")
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= support)
-    stems = (
-        hits.select(F.explode(F.expr(f"array_distinct(transform(near, x -> struct(x.entity as entity, concat(left(x.term, {stem}), '*') as term)))")).alias("x"))
-        .select("x.entity", "x.term").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c"))
-    )
-    pairs = materialised(pairs, "pairs")
-    stems = stems.join(pairs.select("entity", F.concat(F.substring("term", 1, stem), F.lit("*")).alias("term")).distinct(), ["entity", "term"], "left_semi")
-    both = materialised(pairs.unionByName(stems), "pairs")
-    both = both.join(document_counts(docs, both, stem), "term").join(df_e, "entity").join(F.broadcast(n_docs))
-    ic = F.log2(F.col("n_docs") / F.col("df_e"))
-    pmi = F.log2(F.col("n_docs") * F.col("c") / (F.col("df_t") * F.col("df_e")))
-    both = both.withColumnRenamed("df", "df_t").withColumn("over", (ic > 0) & (pmi >= threshold * ic))
-    over = both.where(F.col("over") & ~F.col("term").endswith("*")).select("entity", "term", F.concat(F.substring("term", 1, stem), F.lit("*")).alias("stem"))
-    safe = both.where(~F.col("over") & F.col("term").endswith("*")).select("entity", F.col("term").alias("stem"), F.lit(True).alias("safe"))
-    over = over.join(safe, ["entity", "stem"], "left")
-    action = F.when(F.col("safe") & (F.length("term") > stem), F.col("stem")).otherwise(F.lit(""))
-    return over.select("entity", "term", action.alias("action"))
-
-
-def sanitise_spans(docs: DataFrame, *, window: int = WINDOW, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """docs(doc_id, text, ...) as doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans,
-    text_key and terms (start, end, action of the method's own spans).
+def disclosing(docs: DataFrame, hits: DataFrame, threshold: float = THRESHOLD, smoothing: float = SMOOTHING) -> DataFrame:
+    """term, remove: the terms over the threshold for some entity, and whether their stems are too."""
+    n_texts = hits.select("text_key").distinct().count()
+    texts = hits.where("size(entities) > 0").groupBy("text_key").agg(F.first("entities").alias("entities"), F.first("near").alias("near"))
+    texts = materialised(texts, "texts")
+    df_e = texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
+    near = texts.select("text_key", F.explode("near").alias("x")).select("text_key", "x.*")
+    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c"), F.first("stem").alias("stem"), F.first("long").alias("long"))
+    stems = near.select("text_key", "entity", "stem").distinct().groupBy("entity", F.col("stem").alias("term")).agg(F.count(F.lit(1)).alias("c"))
+    pairs, stems = materialised(pairs, "pairs"), materialised(stems, "stems")
+    counts = materialised(text_counts(docs, hits, pairs.select("term").union(stems.select("term"))), "counts")
+
+    def over(p: DataFrame) -> DataFrame:
+        p = p.join(counts, "term").join(df_e, "entity")
+        p_e = F.col("df_e") / n_texts
+        gain = F.log2((F.col("c") + smoothing * p_e) / (F.col("df") + smoothing) / p_e)
+        return p.where((p_e < 1) & (gain >= threshold * -F.log2(p_e)))
+
+    wide = over(stems).select("entity", F.col("term").alias("stem"), F.lit(True).alias("wide"))
+    out = over(pairs).join(wide, ["entity", "stem"], "left")
+    return out.groupBy("term").agg(F.max(F.coalesce("wide", F.lit(False)) | ~F.col("long")).alias("remove"))
+
+
+def marks(docs: DataFrame, over: DataFrame) -> DataFrame:
+    """row, terms: where the disclosing terms stand, in all rows that have one."""
+    bits = docs.sparkSession.sparkContext.broadcast(key_filter(over, "term", 8))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = row_keys(batch, text_keys(batch))
+            for row, data, off in text_blocks(batch.column("text"), 1 << 20):
+                t = terms(data, off)
+                hit = np.flatnonzero(bits.value.passes(t["hash"].view(np.uint64)))
+                free = np.ones(len(hit), bool)
+                at = t["text"][hit]
+                for i in np.unique(at).tolist():
+                    text = batch.column("text")[row + i].as_py()
+                    base = find_base(text)
+                    own = np.flatnonzero(at == i) if len(hit) < 1000 else slice(*np.searchsorted(at, [i, i + 1]).tolist())
+                    free[own] = outside(t["start"][hit[own]], t["end"][hit[own]], base + find_secrets(text, base))
+                hit, at = hit[free], at[free]
+                cols = [rows.view(np.int64)[row + at], t["hash"][hit], t["start"][hit], t["end"][hit]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "term", "start", "stop"])
+
+    places = docs.mapInArrow(run, "row long, term long, start long, stop long").join(over, "term").distinct()
+    return places.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "remove"))).alias("terms"))
+
+
+def sanitise_spans(docs: DataFrame, *, window: int = WINDOW, threshold: float = THRESHOLD, smoothing: float = SMOOTHING) -> DataFrame:
+    """docs(doc_id, text, ...) as doc_id, n_email, n_ip, n_card, n_phone, n_secret, n_term,
+    base_sha256, spans, row (a hash of doc_id and text) and terms (start, stop and remove of the
+    method's own spans; not to remove is to generalise).
 
     Null text is empty: no spans, the hash of an empty string. An empty table gives no rows.
-    Repeated rows get equal results and count as often as they stand. Words longer than any
-    bound and texts of any length are scanned whole. Other columns are not read."""
+    Repeated rows get equal results, and copies of a text count once. Texts of any length are
+    scanned whole, terms of any length are terms. Other columns are not read."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
     hits = materialised(found(docs, window), "found")
-    near = hits.where("size(near) > 0")
-    over = materialised(disclosing(docs, near, threshold, support), "disclosing")
-    # per text, not per document: copies of a text have one result
-    texts = near.groupBy("text_key").agg(F.first("near").alias("near"))
-    flagged = materialised(texts.select("text_key", F.explode("near").alias("x")).select("text_key", "x.entity", "x.term", "x.places"), "near")
-    flagged = flagged.join(over, ["entity", "term"]).groupBy("text_key", "term").agg(F.first("places").alias("places"), F.min("action").alias("action"))
-    spans = F.expr("transform(sequence(0, cast(size(places) / 2 as int) - 1), i -> struct(places[2 * i] as start, places[2 * i + 1] as stop, action as action))")
-    flagged = flagged.select("text_key", F.explode(spans).alias("s")).groupBy("text_key").agg(F.array_sort(F.collect_list("s")).alias("terms"))
-    flagged = materialised(flagged, "flagged")
-    cols = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "text_key"]
-    none = hits.where("size(near) = 0").select(*cols, F.expr("cast(array() as array<struct<start: int, stop: int, action: string>>)").alias("terms"))
-    some = near.select(*cols).join(flagged, "text_key", "left").select(*cols, F.coalesce("terms", F.expr("cast(array() as array<struct<start: int, stop: int, action: string>>)")).alias("terms"))
-    out = none.unionByName(some)
-    own = F.expr("transform(terms, s -> concat('term:', s.start, ':', s.stop))")
-    return out.withColumn("spans", F.array_join(F.concat(F.when(F.col("base") != "", F.array("base")).otherwise(F.expr("cast(array() as array<string>)")), own), ",")).drop("base")
-
-
-def masked(text: str, base: list[tuple[str, int, int]], terms: list[tuple[int, int, str]]) -> str:
-    """text with <KIND> for base spans and each term's stem, or nothing, for terms."""
-    cuts = sorted([(a, b, f"<{k.upper()}>") for k, a, b in base] + list(terms))
+    over = materialised(disclosing(docs, hits, threshold, smoothing), "disclosing")
+    own = materialised(marks(docs, over), "marks")
+    out = hits.join(own, "row", "left").withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<struct<start: long, stop: long, remove: boolean>>)")))
+    own_spans = F.expr("transform(terms, s -> concat('term:', s.start, ':', s.stop))")
+    spans = F.array_join(F.concat(F.when(F.col("found") != "", F.array("found")).otherwise(F.expr("cast(array() as array<string>)")), own_spans), ",")
+    cols = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_secret"]
+    return out.select(*cols, F.size("terms").cast("long").alias("n_term"), "base_sha256", spans.alias("spans"), "row", "terms")
+
+
+def masked(text: str, spans: list[tuple[str, int, int]], own: list[tuple[int, int, bool]], stem: int = STEM) -> str:
+    """text with <KIND> for spans, and each term's stem and *, or nothing, for terms."""
+    cuts = sorted([(a, b, f"<{k.upper()}>") for k, a, b in spans] + [(a, b, "" if gone else text[a : min(b, a + stem)] + "*") for a, b, gone in own])
     out, at = [], 0
     for a, b, new in cuts:
         if a < at:  # inside a span before it
@@ -241,41 +332,58 @@ def masked(text: str, base: list[tuple[str, int, int]], terms: list[tuple[int, i
     return "".join([*out, text[at:]])
 
 
-def sanitised_texts(docs: DataFrame) -> DataFrame:
-    """docs with sanitised texts: same rows and columns; texts without spans stay as they are,
-    null stays null. n_chars, where there is one, is counted anew for changed texts."""
-    marks = sanitise_spans(docs).where("spans != ''").groupBy("text_key").agg(F.first("terms").alias("__terms"))
-    marks = materialised(marks.withColumnRenamed("text_key", "__key"), "marks")
-    schema = docs.schema
-    keyed = T.StructType([*schema.fields, T.StructField("__text_key", T.LongType())])
-
-    def split(batches: Iterator[pa.RecordBatch], with_spans: bool) -> Iterator[pa.RecordBatch]:
+def sanitised_texts(docs: DataFrame, *, window: int = WINDOW, threshold: float = THRESHOLD, smoothing: float = SMOOTHING) -> DataFrame:
+    """docs with sanitised texts: same rows and columns, whatever the columns' names; texts
+    without spans stay as they are, null stays null, an empty table stays empty. n_chars, where
+    there is one, is counted anew for changed texts."""
+    names, at = docs.columns, docs.columns.index("text")
+    inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = inner.select("doc_id", "text")
+    own = materialised(marks(texts, materialised(disclosing(texts, materialised(found(texts, window), "found"), threshold, smoothing), "disclosing")), "marks")
+    schema = inner.drop("doc_id", "text").schema
+    bits = docs.sparkSession.sparkContext.broadcast(key_filter(own, "row", 4))
+    n_chars = names.index("n_chars") if "n_chars" in names and str(docs.schema["n_chars"].dataType) in ("LongType()", "IntegerType()") else None
+
+    def rebuilt(batch: pa.RecordBatch, new: list[str | None]) -> pa.RecordBatch:
+        cols = {n: batch.column(n) for n in schema.names}
+        old = batch.column(f"c{at}")
+        cols[f"c{at}"] = pa.array([o.as_py() if t is None else t for o, t in zip(old, new, strict=True)], pa.string())
+        if n_chars is not None:
+            n = cols[f"c{n_chars}"]
+            cols[f"c{n_chars}"] = pa.array([o.as_py() if t is None else len(t) for o, t in zip(n, new, strict=True)], n.type)
+        return pa.RecordBatch.from_arrays(list(cols.values()), names=schema.names)
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows without terms to mark: their own spans are all there is to mask."""
+        for batch in batches:
+            batch = batch.filter(pa.array(~bits.value.passes(row_keys(batch, text_keys(batch)))))
+            new: list[str | None] = []
+            for v, may in zip(batch.column("text"), candidates(batch), strict=True):
+                spans = find_base(text := v.as_py()) if may else []
+                spans += find_secrets(text, spans) if may else []
+                new.append(masked(text, spans, []) if spans else None)
+            yield rebuilt(batch, new)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [v.as_py() or "" for v in batch.column("text")]
-            hit = [bool(find_base(t)) for t in texts]
-            kept = batch.filter(pa.array([h == with_spans for h in hit], pa.bool_()))
-            if with_spans:
-                keys = pa.array([_long(t) for t, h in zip(texts, hit, strict=True) if h], pa.int64())
-                kept = pa.RecordBatch.from_arrays([*kept.columns, keys], names=keyed.names)
-            yield kept
+            rows = row_keys(batch, text_keys(batch))
+            hit = bits.value.passes(rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows.view(np.int64))], names=[*batch.schema.names, "row"]).filter(pa.array(hit))
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = []
-            for v, own in zip(batch.column("text"), batch.column("__terms").to_pylist(), strict=True):
-                text = v.as_py()
-                new.append(masked(text, find_base(text), [(r["start"], r["stop"], r["action"]) for r in own or []]))
-            columns = {n: batch.column(n) for n in schema.names} | {"text": pa.array(new, pa.string())}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=schema.names)
+            new: list[str | None] = []
+            for v, own in zip(batch.column("text"), batch.column("terms").to_pylist(), strict=True):
+                base = find_base(text := v.as_py() or "")
+                spans = base + find_secrets(text, base)
+                new.append(masked(text, spans, [(r["start"], r["stop"], r["remove"]) for r in own or []]) if spans or own else None)
+            yield rebuilt(batch, new)
 
-    plain = docs.mapInArrow(lambda b: split(b, False), schema)
-    hit = docs.mapInArrow(lambda b: split(b, True), keyed).join(marks, F.col("__text_key") == F.col("__key"), "left")
-    hit = hit.select(*(F.col(c) for c in schema.names), "__terms").mapInArrow(mask, schema)
-    if "n_chars" in docs.columns:
-        hit = hit.withColumn("n_chars", F.length("text").cast("long")).select(*schema.names)
-    return plain.unionByName(hit)
+    hit = inner.mapInArrow(keyed, inner.withColumn("row", F.lit(0).cast("long")).schema).join(own, "row", "left")
+    out = inner.mapInArrow(plain, schema).unionByName(hit.mapInArrow(mask, schema))
+    return out.toDF(*names)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sanitise_spans(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_secret", "n_term", "base_sha256", "spans")
