@@ -70,7 +70,7 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
 
 # --- a filter of bounded size over hashed keys ------------------------------------------
 
-#: Bits of a filter: eight a key and more, up to 32 MB. A full filter only routes more rows to
+#: Bits of a filter: 32 a key and more, up to 32 MB in all. A full filter only routes more rows to
 #: the exact join behind it.
 LEAST_BITS, MOST_BITS = 18, 28
 
@@ -89,7 +89,7 @@ class KeyFilter:
 
 
 def filter_bits(n: int) -> int:
-    return max(LEAST_BITS, min(MOST_BITS, n.bit_length() + 3))
+    return max(LEAST_BITS, min(MOST_BITS, n.bit_length() + 5))
 
 
 def key_filter(df: DataFrame, key: str, spare: int = 0) -> KeyFilter:

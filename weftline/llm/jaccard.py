@@ -32,6 +32,8 @@ HEAVY = 32
 COUNTED = 0.4
 #: Groups of up to so many nodes are compared whole at once.
 SMALL_GROUP = 4
+#: Nodes of a larger group that all of it is compared with at once, beside the first.
+PIVOTS = 3
 #: The other orders: tokens by these multiples.
 ORDERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
@@ -127,7 +129,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([pa.array((least >> np.uint64(24)).astype(np.int64))], names=["t"])
 
         n = self.docs.mapInArrow(run, "t long").groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HEAVY)
-        return self._shared_filter(materialised(n.select(F.shiftleft("t", 24).alias("k")), "heavy"), "k")
+        return self.spark.sparkContext.broadcast(key_filter(materialised(n.select(F.shiftleft("t", 24).alias("k")), "heavy"), "k", 5))
 
     def index(self, heavy) -> DataFrame:
         """key, node, rank (of the key in its node's order) and n (the node's tokens) of prefix
@@ -164,12 +166,18 @@ class Join:
         return materialised(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("o1", "o2", "tokens"))), "tokens")
 
     def links(self, pairs: DataFrame, shared: DataFrame) -> DataFrame:
-        """x, y of the distinct pairs(x, y) that are similar."""
+        """x, y of the distinct pairs(x, y) that are similar; with nx and ny, the sizes of their
+        sets, their sketches have been compared."""
         # how many prefix tokens of the first order they share decides what they can share at most
-        n = self.nodes.select("node", "n", "sketch")
-        pairs = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        pairs = pairs.join(n.withColumnsRenamed({"node": "x", "n": "nx", "sketch": "sx"}), "x").join(n.withColumnsRenamed({"node": "y", "n": "ny", "sketch": "sy"}), "y")
-        pairs = materialised(pairs.where("4 * least(nx, ny) >= 3 * greatest(nx, ny)").where(_close("sx", "sy", "nx", "ny")).select("x", "y", "nx", "ny"), "pairs")
+        known = "nx" in pairs.columns
+        sizes = [F.when(F.col("x") < F.col("y"), F.struct("nx", "ny")).otherwise(F.struct(F.col("ny").alias("nx"), F.col("nx").alias("ny"))).alias("s")] if known else []
+        pairs = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), *sizes).distinct()
+        if known:
+            pairs = pairs.select("x", "y", "s.nx", "s.ny")
+        else:
+            n = self.nodes.select("node", "n", "sketch")
+            pairs = pairs.join(n.toDF("x", "nx", "sx"), "x").join(n.toDF("y", "ny", "sy"), "y").where(_close("sx", "sy", "nx", "ny"))
+        pairs = materialised(pairs.where("4 * least(nx, ny) >= 3 * greatest(nx, ny)").select("x", "y", "nx", "ny"), "pairs")
         both = pairs.join(shared.withColumnsRenamed({"node": "x", "keys": "kx"}), "x").join(shared.withColumnsRenamed({"node": "y", "keys": "ky"}), "y")
         rest = F.greatest(*(F.floor(3 * F.col(c) / 4) for c in ("nx", "ny")))  # tokens after the longer prefix, at most
         both = both.where(F.size(F.array_intersect("kx", "ky")) + rest >= F.ceil(3 * (F.col("nx") + F.col("ny")) / 7)).select("x", "y")
@@ -227,11 +235,15 @@ def _first_common(nx: str, rx: str, ny: str, ry: str) -> Column:
 
 
 def _with_pivot(own: DataFrame) -> DataFrame:
-    """Each node of a key with a pivot of about its size: the node that has the key first in
-    its order. Fewer tokens of its own stand before it, so it is the nearest to what a group
-    shares. Sizes of a class are similar enough for links."""
+    """Each node of a key with some pivots of about its size: the node that has the key first
+    in its order, as fewer tokens of its own stand before it, so that it is the nearest to what
+    a group shares, and PIVOTS more by seeded hashes, the same for all keys. What the pivots
+    link needs no comparison later. Sizes of a class are similar enough for links."""
     own = own.withColumn("size", F.floor(F.log("n") / F.log(F.lit(4 / 3))))
-    pivot = own.groupBy("key", "size").agg(F.min(F.struct("rank", F.xxhash64("node").alias("h"), "node", "n")).alias("p"))
+    row = [F.col("node"), F.col("n"), F.col("rank")]
+    least = [F.min(F.struct("rank", F.xxhash64("node").alias("h"), F.struct(*row).alias("v")))["v"]]
+    least += [F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.struct(*row).alias("v")))["v"] for r in range(PIVOTS)]
+    pivot = own.groupBy("key", "size").agg(F.array_distinct(F.array(*least)).alias("p")).select("key", "size", F.explode("p").alias("p"))
     pivot = materialised(pivot.select("key", "size", F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("p.rank").alias("rx")), "pivots")
     return own.join(pivot, ["key", "size"]).where(_first_common("nx", "rx", "n", "rank")).select("x", F.col("node").alias("y")).distinct()
 
@@ -249,7 +261,7 @@ def _across(own: DataFrame) -> DataFrame:
     b = mixed_keys.select("key", F.col("node").alias("y"), F.col("root").alias("rooty"), F.col("most").alias("mosty"), F.col("n").alias("ny"), F.col("rank").alias("ry"), F.col("sketch").alias("sy"))
     # two nodes outside the largest component meet once
     met = a.join(b, "key").where((F.col("rootx") != F.col("rooty")) & ((F.col("rooty") == F.col("mosty")) | (F.col("x") < F.col("y"))))
-    return met.where(_first_common("nx", "rx", "ny", "ry") & _close("sx", "sy", "nx", "ny")).select("x", "y").distinct()
+    return met.where(_first_common("nx", "rx", "ny", "ry") & _close("sx", "sy", "nx", "ny")).select("x", "y", "nx", "ny").distinct()
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
