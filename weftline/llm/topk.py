@@ -26,12 +26,17 @@ QUERY_EVERY = 20
 BLOCK_ROWS = 2048
 QUERY_BLOCK = 512
 BINS = 1024
+#: Scores are longs: components beyond this have none and take no part, like non-finite ones,
+#: and scores must stay under this.
+MOST_COMPONENT = 2.0**56
+MOST_SCORE = 2.0**61
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and the integer components of the vectors that take part."""
     v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("e"))
-    v = v.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > MOST_COMPONENT)
+    v = v.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & ~F.exists("e", odd))
     return v.select("vec_id", F.size("e").cast("long").alias("dim"), F.transform("e", lambda x: F.floor(x * SCALE).cast("long")).alias("e"))
 
 
@@ -44,10 +49,11 @@ def blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         ids = np.asarray(table["vec_id"], np.int64)
         e = np.asarray(table["e"].combine_chunks().flatten(), np.int64)
-        return pa.table({"dim": [key[0].as_py()], "block": [key[1].as_py()], "ids": [ids.astype("<i8").tobytes()], "e": [e.astype("<i8").tobytes()]})
+        reach = float(np.abs(e.astype(np.float64)).max(initial=0))
+        return pa.table({"dim": [key[0].as_py()], "block": [key[1].as_py()], "ids": [ids.astype("<i8").tobytes()], "e": [e.astype("<i8").tobytes()], "reach": [reach]})
 
     v = v.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("n_blocks")))
-    schema = "dim long, block long, ids binary, e binary"
+    schema = "dim long, block long, ids binary, e binary, reach double"
     return materialised(v.groupBy("dim", "block").applyInArrow(pack, schema), name)
 
 
@@ -68,24 +74,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """vectors(vec_id, embedding) and queries likewise: query_id, rank, vec_id, score of each
     query's k best vectors other than its own rows, all if fewer, ties to the smaller vec_id.
 
-    Vectors that are null or hold null or non-finite components take no part. Vectors meet
+    Vectors that are null or hold null or non-finite components, or any over MOST_COMPONENT,
+    whose multiple is no long, take no part; where scores could pass MOST_SCORE the search ends
+    with an error and no wrong result. Vectors meet
     only queries of their own dimension; a dimension of 0 scores 0. Rows of one vec_id are
     one candidate each, at equal scores in any order; as a query, a vec_id must stand once.
-    Products must fit a long. Empty tables give no rows; other columns are not read."""
+    Empty tables give no rows; other columns are not read."""
     spark = vectors.sparkSession
     vb = blocks(usable(vectors), BLOCK_ROWS, "vectors")
-    qb = blocks(usable(queries), QUERY_BLOCK, "queries").withColumnsRenamed({"block": "qblock", "ids": "qids", "e": "qe"})
+    qb = blocks(usable(queries), QUERY_BLOCK, "queries").withColumnsRenamed({"block": "qblock", "ids": "qids", "e": "qe", "reach": "qreach"})
     # how far scores can lie from 0, per dimension
-    reach = lambda c: F.udf(lambda raw: float(np.abs(np.frombuffer(raw, "<i8")).max(initial=0)), "double")(c)
     ends = (
-        vb.groupBy("dim").agg(F.max(reach(F.col("e"))).alias("v"))
-        .join(qb.groupBy("dim").agg(F.max(reach(F.col("qe"))).alias("q")), "dim")
-        .select("dim", (F.col("v") * F.col("q") * F.col("dim")).cast("long").alias("reach"))
+        vb.groupBy("dim").agg(F.max("reach").alias("v"))
+        .join(qb.groupBy("dim").agg(F.max("qreach").alias("q")), "dim")
+        .select("dim", (F.col("v") * F.col("q") * F.col("dim")).alias("reach"))
     )
     pairs = materialised(vb.select("dim", "block").join(qb.select("dim", "qblock"), "dim"), "pairs")
     most = ends.agg(F.max("reach")).first()[0]
     if most is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if most >= MOST_SCORE:
+        raise ValueError(f"scores may reach {most:g}: components over {MOST_COMPONENT:g} take no part, and fewer dimensions or smaller components fit a long")
+    most = int(most)
     state: DataFrame | None = None  # qblock, lo (of each query's range), width
     low, width = -most - 1, 2 * most + 2
     while width > 1:
