@@ -312,6 +312,10 @@ def test_jaccard_components(spark, texts):
     assert got == all_links(more)
 
 
+def test_jaccard_sql(spark):
+    compare(jaccard.op8_jaccard(spark, SF), jaccard.ORACLE_SQL)
+
+
 # --- 10 ---
 
 

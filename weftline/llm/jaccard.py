@@ -309,3 +309,19 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, by their counts, and the least doc_id that links reach.
+ORACLE_SQL = r"""
+WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] ELSE list_sort(list_distinct([concat_ws(' ', z[1], z[2], z[3], z[4], z[5]) for z in list_zip(w, w[2:], w[3:], w[4:], w[5:])[1:greatest(len(w) - 4, 1)]])) END AS s FROM worded),
+nodes AS MATERIALIZED (SELECT min(doc_id) AS node, s, len(s)::BIGINT AS n FROM sets GROUP BY s),
+tokens AS MATERIALIZED (SELECT node, n, unnest(s) AS t FROM nodes),
+pairs AS (SELECT a.node AS x, b.node AS y FROM tokens a JOIN tokens b ON a.t = b.t AND a.node < b.node
+  WHERE 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n) GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+links AS MATERIALIZED (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reached AS (SELECT node, node AS root FROM nodes UNION SELECT l.y, r.root FROM reached r JOIN links l ON r.node = l.x WHERE r.root < l.y),
+roots AS (SELECT node, min(root) AS root FROM reached GROUP BY node)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE r.root END AS component_id
+FROM sets d JOIN nodes k ON d.s = k.s JOIN roots r ON r.node = k.node
+"""

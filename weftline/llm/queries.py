@@ -21,5 +21,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_topk": topk.ORACLE_SQL,
+    "op8_jaccard": jaccard.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
 }
