@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import mixed, read_table, text_blocks, words
+from weftline.llm.common import materialised, mixed, read_table, text_blocks, words
 
 ORDERS = (3, 4, 5, 6)
 FEATURE_BITS = 20
@@ -115,16 +115,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
-    """text and y of at most bound labelled documents outside the held-out fold."""
+    """text and y of at most bound labelled documents outside the held-out fold. Of rows of one
+    doc_id, the first text in order trains, so that the bound holds for texts too."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max(F.col("toxic")).cast("int").alias("y"))
+    known = known.groupBy("doc_id").agg(F.max((F.col("toxic").cast("int") > 0).cast("int")).alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)  # its bound lets it be broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Model:
     """The classifier, from at most bound labelled documents."""
-    rows = training_rows(docs, labels, bound)
+    rows = materialised(training_rows(docs, labels, bound), "labelled")
     spark = rows.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +211,10 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns, that the model does not call toxic."""
+    """The rows of docs, all columns whatever their names, that the model does not call toxic.
+
+    Null and empty texts score what the bias alone gives, and so stay unless most labels are
+    toxic; repeated rows stay or go alike; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
