@@ -259,13 +259,100 @@ def test_pseudo_likelihood(docs, texts):
     assert sum(r["log_prob"] for r in got.values()) > plain
 
 
-def test_gradients():
-    net, rng = lm.Network(np.random.default_rng(0).normal(0, 0.3, sum(int(np.prod(s)) for s in lm.Network.SHAPES))), np.random.default_rng(1)
-    near, at = rng.integers(0, lm.CLASSES + 1, (4, 200)), rng.integers(0, lm.CLASSES, 200)
-    first, squares = net.log_probs(near, at).mean(), [np.full_like(p, 1e-4) for p in net.parts]
-    for _ in range(30):
-        net.train(near, at, squares)
-    assert net.log_probs(near, at).mean() > first + 1
+@pytest.fixture
+def network():
+    """A network with weights of its own, so that every part of it counts."""
+    rng = np.random.default_rng(0)
+    net = lm.Network.start(rng.integers(0, 50, lm.TOKENS))
+    for p in net.parts:
+        p += rng.normal(0, 0.2, p.shape)
+    return net
+
+
+def windows(n, seed):
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, lm.VECTORS + 1, (2 * lm.SIDE, n)), rng.integers(0, lm.TOKENS, n)
+
+
+def test_training_raises_likelihood(network):
+    near, at = windows(200, 1)
+    first, squares = network.log_probs(near, at).mean(), lm.first_squares()
+    for _ in range(60):
+        network.train(near, at, squares)
+    assert network.log_probs(near, at).mean() > first + 1
+
+
+def test_gradients_against_differences(network):
+    network.parts = [p.astype(np.float64) for p in network.parts]
+    near, at = windows(40, 2)
+    order = np.argsort(at, kind="stable")
+    near, at = near[:, order], at[order]
+    found = network.gradients(near, at)
+    for part, (rows, g) in zip(network.parts, found, strict=True):
+        whole = np.zeros_like(part)
+        whole[rows] = g
+        for i in (int(np.abs(whole).argmax()), whole.size - 1, 0):
+            step, kept = 1e-5, part.flat[i]
+            part.flat[i] = kept + step
+            up = -network.log_probs(near, at).sum()
+            part.flat[i] = kept - step
+            down = -network.log_probs(near, at).sum()
+            part.flat[i] = kept
+            assert whole.flat[i] == pytest.approx((up - down) / (2 * step), abs=1e-4, rel=1e-4)
+
+
+def test_tokens_of_a_window_sum_to_one(network):
+    near, _ = windows(1, 3)
+    every = np.arange(lm.TOKENS)
+    assert np.exp(network.log_probs(np.repeat(near, lm.TOKENS, 1), every).astype(float)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_untrained_network_gives_shares():
+    counts = np.random.default_rng(4).integers(0, 1000, lm.TOKENS)
+    near, at = windows(500, 5)
+    net = lm.Network.start(counts)
+    for d in range(lm.DIGITS):
+        net.parts[4 + 3 * d][:] = 0  # what the window says
+    want = np.log((counts + 0.5) / (counts + 0.5).sum())[at]
+    assert np.allclose(net.log_probs(near, at), want, atol=1e-3)
+
+
+def test_scores_against_a_loop_over_places(spark, docs, texts, network):
+    """Each document's score, word by word, by the plain formula."""
+    few = dict(sorted(texts.items(), key=lambda x: len(x[1]))[:40])
+    vocabulary = lm.Vocabulary.of(lm.bucket_counts(docs))
+    encoded = lm.encode(docs.where(docs.doc_id.isin(list(few))), vocabulary)
+    got = {r["doc_id"]: r["log_prob"] for r in lm.scored(encoded, network).collect()}
+    e, s, b = network.parts[:3]
+    for r in encoded.collect():
+        tokens = np.frombuffer(r["tokens"], "<u2").tolist()
+        total = r["within"]
+        for i, token in enumerate(tokens):
+            z = b.astype(float)
+            for j, d in enumerate((-2, -1, 1, 2)):
+                beside = tokens[i + d] if 0 <= i + d < len(tokens) else lm.EDGE
+                own = lm.VECTORS - lm.SHARED_VECTORS
+                v = lm.VECTORS if beside == lm.EDGE else beside if beside < own else own + beside % lm.SHARED_VECTORS
+                z = z + e[v] * s[j]
+            h, before = np.tanh(z), 0
+            for d, digit in enumerate((token // 1024, token // 32 % 32, token % 32)):
+                u, w, bias = network.parts[3 + 3 * d : 6 + 3 * d]
+                y = (h * u[before]) @ w + bias[before]
+                total += y[digit] - np.log(np.exp(y).sum())
+                before = before * 32 + digit
+        assert got[r["doc_id"]] == pytest.approx(total, rel=1e-3, abs=1e-3)
+
+
+def test_words_in_other_contexts_score_lower(spark):
+    """Rare words, of equal counts, that go with one neighbour each: put beside the others'
+    neighbours they score lower. Their own shares cannot tell."""
+    rng = np.random.default_rng(6)
+    pairs = [f"left{i} right{i}" for i in range(150)]
+    rows = [(i, " ".join(rng.choice(pairs, 60))) for i in range(2000)]
+    swapped = " ".join(f"left{i} right{(i * 7 + 75) % 150}" for i in range(150))
+    rows += [(5000, " ".join(pairs)), (5001, swapped)]
+    got = {r["doc_id"]: r["mean_log_prob"] for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got[5000] > got[5001] + 0.3
 
 
 # --- 8 ---
