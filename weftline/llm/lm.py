@@ -39,7 +39,7 @@ SIDE = 2
 HIDDEN = 32
 #: Every word of every document is a training example in one of the rounds.
 ROUNDS = 3
-BATCH = 1024
+BATCH = 2048
 RATE = 0.2
 CHUNK = 1 << 14
 
@@ -118,6 +118,11 @@ def _vectors() -> np.ndarray:
 _VECTOR_OF = _vectors()
 
 
+def changes(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+
+
 class Network:
     """A token from the vectors of SIDE words on either side: their sum, each scaled by its
     place, a hidden layer, and a softmax for each digit of the token's number."""
@@ -185,17 +190,19 @@ class Network:
             p = np.exp(z)
             p[rows, digit] -= 1
             dg = p @ w.T
-            first = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
-            k = before[first]
-            own += [(k, np.add.reduceat(dg * h, first, 0)), (slice(None), g.T @ p), (k, np.add.reduceat(p, first, 0))]
+            first = changes(before)
+            k, sums = before[first], np.add.reduceat(np.concatenate([dg * h, p], 1), first, 0)
+            own += [(k, sums[:, :HIDDEN]), (slice(None), g.T @ p), (k, sums[:, HIDDEN:])]
             dh += dg * u.take(before, 0)
         dh *= 1 - h * h
         flat = near.ravel()
         order = np.argsort(flat, kind="stable")
-        k, first = np.unique(flat[order], return_index=True)
+        flat = flat[order]
+        first = changes(flat)
+        k = flat[first]
         de = np.concatenate([dh * s[j] for j in range(2 * SIDE)])
         ds = np.stack([(dh * e.take(near[j], 0)).sum(0) for j in range(2 * SIDE)])
-        return [(k, np.add.reduceat(de[order], first, 0)), (slice(None), ds), (slice(None), dh.sum(0)), *own]
+        return [(k, np.add.reduceat(de.take(order, 0), first, 0)), (slice(None), ds), (slice(None), dh.sum(0)), *own]
 
     def train(self, near: np.ndarray, at: np.ndarray, squares: list[np.ndarray]) -> None:
         """One step on a batch; squares: the sums of squared gradients so far."""
