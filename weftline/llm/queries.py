@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from weftline.llm import html, jaccard, lm, media, mixing, packing, pii, substrings, topk, toxicity
+from weftline.llm import html, jaccard, lm, media, mixing, packing, pii, substrings, tokencounts, topk, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +17,7 @@ QUERIES = {
     "op1_pii": pii.op1_pii,
     "op6_packing": packing.op6_packing,
     "op9_mixing": mixing.op9_mixing,
+    "op11_tokens": tokencounts.op11_tokens,
 }
 
 ORACLE_SQL = {
