@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from weftline.llm import html, jaccard, lm, media, mixing, packing, pii, substrings, tokencounts, topk, toxicity
+from weftline.llm import html, jaccard, lm, media, mixing, packing, pii, shallot, substrings, tokencounts, topk, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,10 +18,12 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op9_mixing": mixing.op9_mixing,
     "op11_tokens": tokencounts.op11_tokens,
+    "op12_shallot": shallot.op12_shallot,
 }
 
 ORACLE_SQL = {
     "op4_topk": topk.ORACLE_SQL,
     "op8_jaccard": jaccard.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
+    "op12_shallot": shallot.ORACLE_SQL,
 }
