@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from weftline.llm import html, jaccard, lm, media, mixing, packing, pii, shallot, substrings, tokencounts, topk, toxicity
+from weftline.llm import html, jaccard, lm, media, mixing, packing, pii, shallot, spelling, substrings, tokencounts, topk, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -19,6 +19,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op11_tokens": tokencounts.op11_tokens,
     "op12_shallot": shallot.op12_shallot,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLE_SQL = {
