@@ -37,7 +37,7 @@ def first_centroids(rows: DataFrame, k: int = K, seed: int = SEED) -> np.ndarray
     without an id last."""
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     found = rows.orderBy(F.asc_nulls_last(key), "v").limit(k).select("v").collect()
-    return np.array([r["v"] for r in found], np.int64).reshape(len(found), -1)
+    return np.array([r["v"] for r in found], np.int64).reshape(len(found), len(found[0]["v"]) if found else 0)
 
 
 def squared(v: np.ndarray, c: np.ndarray) -> np.ndarray:
