@@ -121,36 +121,44 @@ def chart(clauses: DataFrame, keys: list[str], pay: Payload, max_null: int) -> D
     A state is the span between words lw and rw, with what is still to link of lw's clause to
     the right (l connectors of it, the nearest ones) and of rw's to the left (r), and how many
     words inside are unlinked. Its payload is a total over the word between them that takes
-    lw's farthest connector, or, if lw has none left, rw's; spans are joined from shorter to
-    longer ones, all sentences at once."""
+    lw's farthest connector, or, if lw has none left, rw's. Spans become complete from shorter to
+    longer ones, all sentences at once; each turn joins only those of its length with all that
+    came before, and what they make waits for the turn of its own length."""
     # no linkage leaves more than max_null words without a clause
     full = clauses.groupBy(*keys).agg(F.countDistinct("w").alias("__n"), F.first("last").alias("__last")).where(F.col("__n") + max_null > F.col("__last")).select(*keys)
     left = clauses.join(full, keys, "left_semi").select(*keys, "w", "last", "d", "cost", "left", "right")
     end = left.select(*keys, "last").distinct().select(*keys, (F.col("last") + 1).alias("w"), "last", F.lit(0).alias("d"), F.lit(0.0).alias("cost"), F.expr("cast(array() as array<struct<text:string,multi:boolean,hd:string,uc:string,lc:string,dir:string>>)").alias("left"))
     end = end.withColumn("right", F.col("left"))
     nodes = cut(left.unionByName(end))
-    longest = nodes.agg(F.max("w")).first()[0] or 0
     a = nodes.select(*keys, F.col("w").alias("lw"), F.col("d").alias("ld"), "cost", F.explode(F.sequence(F.col("w") + 1, F.col("w") + 1 + max_null)).alias("rw"))
     b = nodes.select(*keys, F.col("w").alias("rw"), F.col("d").alias("rd"))
     state = [*keys, "lw", "rw", "ld", "rd", "l", "r", "nulls"]
     near = a.join(b, [*keys, "rw"]).withColumns({"l": F.lit(0), "r": F.lit(0), "nulls": F.col("rw") - F.col("lw") - 1})
-    spans = cut(near.select(*state, pay.unit(F.col("lw"), F.col("ld"), F.col("cost")).alias("n")))
+    pending = cut(near.select(*state, pay.unit(F.col("lw"), F.col("ld"), F.col("cost")).alias("n")))
     pairs = cut(partners(connectors_by_side(nodes, keys), keys))
-    sizes = nodes.select(*keys, F.col("w"), F.col("d"), F.size("left").alias("nl"), F.size("right").alias("nr"), F.transform("left", lambda c: c["multi"]).alias("ml"), F.transform("right", lambda c: c["multi"]).alias("mr"))
-    mid_right = lambda df: df.select(*keys, "lw", "ld", "l", F.col("rw").alias("m"), F.col("rd").alias("md"), F.col("nulls").alias("u1"), F.col("n").alias("n1"))
-    mid_left = lambda df: df.select(*keys, F.col("lw").alias("m"), F.col("ld").alias("md"), "rw", "rd", "r", F.col("nulls").alias("u2"), F.col("n").alias("n2"))
-    for length in range(2, longest + 1):
-        left_linked, right_linked = _linked(spans, pairs, sizes, keys, pay)
-        left_linked, right_linked = cut(left_linked), cut(right_linked)
+    sizes = cut(nodes.select(*keys, F.col("w"), F.col("d"), F.size("left").alias("nl"), F.size("right").alias("nr"), F.transform("left", lambda c: c["multi"]).alias("ml"), F.transform("right", lambda c: c["multi"]).alias("mr")))
+    ends = [*keys, "m", "md"]
+    lefts, rights, spans, length, longest = None, None, None, 1, 1 + max_null
+    while length <= longest:
+        # all that makes up a span of this length is there: each pair of parts meets once
+        new = cut(pending.where(F.col("rw") - F.col("lw") == length).groupBy(*state).agg(pay.total(F.col("n")).alias("n")))
+        pending = pending.where(F.col("rw") - F.col("lw") > length)
+        spans = new if spans is None else spans.unionByName(new)
+        left_linked, right_linked = _linked(new, pairs, sizes, keys, pay)
         # the word between takes lw's farthest connector; on its other side it may take rw's or not
-        open_right = spans.join(sizes.select(*keys, F.col("w").alias("lw"), F.col("d").alias("ld"), F.col("nr")), [*keys, "lw", "ld"]).where("l = nr").drop("nr")
-        open_left = spans.join(sizes.select(*keys, F.col("w").alias("rw"), F.col("d").alias("rd"), F.col("nl")), [*keys, "rw", "rd"]).where("r = nl and l = 0").drop("nl")
-        right_any = mid_left(right_linked.select(*state, "n").unionByName(open_right.select(*state, "n")))
-        one = mid_right(left_linked).join(right_any, [*keys, "m", "md"])
-        two = mid_right(open_left).join(mid_left(right_linked), [*keys, "m", "md"])
-        new = one.unionByName(two).where((F.col("rw") - F.col("lw") == length) & (F.col("u1") + F.col("u2") <= max_null))
-        new = new.withColumn("nulls", F.col("u1") + F.col("u2")).withColumn("n", pay.joined(F.col("n1"), F.col("n2")))
-        spans = cut(spans.unionByName(new.groupBy(*state).agg(pay.total(F.col("n")).alias("n"))))
+        open_right = new.join(sizes.select(*keys, F.col("w").alias("lw"), F.col("d").alias("ld"), F.col("nr")), [*keys, "lw", "ld"]).where("l = nr").select(*state, "n")
+        open_left = new.join(sizes.select(*keys, F.col("w").alias("rw"), F.col("d").alias("rd"), F.col("nl")), [*keys, "rw", "rd"]).where("r = nl and l = 0").select(*state, "n")
+        part = lambda x, y: x.withColumn("own", F.lit(True)).unionByName(y.withColumn("own", F.lit(False)))
+        left = part(left_linked, open_left).select(*keys, "lw", "ld", "l", F.col("rw").alias("m"), F.col("rd").alias("md"), F.col("nulls").alias("u1"), F.col("n").alias("n1"), "own")
+        right = part(right_linked, open_right).select(*keys, F.col("lw").alias("m"), F.col("ld").alias("md"), "rw", "rd", "r", F.col("nulls").alias("u2"), F.col("n").alias("n2"), F.col("own").alias("right_own"))
+        left, right, old = cut(left), cut(right), lefts
+        lefts, rights = (left, right) if old is None else (old.unionByName(left), rights.unionByName(right))
+        met = left.join(rights, ends) if old is None else left.join(rights, ends).unionByName(old.join(right, ends))
+        met = met.where((F.col("own") | F.col("right_own")) & (F.col("u1") + F.col("u2") <= max_null))
+        met = met.withColumn("nulls", F.col("u1") + F.col("u2")).withColumn("n", pay.joined(F.col("n1"), F.col("n2")))
+        met = cut(met.groupBy(*state).agg(pay.total(F.col("n")).alias("n")))
+        longest = max(longest, met.agg(F.max(F.col("rw") - F.col("lw"))).first()[0] or 0)
+        pending, length = pending.unionByName(met), length + 1
     whole = spans.join(nodes.where("w = 0").select(*keys, F.col("d").alias("ld"), F.col("last"), F.size("right").alias("nr")), [*keys, "ld"])
     return whole.where("lw = 0 and rw = last + 1 and l = nr and r = 0").groupBy(*keys, "nulls").agg(pay.total(F.col("n")).alias("n"))
 

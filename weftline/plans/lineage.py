@@ -1,19 +1,40 @@
-"""Cutting lineage by checkpoints in the shared folder that the cluster names."""
+"""Cutting lineage by tables in the shared folder that the cluster names."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the folder of spark.checkpoint.dir. Where that is unset, a session on one
-    machine uses a temporary folder, and any other is an error."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
+
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset, a session on one machine uses a temporary
+    folder, and any other is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftline-"))
-    return df.checkpoint()
+        path = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="weftline-"))
+    return path.rstrip("/")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended: the folder's owner clears it
+        pass
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder: what follows reads it there, knows its
+    size, and recomputes nothing where an executor is lost."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/weftline/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)

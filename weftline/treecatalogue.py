@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import power, sentences, trees
+from weftline.functions.connectors import parsed
+from weftline.operators import parsing, power, sentences, trees
 from weftline.plans.lineage import cut
 from weftline.registry import _WORDS, KEYS, _values
 from weftline.sources import trees as source
@@ -212,3 +213,28 @@ def gr_power_pruned(spark, sf_dir):
     left = power.pruned(c, KEYS, g).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_left"), F.countDistinct("w").alias("n_words"))
     made = c.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_clauses"))
     return made.join(left, KEYS, "left").select(*KEYS, "n_clauses", F.coalesce("n_left", F.lit(0)).alias("n_left"), F.coalesce("n_words", F.lit(0)).alias("n_words"))
+
+
+# --- parses ---
+
+
+def parsable(spark: SparkSession, sf_dir: str, cutoff: float = CUTOFF) -> DataFrame:
+    """The clauses that power pruning leaves, in the form in which parses are counted."""
+    c = cut(power.pruned(cut(clauses(spark, sf_dir, cutoff)), KEYS, source.grammar(spark)))
+    c = c.withColumn("disjunct", F.array_join("connectors", " & ")).withColumn("c", parsed(F.col("disjunct")))
+    side = lambda s: F.filter("c", lambda x: x["dir"] == s)
+    return cut(c.select(*KEYS, "w", "last", "classname", "d", "disjunct", "cost", side("-").alias("left"), side("+").alias("right")))
+
+
+@query()
+def gr_parse_counts(spark, sf_dir):
+    """How many linkages of all their words the sentences of conversations have."""
+    return parsing.parse_counts(parsable(spark, sf_dir), KEYS)
+
+
+@query()
+def gr_best(spark, sf_dir):
+    """The three best linkages of each sentence: cost, length and links."""
+    best = parsing.linkages(parsable(spark, sf_dir), KEYS, 3)
+    links = F.array_join(F.transform("links", lambda x: F.concat_ws("-", x["lw"].cast("string"), x["name"], x["rw"].cast("string"))), " ")
+    return best.select(*KEYS, "rank", "cost", "length", links.alias("links"))
