@@ -58,17 +58,50 @@ def half_turn(rows: DataFrame, keys: list[str], g: Grammar, to: str, max_null: i
     return _whole(side.select(*rows.columns).unionByName(rows.where(F.col("dir") != to)), keys)
 
 
-def pruned(clauses: DataFrame, keys: list[str], g: Grammar, max_null: int = 0) -> DataFrame:
+def mandatory(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, a, b: the links between words a < b that every clause of one of the two words needs:
+    each has a connector that can end at the other word only."""
+    every = rows.groupBy(*keys, "w").agg(F.countDistinct("d").alias("all"))
+    to = F.when(F.col("dir") == "-", F.col("w") - F.col("lo")).otherwise(F.col("w") + F.col("lo"))
+    sure = rows.where("lo = hi").groupBy(*keys, "w", to.alias("v")).agg(F.countDistinct("d").alias("have")).join(every, [*keys, "w"]).where("have = all")
+    return sure.select(*keys, F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
+
+
+def crossed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows without what would cross a mandatory link: a word under it links no farther than its
+    ends, and a word outside it to none of the words under it. A stabbing join of the links'
+    intervals with the words; right where every word must be linked."""
+    links = mandatory(rows, keys)
+    spots = rows.select(*keys, "w", "dir", "lo", "hi").distinct()
+    met = spots.join(links, keys)
+    out = F.when(F.col("dir") == "-", F.col("w") - F.col("a")).otherwise(F.col("b") - F.col("w"))  # from under the link
+    near = F.when(F.col("dir") == "-", F.col("w") - F.col("b")).otherwise(F.col("a") - F.col("w"))  # from outside, to its ends
+    far = F.when(F.col("dir") == "-", F.col("w") - F.col("a")).otherwise(F.col("b") - F.col("w"))
+    under = (F.col("w") > F.col("a")) & (F.col("w") < F.col("b"))
+    # outside, the words at distances between near and far lie under the link
+    hi = F.when(under, F.least("hi", out)).when((near >= 0) & (F.col("hi") > near) & (F.col("hi") < far), near).otherwise(F.col("hi"))
+    lo = F.when(~under & (near >= 0) & (F.col("lo") > near) & (F.col("lo") < far), far).otherwise(F.col("lo"))
+    cuts = met.select(*keys, "w", "dir", "lo", "hi", lo.alias("new_lo"), hi.alias("new_hi")).where("new_lo > lo or new_hi < hi")
+    cuts = cuts.groupBy(*keys, "w", "dir", "lo", "hi").agg(F.max("new_lo").alias("new_lo"), F.min("new_hi").alias("new_hi"))
+    new = rows.join(cuts, [*keys, "w", "dir", "lo", "hi"], "left").withColumns({"lo": F.coalesce("new_lo", "lo"), "hi": F.coalesce("new_hi", "hi")})
+    return _whole(new.select(*rows.columns), keys)
+
+
+def pruned(clauses: DataFrame, keys: list[str], g: Grammar, max_null: int = 0, cross: bool = False) -> DataFrame:
     """The clauses(keys, w, last, d, connectors, ...) that stay: turns to the left and to the right
     until intervals and clauses stay as they are. A sentence in which a turn changes nothing takes
     no part in the next, and one in which more than max_null words have no clause goes. No clause
-    goes that a linkage with so many unlinked words uses."""
+    goes that a linkage with so many unlinked words uses. With cross, for linkages of all words,
+    each turn also takes away what would cross mandatory links."""
+    if cross and max_null:
+        raise ValueError("links are mandatory only where all words are linked")
     rows, last = bounded(clauses, keys, g), clauses.groupBy(*keys).agg(F.first("last").alias("last"))
     size = lambda df: df.groupBy(*keys).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("size"), F.size(F.collect_set("w")).alias("words"))
     enough = size(rows).join(last, keys).where(F.col("words") + max_null > F.col("last")).select(*keys, F.col("size").alias("had"))
     rows, done = cut(rows.join(enough, keys)), None
     while True:
         turn = cut(half_turn(half_turn(rows.drop("had"), keys, g, "-", max_null), keys, g, "+", max_null))
+        turn = cut(crossed(turn, keys)) if cross else turn
         had = rows.select(*keys, "had").distinct()
         enough = cut(size(turn).join(last, keys).where(F.col("words") + max_null > F.col("last")).join(had, keys).select(*keys, "size", "had"))
         settled = turn.join(enough.where("size = had"), keys, "left_semi").select(*keys, "w", "d").distinct()

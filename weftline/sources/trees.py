@@ -128,3 +128,9 @@ def matching_names(expressions: dict[str, tuple]) -> list[tuple[str, str]]:
     parts = {c: re.fullmatch(CONNECTOR, c).groups() for c in found}
     fits = lambda p, q: all(x == y or "*" in (x, y) for x, y in zip(p.ljust(9, "*"), q.ljust(9, "*"), strict=True))
     return [(a, b) for a in found for b in found if parts[a][4] == "+" and parts[b][4] == "-" and parts[a][2] == parts[b][2] and fits(parts[a][3], parts[b][3])]
+
+
+def link_of(a: str, b: str) -> str:
+    """The name of the link of two matching connectors, for SQL."""
+    (_, _, uc, x, _), (_, _, _, y, _) = (re.fullmatch(CONNECTOR, c).groups() for c in (a, b))
+    return (uc + "".join(q if p == "*" else p for p, q in zip(x.ljust(9, "*"), y.ljust(9, "*"), strict=True))).rstrip("*")

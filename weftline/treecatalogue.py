@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.connectors import parsed
-from weftline.operators import parsing, power, sentences, trees
+from weftline.operators import parsing, power, rulepruning, sentences, trees
 from weftline.plans.lineage import cut
 from weftline.registry import _WORDS, KEYS, _values
 from weftline.sources import trees as source
@@ -215,12 +215,58 @@ def gr_power_pruned(spark, sf_dir):
     return made.join(left, KEYS, "left").select(*KEYS, "n_clauses", F.coalesce("n_left", F.lit(0)).alias("n_left"), F.coalesce("n_words", F.lit(0)).alias("n_words"))
 
 
+_CROSSED = f"""{_BOUNDS}, ev AS (SELECT conv_id, turn, s, w, count(DISTINCT id) AS n_all FROM b2 GROUP BY ALL),
+links AS MATERIALIZED (SELECT DISTINCT conv_id, turn, s, least(v, w) AS a, greatest(v, w) AS b FROM (SELECT conv_id, turn, s, w, CASE dir WHEN '-' THEN w - lo ELSE w + lo END AS v, count(DISTINCT id) AS n_have FROM b2 WHERE lo = hi GROUP BY ALL)
+  JOIN ev USING (conv_id, turn, s, w) WHERE n_have = n_all),
+spots AS (SELECT DISTINCT conv_id, turn, s, w, dir, lo, hi FROM b2),
+far AS (SELECT *, CASE dir WHEN '-' THEN w - b ELSE a - w END AS near, CASE dir WHEN '-' THEN w - a ELSE b - w END AS far FROM spots JOIN links USING (conv_id, turn, s)),
+cuts AS (SELECT conv_id, turn, s, w, dir, lo, hi, max(CASE WHEN NOT (w > a AND w < b) AND near >= 0 AND lo > near AND lo < far THEN far ELSE lo END) AS nlo,
+  min(CASE WHEN w > a AND w < b THEN least(hi, far) WHEN near >= 0 AND hi > near AND hi < far THEN near ELSE hi END) AS nhi FROM far GROUP BY ALL),
+x0 AS (SELECT b2.* REPLACE (coalesce(nlo, b2.lo) AS lo, coalesce(nhi, b2.hi) AS hi) FROM b2 LEFT JOIN cuts USING (conv_id, turn, s, w, dir, lo, hi)),
+x1 AS (SELECT * FROM x0 WHERE lo <= hi QUALIFY count(*) OVER (PARTITION BY id) = n)"""
+
+
+@query(f"""WITH {_CROSSED} SELECT name, count(*) AS n, sum(lo)::BIGINT AS nearest, sum(hi)::BIGINT AS farthest, (SELECT count(*) FROM links) AS n_links FROM x1 GROUP BY name""")
+def gr_crossed(spark, sf_dir):
+    """Connectors and their distances after a turn to either side, without what would cross the
+    links that sentences must have, and the number of such links."""
+    g = source.grammar(spark)
+    rows = cut(power.half_turn(power.half_turn(power.bounded(clauses(spark, sf_dir), KEYS, g), KEYS, g, "-"), KEYS, g, "+"))
+    n = power.mandatory(rows, KEYS).agg(F.count(F.lit(1)).alias("n_links"))
+    out = power.crossed(rows, KEYS).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("lo").alias("nearest"), F.sum("hi").alias("farthest"))
+    return out.join(F.broadcast(n))
+
+
+def _like(name: str, pattern: str) -> str:
+    return f"regexp_matches({name}, '^' || replace({pattern}, '*', '[a-z*]') || '([^A-Z_]|$)')"
+
+
+_LINKS = [(a, b, _n) for a, b in source.matching_names(source.EXPRESSIONS) for _n in [source.link_of(a, b)]]
+_RULES = f"""{_MADE}, rules AS (SELECT * FROM (VALUES {_values(rulepruning.RULES)}) t(rule, selector, wanted)), lk AS (SELECT * FROM (VALUES {_values(_LINKS)}) t(a, b, link)),
+asks AS (SELECT DISTINCT name, rule FROM (SELECT DISTINCT name FROM leaf) JOIN rules ON {_like("name[:-2]", "selector")}), gives AS (SELECT DISTINCT a, b, rule FROM lk JOIN rules ON {_like("link", "wanted")}),
+cons AS MATERIALIZED (SELECT id, conv_id, turn, s, w, classname, name FROM (SELECT *, unnest(x) AS node FROM made) JOIN leaf USING (classname, node)),
+ok AS (SELECT DISTINCT p.conv_id, p.turn, p.s, rule FROM cons p JOIN gives ON p.name = a JOIN cons q ON q.name = b AND q.conv_id = p.conv_id AND q.turn = p.turn AND q.s = p.s AND p.w < q.w),
+asked AS (SELECT DISTINCT id, conv_id, turn, s, classname, rule FROM cons JOIN asks USING (name))"""
+
+
+@query(f"""WITH {_RULES} SELECT rule, classname, count(*) AS n_asked, count(*) FILTER (NOT EXISTS (SELECT 1 FROM ok o WHERE o.conv_id = k.conv_id AND o.turn = k.turn AND o.s = k.s AND o.rule = k.rule)) AS n_lost FROM asked k GROUP BY ALL""")
+def gr_rule_lacks(spark, sf_dir):
+    """Clauses that ask for a link by a rule, and those of them that no link of their sentence can
+    satisfy."""
+    g, c = source.grammar(spark), cut(clauses(spark, sf_dir))
+    rules = spark.createDataFrame(rulepruning.RULES, rulepruning.RULE)
+    names = c.select(*KEYS, "w", "d", "classname", F.explode(F.transform("connectors", lambda x: F.regexp_replace(x, "^@", ""))).alias("name"))
+    asked = names.join(rulepruning.index(g, rules)[0], "name").select(*KEYS, "w", "d", "classname", "rule").distinct()
+    lost = rulepruning.lacking(c, KEYS, g, rules).withColumn("lost", F.lit(1))
+    return asked.join(lost, [*KEYS, "w", "d", "rule"], "left").groupBy("rule", "classname").agg(F.count(F.lit(1)).alias("n_asked"), F.count("lost").alias("n_lost"))
+
+
 # --- parses ---
 
 
 def parsable(spark: SparkSession, sf_dir: str, cutoff: float = CUTOFF) -> DataFrame:
     """The clauses that power pruning leaves, in the form in which parses are counted."""
-    c = cut(power.pruned(cut(clauses(spark, sf_dir, cutoff)), KEYS, source.grammar(spark)))
+    c = cut(power.pruned(cut(clauses(spark, sf_dir, cutoff)), KEYS, source.grammar(spark), cross=True))
     c = c.withColumn("disjunct", F.array_join("connectors", " & ")).withColumn("c", parsed(F.col("disjunct")))
     side = lambda s: F.filter("c", lambda x: x["dir"] == s)
     return cut(c.select(*KEYS, "w", "last", "classname", "d", "disjunct", "cost", side("-").alias("left"), side("+").alias("right")))
