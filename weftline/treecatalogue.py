@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.connectors import parsed
-from weftline.operators import parsing, power, rulepruning, sentences, trees
+from weftline.operators import parsing, power, rulepruning, sentences, trees, wordgraph
 from weftline.plans.lineage import cut
 from weftline.registry import _WORDS, KEYS, _values
 from weftline.sources import trees as source
@@ -284,3 +284,40 @@ def gr_best(spark, sf_dir):
     best = parsing.linkages(parsable(spark, sf_dir), KEYS, 3)
     links = F.array_join(F.transform("links", lambda x: F.concat_ws("-", x["lw"].cast("string"), x["name"], x["rw"].cast("string"))), " ")
     return best.select(*KEYS, "rank", "cost", "length", links.alias("links"))
+
+
+# --- word graphs ---
+
+_Q = lambda p: "'" + p.replace("'", "''") + "'"
+_PLAIN = f"NOT regexp_matches(token, {_Q(wordgraph.LEFT)}) AND NOT regexp_matches(token, {_Q(wordgraph.RIGHT)}) AND NOT regexp_matches(token, {_Q(wordgraph.UNIT)})"
+_X = lambda p, i: f"regexp_extract(token, {_Q(p)}, {i})"
+_STRIP = f"""CASE WHEN regexp_matches(token, {_Q(wordgraph.LEFT)}) THEN list_append(regexp_extract_all({_X(wordgraph.LEFT, 1)}, '.'), {_X(wordgraph.LEFT, 2)})
+  WHEN regexp_matches(token, {_Q(wordgraph.RIGHT)}) THEN list_prepend({_X(wordgraph.RIGHT, 1)}, regexp_extract_all({_X(wordgraph.RIGHT, 2)}, '.')) ELSE [{_X(wordgraph.UNIT, 1)}, {_X(wordgraph.UNIT, 2)}] END"""
+_ALTS = lambda source_: f"""SELECT token, {_STRIP} AS parts FROM {source_} WHERE NOT ({_PLAIN})
+UNION ALL SELECT token, regexp_extract_all(token, {_Q(wordgraph.PIECES)}) FROM {source_} WHERE {_PLAIN} AND regexp_matches(token, {_Q(wordgraph.MIDDLE)})
+UNION ALL SELECT token, [lower(token)] FROM {source_} WHERE {_PLAIN} AND NOT regexp_matches(token, {_Q(wordgraph.MIDDLE)}) AND lower(token) <> token
+UNION ALL SELECT token, [{_X(wordgraph.SUFFIX, 1)}, '=' || {_X(wordgraph.SUFFIX, 2)}] FROM {source_} WHERE {_PLAIN} AND regexp_matches(token, {_Q(wordgraph.SUFFIX)}) AND {_X(wordgraph.SUFFIX, 1)} IN (SELECT token FROM types)"""
+
+
+def _up(n: int) -> str:
+    """One more level of alternatives, all of them counted anew from the level before."""
+    return f"""g{n}p AS (SELECT alt, sum(slots) AS slots, sum(words) AS words, sum(edges + coalesce(tails * nxt, 0)) AS edges, arg_min(heads, i) AS heads, arg_max(tails, i) AS tails
+  FROM (SELECT alt, i, g.*, lead(heads) OVER (PARTITION BY alt ORDER BY i) AS nxt FROM items JOIN g{n - 1} g ON part = g.token) GROUP BY alt),
+g{n} AS MATERIALIZED (SELECT t.token, greatest(coalesce(max(slots), 1), 1) AS slots, coalesce(sum(words), 0) + any_value(w) AS words, coalesce(sum(edges), 0) AS edges, coalesce(sum(heads), 0) + any_value(w) AS heads, coalesce(sum(tails), 0) + any_value(w) AS tails
+  FROM all_ t LEFT JOIN alts a ON a.token = t.token LEFT JOIN g{n}p p ON p.alt = a.alt GROUP BY t.token)"""
+
+
+@query(f"""WITH RECURSIVE toks AS (SELECT doc_id, token, i FROM (SELECT doc_id, unnest(ts) AS token, generate_subscripts(ts, 1) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '') AS ts FROM documents))),
+types AS MATERIALIZED (SELECT DISTINCT token FROM toks),
+seen(token) AS (SELECT token FROM types UNION SELECT unnest(parts) FROM ({_ALTS("seen")})),
+all_ AS MATERIALIZED (SELECT token, CASE WHEN {_PLAIN} THEN 1 ELSE 0 END AS w FROM seen),
+alts AS MATERIALIZED (SELECT row_number() OVER () AS alt, token, parts FROM ({_ALTS("all_")})),
+items AS MATERIALIZED (SELECT alt, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM alts),
+g0 AS (SELECT token, 1 AS slots, w AS words, 0 AS edges, w AS heads, w AS tails FROM all_),
+{", ".join(_up(n) for n in range(1, 11))}
+SELECT doc_id, count(*) AS tokens, sum(slots)::BIGINT AS slots, sum(words)::BIGINT AS words, sum(edges + coalesce(tails * nxt, 0))::BIGINT AS edges
+FROM (SELECT doc_id, g10.*, lead(heads) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM toks JOIN g10 USING (token)) GROUP BY doc_id""")
+def gr_word_graphs(spark, sf_dir):
+    """The word graph of each document: its tokens, slots on the longest path, words and edges."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return wordgraph.graphs(docs, ["doc_id"])
