@@ -69,7 +69,7 @@ def mandatory(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def crossed(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows without what would cross a mandatory link: a word under it links no farther than its
-    ends, and a word outside it to none of the words under it. A stabbing join of the links'
+    ends, and a word beyond its ends to none of the words under it. A stabbing join of the links'
     intervals with the words; right where every word must be linked."""
     links = mandatory(rows, keys)
     spots = rows.select(*keys, "w", "dir", "lo", "hi").distinct()
@@ -79,8 +79,8 @@ def crossed(rows: DataFrame, keys: list[str]) -> DataFrame:
     far = F.when(F.col("dir") == "-", F.col("w") - F.col("a")).otherwise(F.col("b") - F.col("w"))
     under = (F.col("w") > F.col("a")) & (F.col("w") < F.col("b"))
     # outside, the words at distances between near and far lie under the link
-    hi = F.when(under, F.least("hi", out)).when((near >= 0) & (F.col("hi") > near) & (F.col("hi") < far), near).otherwise(F.col("hi"))
-    lo = F.when(~under & (near >= 0) & (F.col("lo") > near) & (F.col("lo") < far), far).otherwise(F.col("lo"))
+    hi = F.when(under, F.least("hi", out)).when((near > 0) & (F.col("hi") > near) & (F.col("hi") < far), near).otherwise(F.col("hi"))
+    lo = F.when(~under & (near > 0) & (F.col("lo") > near) & (F.col("lo") < far), far).otherwise(F.col("lo"))
     cuts = met.select(*keys, "w", "dir", "lo", "hi", lo.alias("new_lo"), hi.alias("new_hi")).where("new_lo > lo or new_hi < hi")
     cuts = cuts.groupBy(*keys, "w", "dir", "lo", "hi").agg(F.max("new_lo").alias("new_lo"), F.min("new_hi").alias("new_hi"))
     new = rows.join(cuts, [*keys, "w", "dir", "lo", "hi"], "left").withColumns({"lo": F.coalesce("new_lo", "lo"), "hi": F.coalesce("new_hi", "hi")})

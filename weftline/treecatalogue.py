@@ -220,8 +220,8 @@ links AS MATERIALIZED (SELECT DISTINCT conv_id, turn, s, least(v, w) AS a, great
   JOIN ev USING (conv_id, turn, s, w) WHERE n_have = n_all),
 spots AS (SELECT DISTINCT conv_id, turn, s, w, dir, lo, hi FROM b2),
 far AS (SELECT *, CASE dir WHEN '-' THEN w - b ELSE a - w END AS near, CASE dir WHEN '-' THEN w - a ELSE b - w END AS far FROM spots JOIN links USING (conv_id, turn, s)),
-cuts AS (SELECT conv_id, turn, s, w, dir, lo, hi, max(CASE WHEN NOT (w > a AND w < b) AND near >= 0 AND lo > near AND lo < far THEN far ELSE lo END) AS nlo,
-  min(CASE WHEN w > a AND w < b THEN least(hi, far) WHEN near >= 0 AND hi > near AND hi < far THEN near ELSE hi END) AS nhi FROM far GROUP BY ALL),
+cuts AS (SELECT conv_id, turn, s, w, dir, lo, hi, max(CASE WHEN NOT (w > a AND w < b) AND near > 0 AND lo > near AND lo < far THEN far ELSE lo END) AS nlo,
+  min(CASE WHEN w > a AND w < b THEN least(hi, far) WHEN near > 0 AND hi > near AND hi < far THEN near ELSE hi END) AS nhi FROM far GROUP BY ALL),
 x0 AS (SELECT b2.* REPLACE (coalesce(nlo, b2.lo) AS lo, coalesce(nhi, b2.hi) AS hi) FROM b2 LEFT JOIN cuts USING (conv_id, turn, s, w, dir, lo, hi)),
 x1 AS (SELECT * FROM x0 WHERE lo <= hi QUALIFY count(*) OVER (PARTITION BY id) = n)"""
 
