@@ -126,7 +126,8 @@ def trie(words: DataFrame, least: int = 0) -> DataFrame:
     nodes = edges.groupBy("node").agg(F.collect_list(kid).alias("kids"), F.sum("n").alias("n")).where("n > 1")
     ahead = nodes.select(F.col("node").alias("on"), F.array_join(F.expr("transform(kids, k -> if(k.c = '', '.', k.c))"), "").alias("ahead"))
     edges = nodes.select("node", F.inline("kids"))
-    return edges.join(ahead, F.when(F.col("id").isNull(), F.concat("node", "c")) == F.col("on"), "left").drop("on")
+    inner = edges.where("id is null").withColumn("on", F.concat("node", "c")).join(ahead, "on").drop("on")
+    return inner.unionByName(edges.where("id is not null").withColumn("ahead", F.lit(None).cast("string")))
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
