@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.connectors import parsed
-from weftline.operators import parsing, power, rulepruning, sentences, trees, wordgraph
+from weftline.operators import linkages, parsing, power, rulepruning, sentences, trees, wordgraph
 from weftline.plans.lineage import cut
 from weftline.registry import _WORDS, KEYS, _values
 from weftline.sources import trees as source
@@ -286,6 +286,18 @@ def gr_best(spark, sf_dir):
     return best.select(*KEYS, "rank", "cost", "length", links.alias("links"))
 
 
+@query()
+def gr_shown(spark, sf_dir):
+    """The best linkage of each sentence, its links from left to right, and the connectors that
+    it uses at each word."""
+    best = parsing.linkages(parsable(spark, sf_dir), KEYS, 1)
+    k = F.concat_ws("/", *(F.col(c).cast("string") for c in KEYS)).alias("k")
+    links = cut(best.select(k, "rank", F.posexplode("links").alias("i", "x")).select("k", "rank", "i", "x.*"))
+    row = F.concat_ws(":", F.col("w").cast("string"), "disjunct")
+    used = linkages.word_disjuncts(links).groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w", row.alias("t")))), lambda x: x["t"]), "; ").alias("used"))
+    return linkages.displayed(links).drop("rank").join(used, "k")
+
+
 # --- word graphs ---
 
 _Q = lambda p: "'" + p.replace("'", "''") + "'"
