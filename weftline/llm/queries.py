@@ -27,4 +27,5 @@ ORACLE_SQL = {
     "op8_jaccard": jaccard.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
     "op12_shallot": shallot.ORACLE_SQL,
+    "op13_spelling": spelling.ORACLE_SQL,
 }

@@ -224,3 +224,20 @@ def variants(docs: DataFrame, ratio: int = RATIO) -> DataFrame:
 
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(read_table(spark, sf_dir, "documents"))
+
+
+_POLYNOMIAL = 0xEDB88320
+#: The rule's CRC-32 from its byte table, and near words as those that share a word without one of their letters.
+ORACLE_SQL = f"""WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS tb FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, {_POLYNOMIAL}) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+runs AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS r FROM documents)),
+per AS (SELECT doc_id, r, count(*) AS n, hex(doc_id || ':' || r) AS h FROM runs WHERE length(r) >= {LEAST_LENGTH} GROUP BY doc_id, r),
+crc AS (SELECT per.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h) // 2 + 1), lambda k: ('0x' || substr(h, 2 * k - 1, 2))::BIGINT)), lambda a, b: xor(tb[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) AS c FROM per, tab),
+word AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN c % {DROP} = 0 THEN left(r, c % length(r)) || substr(r, c % length(r) + 2) ELSE r END AS word, n FROM crc)
+  GROUP BY word HAVING sum(n) >= {LEAST_N} AND length(word) >= {LEAST_LENGTH}),
+less AS MATERIALIZED (SELECT word, i, left(word, i) || substr(word, i + 2) AS d FROM (SELECT word, unnest(range(length(word))) AS i FROM word)),
+one AS (SELECT l.word AS a, w.word AS b FROM less l JOIN word w ON l.d = w.word),
+near AS MATERIALIZED (SELECT a, b FROM one UNION SELECT b, a FROM one UNION SELECT x.word, y.word FROM less x JOIN less y ON x.i = y.i AND x.d = y.d AND x.word <> y.word),
+best AS (SELECT a AS word, b AS other, n AS m, count(*) OVER (PARTITION BY a) AS k FROM near JOIN word ON b = word QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, b) = 1),
+form AS MATERIALIZED (SELECT w.word, w.n, coalesce(k, 0) AS n_near, CASE WHEN m >= {RATIO} * w.n THEN other END AS form, CASE WHEN m >= {RATIO} * w.n THEN m END AS form_n FROM word w LEFT JOIN best ON best.word = w.word),
+walk(word, up) AS (SELECT word, word FROM form UNION ALL SELECT walk.word, form.form FROM walk JOIN form ON form.word = walk.up WHERE form.form IS NOT NULL)
+SELECT f.word, f.form, walk.up AS root, f.n, f.n_near, f.form_n FROM form f JOIN walk ON walk.word = f.word JOIN form l ON l.word = walk.up AND l.form IS NULL"""
