@@ -213,3 +213,20 @@ def test_crcs():
     seeds = np.array([zlib.crc32(b"%d:" % i) for i in range(300)], np.uint32)
     got = spelling.crcs(data, stop - [len(s) for s in spans], stop, seeds)
     assert got.tolist() == [zlib.crc32(b"%d:" % i + s) for i, s in enumerate(spans)]
+
+
+# --- 3 ---
+
+
+def test_foreign_elements_end_where_they_end():
+    """A self-closing or unclosed svg takes nothing along, and formulas are text."""
+    from weftline.llm import html
+
+    def read(inner):
+        page = html.Page(f"<html><body><article><p>One two three four five.</p>{inner}<p>Six seven eight nine ten.</p></article></body></html>")
+        return page.main_text(None)
+
+    both = "One two three four five.\nSix seven eight nine ten."
+    for inner in ("<svg width=1 height=1/>", "<svg/>", "<svg><text>no</text></svg>", "<svg>", "<math/>", "<script>no</script>"):
+        assert read(inner) == both, inner
+    assert read("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p>") == "One two three four five.\nLet x=1 be.\nSix seven eight nine ten."

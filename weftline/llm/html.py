@@ -35,7 +35,9 @@ _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_RAW = frozenset("script style textarea title noscript template iframe svg math object xmp noembed noframes".split())
+_RAW = frozenset("script style textarea title noscript template iframe svg annotation annotation-xml object xmp noembed noframes".split())
+#: Elements of another language: they may end where they begin, and one that never ends holds nothing back.
+_FOREIGN = frozenset("svg annotation annotation-xml".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements, words of class and id names, and roles of page furniture. A name is
 # one of furniture if all its words are, or say nothing, and one at least is.
@@ -175,9 +177,11 @@ class Page:
             elif tag == "br":
                 self.text(" ")
             elif tag in _RAW:
+                if tag in _FOREIGN and (m[3] or m[6] or "").endswith("/"):
+                    continue
                 lower = source.lower() if lower is None else lower
                 end = lower.find(f"</{tag}", at) if len(lower) == len(source) else source.find(f"</{tag}", at)
-                at = len(source) if end < 0 else end
+                at = end if end >= 0 else at if tag in _FOREIGN else len(source)
             elif tag in _VOID and tag != "hr":
                 continue
             else:
