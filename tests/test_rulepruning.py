@@ -22,7 +22,8 @@ def test_rules_against_loops(spark):
     made = numbered(trees.whole(words, g), words.groupBy("k").agg(F.max("w").alias("last")), KEYS, g, 9.0)
     rows = [(r["k"], r["w"], r["d"], tuple(c.lstrip("@") for c in r["connectors"])) for r in made.collect()]
     matching = source.matching_names(expressions)
-    gives = {r: {(a, b) for a, b in matching if any(q == r and source.link_of(a, b).startswith(x[0]) and (len(x) == 1 or source.link_of(a, b)[1:] in ("", x[1:])) and (len(x) == 1 or source.link_of(a, b)[1:] == x[1:]) for q, _, x in RULES)} for r, _, _ in RULES}
+    like = lambda link, x: link[0] == x[0] and (len(x) == 1 or link[1:] == x[1:])
+    gives = {r: {(a, b) for a, b in matching if any(q == r and like(source.link_of(a, b), x) for q, _, x in RULES)} for r, _, _ in RULES}
     asks = lambda c: {r for r, s, _ in RULES if c[0] == s}
 
     def lacking(rows):
