@@ -115,8 +115,29 @@ def _least_nulls(whole: DataFrame, keys: list[str]) -> DataFrame:
     return whole.groupBy(*keys).agg(F.min(F.struct("nulls", "n")).alias("x")).select(*keys, "x.*")
 
 
+@dataclass(frozen=True)
+class Chart:
+    """spans: all states and their payloads; nodes: clauses, and the end of each sentence; pairs:
+    the connectors of two clauses that match; sizes: the connectors of each clause by side."""
+
+    spans: DataFrame
+    nodes: DataFrame
+    pairs: DataFrame
+    sizes: DataFrame
+
+    def whole(self, keys: list[str]) -> DataFrame:
+        """The states that are linkages of whole sentences."""
+        first = self.nodes.where("w = 0").select(*keys, F.col("d").alias("ld"), F.col("last"), F.size("right").alias("nr"))
+        return self.spans.join(first, [*keys, "ld"]).where("lw = 0 and rw = last + 1 and l = nr and r = 0")
+
+
 def chart(clauses: DataFrame, keys: list[str], pay: Payload, max_null: int) -> DataFrame:
-    """keys, nulls and n: the payload of each sentence's linkages with so many unlinked words.
+    """keys, nulls and n: the payload of each sentence's linkages with so many unlinked words."""
+    return charted(clauses, keys, pay, max_null).whole(keys).groupBy(*keys, "nulls").agg(pay.total(F.col("n")).alias("n"))
+
+
+def charted(clauses: DataFrame, keys: list[str], pay: Payload, max_null: int) -> Chart:
+    """The states of each sentence's spans and their payloads.
 
     A state is the span between words lw and rw, with what is still to link of lw's clause to
     the right (l connectors of it, the nearest ones) and of rw's to the left (r), and how many
@@ -159,8 +180,7 @@ def chart(clauses: DataFrame, keys: list[str], pay: Payload, max_null: int) -> D
         met = cut(met.groupBy(*state).agg(pay.total(F.col("n")).alias("n")))
         longest = max(longest, met.agg(F.max(F.col("rw") - F.col("lw"))).first()[0] or 0)
         pending, length = pending.unionByName(met), length + 1
-    whole = spans.join(nodes.where("w = 0").select(*keys, F.col("d").alias("ld"), F.col("last"), F.size("right").alias("nr")), [*keys, "ld"])
-    return whole.where("lw = 0 and rw = last + 1 and l = nr and r = 0").groupBy(*keys, "nulls").agg(pay.total(F.col("n")).alias("n"))
+    return Chart(spans, nodes, pairs, sizes)
 
 
 def connectors_by_side(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -169,10 +189,10 @@ def connectors_by_side(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return one("left").unionByName(one("right"))
 
 
-def _linked(spans: DataFrame, pairs: DataFrame, sizes: DataFrame, keys: list[str], pay: Payload) -> tuple[DataFrame, DataFrame]:
-    """Spans whose end words are linked to each other besides what is inside: with the left
-    word's next connector and all of the right word's left side used up, and the mirror image.
-    A connector that may link again stays as well."""
+def links(spans: DataFrame, pairs: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """Each way to link the end words of a span to each other besides what is inside: the span's
+    state and payload, the connectors' places li and ri, the link's name, and the connectors nr
+    and nl that the end words have on the inner side. A connector that may link again stays."""
     s, p = spans.alias("s"), pairs.alias("p")
     on = [F.col(f"s.{k}") == F.col(f"p.{k}") for k in [*keys, "lw", "rw", "ld", "rd"]]
     lmulti = sizes.select(*[F.col(k).alias(f"a_{k}") for k in keys], F.col("w").alias("a_w"), F.col("d").alias("a_d"), F.col("mr"), F.col("nr"))
@@ -181,7 +201,13 @@ def _linked(spans: DataFrame, pairs: DataFrame, sizes: DataFrame, keys: list[str
     both = both.join(lmulti, [*(F.col(k) == F.col(f"a_{k}") for k in keys), F.col("lw") == F.col("a_w"), F.col("ld") == F.col("a_d")])
     both = both.join(rmulti, [*(F.col(k) == F.col(f"b_{k}") for k in keys), F.col("rw") == F.col("b_w"), F.col("rd") == F.col("b_d")])
     again = lambda i, have, multi: (F.col(i) == F.col(have) + 1) | ((F.col(i) == F.col(have)) & F.element_at(multi, F.greatest(F.col(i), F.lit(1))))
-    both = both.where(again("li", "l", "mr") & again("ri", "r", "ml"))
+    return both.where(again("li", "l", "mr") & again("ri", "r", "ml"))
+
+
+def _linked(spans: DataFrame, pairs: DataFrame, sizes: DataFrame, keys: list[str], pay: Payload) -> tuple[DataFrame, DataFrame]:
+    """Spans whose end words are linked to each other: with the left word's next connector and
+    all of the right word's left side used up, and the mirror image."""
+    both = links(spans, pairs, sizes, keys)
     rows = both.select(*keys, "lw", "rw", "ld", "rd", F.col("li").alias("l"), F.col("ri").alias("r"), "nulls", pay.linked(F.col("n"), F.col("lw"), F.col("rw"), F.col("name")).alias("n"), "nl", "nr")
     state = [*keys, "lw", "rw", "ld", "rd", "l", "r", "nulls"]
     total = lambda df: df.groupBy(*state).agg(pay.total(F.col("n")).alias("n"))
