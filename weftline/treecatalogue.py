@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.connectors import parsed
-from weftline.operators import linkages, parsing, power, rulepruning, sentences, trees, wordgraph
+from weftline.operators import forest, linkages, parsing, power, relevance, rulepruning, sentences, trees, wordgraph
 from weftline.plans.lineage import cut
 from weftline.registry import _WORDS, KEYS, _values
 from weftline.sources import trees as source
@@ -261,6 +261,47 @@ def gr_rule_lacks(spark, sf_dir):
     return asked.join(lost, [*KEYS, "w", "d", "rule"], "left").groupBy("rule", "classname").agg(F.count(F.lit(1)).alias("n_asked"), F.count("lost").alias("n_lost"))
 
 
+_SELECTS = f"""sel AS (SELECT DISTINCT rule, link FROM (SELECT DISTINCT link FROM lk) JOIN rules ON {_like("link", "selector")})"""
+
+
+@query(f"""WITH {_RULES}, {_SELECTS}, can AS MATERIALIZED (SELECT DISTINCT p.conv_id, p.turn, p.s, lk.link FROM cons p JOIN lk ON p.name = a JOIN cons q ON q.name = b AND q.conv_id = p.conv_id AND q.turn = p.turn AND q.s = p.s AND p.w < q.w),
+can_n AS (SELECT conv_id, turn, s, count(*) AS n_links FROM can GROUP BY ALL), can_r AS (SELECT conv_id, turn, s, count(DISTINCT rule) AS n_rules, string_agg(DISTINCT rule::VARCHAR, ' ' ORDER BY rule::VARCHAR) AS rules FROM can JOIN sel USING (link) GROUP BY ALL)
+SELECT conv_id, turn, s, n_links, coalesce(n_rules, 0) AS n_rules, coalesce(rules, '') AS rules FROM can_n LEFT JOIN can_r USING (conv_id, turn, s)""")
+def gr_relevant_rules(spark, sf_dir):
+    """The names of links that each sentence's clauses can make, and the rules that such links
+    make relevant to it."""
+    g, rules = source.grammar(spark), spark.createDataFrame(rulepruning.RULES, rulepruning.RULE)
+    cons = clauses(spark, sf_dir).select(*KEYS, "w", F.explode("connectors").alias("c")).select(*KEYS, "w", F.regexp_replace("c", "^@", "").alias("name"))
+    links = cut(relevance.possible_links(cons, KEYS, g))
+    found = relevance.relevant(links, KEYS, rules).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rules"), F.array_join(F.array_sort(F.collect_list(F.col("rule").cast("string"))), " ").alias("rules"))
+    n = links.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_links"))
+    return n.join(found, KEYS, "left").select(*KEYS, "n_links", F.coalesce("n_rules", F.lit(0)).cast("long").alias("n_rules"), F.coalesce("rules", F.lit("")).alias("rules"))
+
+
+def _canonical(e: tuple) -> str:
+    kind, inner, cost = e
+    text = inner if kind == "con" else ("(%s)" if kind == "and" else "{%s}") % (" & " if kind == "and" else " or ").join(map(_canonical, inner))
+    return f"[{cost}]{text}" if cost else text
+
+
+def _subtrees(e: tuple) -> list[str]:
+    return [_canonical(e), *(x for o in (e[1] if e[0] != "con" else ()) for x in _subtrees(o))]
+
+
+_TEXTS = sorted({(c, t) for c, e in source.EXPRESSIONS.items() for t in _subtrees(e)})
+
+
+@query(f"""WITH {_WORDS}, sub AS (SELECT * FROM (VALUES {_values(_TEXTS)}) t(classname, text)), n AS (SELECT classname, count(*) AS n FROM words GROUP BY classname)
+SELECT text, count(*) AS n_classes, sum(n)::BIGINT AS n_words FROM sub JOIN n USING (classname) GROUP BY text""")
+def gr_sub_expressions(spark, sf_dir):
+    """Every expression that words of conversations hold, whole or inside another: by how many
+    classes, and by how many words."""
+    nodes = spark.createDataFrame(source.node_rows(source.EXPRESSIONS), source.NODES)
+    texts = relevance.canonical(cut(nodes)).select("classname", "key", "text").distinct()
+    n = _words(spark, sf_dir).groupBy("classname").agg(F.count(F.lit(1)).alias("n"))
+    return texts.join(n, "classname").groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n_classes"), F.sum("n").alias("n_words")).drop("key")
+
+
 # --- parses ---
 
 
@@ -298,6 +339,23 @@ def gr_shown(spark, sf_dir):
     return linkages.displayed(links).drop("rank").join(used, "k")
 
 
+@query()
+def gr_forest(spark, sf_dir):
+    """The packed forest of each sentence of conversations: its nodes and choices, the linkages
+    that it stands for, and the clauses that any of them uses."""
+    f = forest.forest(parsable(spark, sf_dir), KEYS)
+    n = f.choices.groupBy(*KEYS).agg(F.countDistinct("node").alias("n_nodes"), F.count(F.lit(1)).alias("n_choices"), F.countDistinct("w", "d").alias("n_clauses"))
+    return n.join(f.roots.select(*KEYS, F.col("all").cast("long").alias("n_parses")), KEYS)
+
+
+@query()
+def gr_drawn(spark, sf_dir):
+    """Three linkages of each sentence of conversations, drawn by exp(-cost)."""
+    rows = forest.drawn(forest.forest(parsable(spark, sf_dir), KEYS, 1.0), 3, 1)
+    links = F.array_join(F.transform("links", lambda x: F.concat_ws("-", x["lw"].cast("string"), x["name"], x["rw"].cast("string"))), " ")
+    return rows.select(*KEYS, "draw", "cost", links.alias("links"))
+
+
 # --- word graphs ---
 
 _Q = lambda p: "'" + p.replace("'", "''") + "'"
