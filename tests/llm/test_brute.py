@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import html, jaccard, lm, media, mixing, packing, pii, substrings, topk, toxicity
+from weftline.llm import common, html, jaccard, lm, media, mixing, packing, pii, substrings, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,6 +78,34 @@ def test_disclosing_terms(spark):
     assert out[0]["spans"].startswith("email:") and out[10]["spans"] == ""
 
 
+@pytest.mark.parametrize("bits", [None, 6])
+def test_copies_count_once(spark, monkeypatch, bits):
+    """Repeated rows and copies under other ids change no mark, however full the filters are."""
+    if bits:
+        monkeypatch.setattr(common, "LEAST_BITS", bits)
+        monkeypatch.setattr(common, "MOST_BITS", bits)
+    texts = {i: f"note {'wurmbaum' if i < 5 else 'someone'} mail ab{i % 3}@cd.example quick{chr(97 + i % 26)}x end {i}" for i in range(12)}
+    texts |= {i: f"the quick note from {'wurmbaum' if i == 20 else 'someone'} end {i}" for i in range(12, 120)}
+    rows = [*texts.items()]
+    want = disclosed_by_the_letter(texts.values(), 0.6)
+    assert 0 < len(want) < 40
+    shapes = {
+        "plain": rows,
+        "doubled": rows + rows,
+        "copied": rows + [(1000 + 200 * k + i, t) for k in range(3) for i, t in rows if i % 2] + [(None, texts[0]), (-7, texts[20])],
+        "hot": rows + [(2000 + i, texts[1]) for i in range(60)] + [(2100 + i, texts[40]) for i in range(60)],
+    }
+    found = {}
+    for name, some in shapes.items():
+        docs = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+        out = pii.sanitise_spans(docs, threshold=0.6).collect()
+        assert len(out) == len(some)
+        found[name] = {r["doc_id"]: (r["spans"], tuple(r["terms"])) for r in out if r["doc_id"] in texts}
+        marked = {texts[i][t["start"] : t["stop"]] for i, (_, ts) in found[name].items() for t in ts}
+        assert marked == set(want)
+    assert all(f == found["plain"] for f in found.values())
+
+
 def disclosed_by_the_letter(texts, threshold):
     """Terms over the threshold, and whether they go: counted over all texts, one at a time."""
     folded = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -227,28 +227,44 @@ def found(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def text_counts(docs: DataFrame, hits: DataFrame, wanted: DataFrame) -> DataFrame:
     """term, df: in how many texts each of the wanted terms and stems stands, copies of a text
-    counted once, under the least doc_id that it has.
+    counted once, whatever rows they are.
 
-    A filter drops most other terms at the scan; the join does so exactly."""
+    Filters only spare work: of a text's copies all but those of its least doc_id are mostly
+    passed over, and terms that are not wanted mostly dropped. Counts are exact behind them: the
+    terms of a text that stands in several rows come with the text's key and are told apart by
+    it, and a join drops what is not wanted. Only texts known to stand once are summed at once."""
     keys = wanted.select("term").distinct()
     spark = keys.sparkSession
     bits = spark.sparkContext.broadcast(key_filter(keys, "term"))
-    first = hits.groupBy("text_key").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("doc_id"))
+    first = hits.groupBy("text_key").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("doc_id"), F.count(F.lit(1)).alias("rows"))
+    first = materialised(first, "texts_once")
     chosen = spark.sparkContext.broadcast(key_filter(first.select(F.xxhash64("doc_id", "text_key").alias("k")), "k", 4))
+    # keys are uniform hashes, as the filter's slots ask for
+    copied = spark.sparkContext.broadcast(key_filter(first.where("rows > 1"), "text_key", 4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = batch.filter(pa.array(chosen.value.passes(row_keys(batch, text_keys(batch)))))
-            for _, data, off in text_blocks(part.column("text"), 1 << 20):
+            texts = text_keys(batch)
+            own_row = chosen.value.passes(row_keys(batch, texts))
+            part, texts = batch.filter(pa.array(own_row)), texts[own_row]
+            several = copied.value.passes(texts.view(np.uint64))
+            for row, data, off in text_blocks(part.column("text"), 1 << 20):
                 t = terms(data, off)
                 h, text = np.concatenate([t["hash"], t["stem"]]), np.tile(t["text"], 2)
                 hit = bits.value.passes(h.view(np.uint64))
                 own, back = np.unique(h[hit], return_inverse=True)
                 pairs = np.unique(text[hit] * len(own) + back)
-                n = np.bincount(pairs % max(1, len(own)), minlength=len(own))
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], names=["term", "n"])
-
-    n = docs.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+                at, term = np.divmod(pairs, max(1, len(own)))
+                shared = several[row + at]
+                n = np.bincount(term[~shared], minlength=len(own))
+                once = np.flatnonzero(n)
+                cols = [np.concatenate([np.zeros(len(once), np.int64), texts[row + at[shared]]]), np.concatenate([own[once], own[term[shared]]]), np.concatenate([n[once], np.zeros(int(shared.sum()), np.int64)])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["text_key", "term", "n"])
+
+    # n is 0 where a row tells of one text, which counts once however often it comes
+    rows = docs.mapInArrow(run, "text_key long, term long, n long")
+    n = rows.groupBy("term", "text_key", (F.col("n") == 0).alias("one")).agg(F.sum("n").alias("n"))
+    n = n.groupBy("term").agg(F.sum(F.when(F.col("one"), 1).otherwise(F.col("n"))).alias("df"))
     return n.join(keys, "term", "left_semi")
 
 
