@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.connectors import parsed
-from weftline.operators import forest, linkages, parsing, power, relevance, rulepruning, sentences, trees, wordgraph
+from weftline.operators import constituents, forest, linkages, parsing, power, relevance, rulepruning, sentences, trees, wordgraph
 from weftline.plans.lineage import cut
 from weftline.registry import _WORDS, KEYS, _values
 from weftline.sources import trees as source
@@ -339,6 +339,19 @@ def gr_shown(spark, sf_dir):
     return linkages.displayed(links).drop("rank").join(used, "k")
 
 
+@query()
+def gr_phrases(spark, sf_dir):
+    """The constituents of the best linkage of each sentence of conversations, drawn in three
+    styles: on one line, with labels at both ends, and on a line each."""
+    best = parsing.linkages(parsable(spark, sf_dir), KEYS, 1)
+    k = F.concat_ws("/", *(F.col(c).cast("string") for c in KEYS)).alias("k")
+    links = cut(best.select(k, "rank", F.posexplode("links").alias("i", "x")).select("k", "rank", "i", "x.*"))
+    texts = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    words = sentences.tokens(sentences.sentences(texts, KEYS[:2]), KEYS).select(k, "w", "word")
+    words = cut(words.join(links.select("k").distinct(), "k", "left_semi"))
+    return constituents.drawn(constituents.constituents(links, words), words).drop("rank")
+
+
 @query()
 def gr_forest(spark, sf_dir):
     """The packed forest of each sentence of conversations: its nodes and choices, the linkages
