@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType
 
+#: Tokens of a text that go to Spark in one batch.
+TOKENS_AT_ONCE = 1 << 14
 # Marks that strip off either end, marks that split a token, units, prefixes, idioms.
 MARKS = r"[,;:\"'()\[\]]"
 MIDDLE = r"[-/_|]+"
@@ -61,6 +68,36 @@ def offsets(raw: DataFrame, keys: list[str]) -> DataFrame:
     return raw.withColumns({"start": start(chars), "start_byte": start(octets)}).withColumns({"stop": F.col("start") + chars, "stop_byte": F.col("start_byte") + octets})
 
 
+def positions(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """texts(keys, text) as keys, w (from 0), token, and its start and end (exclusive) in code
+    points and in bytes of the whole text, whatever white space ([\\x20\\x09-\\x0D]) stands around it.
+
+    Places are counted where the text is: nothing is shuffled. Null and empty texts, and those of
+    white space, have no tokens; repeated rows give theirs each."""
+    kept = texts.select(*keys, "text")
+    schema = kept.drop("text").schema.add("w", IntegerType()).add("token", StringType())
+    for c in ("start", "stop", "start_byte", "stop_byte"):
+        schema = schema.add(c, LongType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in enumerate(batch.column("text")):
+                raw = np.frombuffer(text.as_py().encode() if text.is_valid else b"", np.uint8)
+                inside = np.concatenate([[False], (raw != 0x20) & ((raw < 0x09) | (raw > 0x0D)), [False]])
+                edges = np.flatnonzero(inside[1:] != inside[:-1])
+                a, b = edges[::2], edges[1::2]
+                points = np.append(0, np.cumsum((raw & 0xC0) != 0x80))  # code points begun before each byte
+                for k in range(0, len(a), TOKENS_AT_ONCE):
+                    x, y = a[k : k + TOKENS_AT_ONCE], b[k : k + TOKENS_AT_ONCE]
+                    at = pa.array(np.full(len(x), row, np.int64))
+                    own = [batch.column(c).take(at) for c in range(len(keys))]
+                    tokens = [raw[i:j].tobytes().decode() for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+                    cols = [*own, pa.array(np.arange(k, k + len(x), dtype=np.int32)), pa.array(tokens, pa.string()), *(pa.array(v.astype(np.int64)) for v in (points[x], points[y], x, y))]
+                    yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return kept.mapInArrow(run, schema)
+
+
 def splits(words: DataFrame, most: int = 3, longest: int = 6) -> DataFrame:
     """word, parts: all ways to cut a word of up to so many letters into up to so many parts."""
     short = words.where(F.length("word").between(1, longest))

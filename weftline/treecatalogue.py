@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.connectors import parsed
-from weftline.operators import constituents, forest, linkages, parsing, power, relevance, rulepruning, sentences, trees, wordgraph
+from weftline.operators import constituents, forest, linkages, parsing, power, relevance, rulepruning, sentences, trees, wordforms, wordgraph
 from weftline.plans.lineage import cut
 from weftline.registry import _WORDS, KEYS, _values
 from weftline.sources import trees as source
@@ -404,3 +404,17 @@ def gr_word_graphs(spark, sf_dir):
     """The word graph of each document: its tokens, slots on the longest path, words and edges."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return wordgraph.graphs(docs, ["doc_id"])
+
+
+@query("""WITH runs AS (SELECT doc_id, unnest(r) AS t, generate_subscripts(r, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\\x20\\x09-\\x0D]+|[^\\x20\\x09-\\x0D]+') AS r FROM documents)),
+places AS (SELECT doc_id, t, coalesce(sum(length(t)) OVER b, 0) AS a, coalesce(sum(strlen(t)) OVER b, 0) AS ab FROM runs WINDOW b AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT doc_id, count(*) AS n, min(a)::BIGINT AS first, max(a + length(t))::BIGINT AS stop, max(ab + strlen(t))::BIGINT AS stop_byte, sum(a)::BIGINT AS starts, sum(ab)::BIGINT AS start_bytes,
+  count(*) FILTER (strlen(t) > length(t)) AS wide FROM places WHERE NOT regexp_matches(t, '^[\\x20\\x09-\\x0D]') GROUP BY doc_id""")
+def gr_positions(spark, sf_dir):
+    """Where the tokens of each document stand in its whole text, in code points and bytes: the
+    first and last places, and sums over all of them."""
+    t = wordforms.positions(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), ["doc_id"])
+    wide = F.count(F.when(F.octet_length("token") > F.length("token"), 1))
+    return t.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("start").alias("first"), F.max("stop").alias("stop"), F.max("stop_byte").alias("stop_byte"), F.sum("start").alias("starts"), F.sum("start_byte").alias("start_bytes"), wide.alias("wide")
+    )
