@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.connectors import parsed
-from weftline.operators import constituents, forest, linkages, parsing, power, relevance, rulepruning, sentences, trees, wordforms, wordgraph
+from weftline.operators import constituents, forest, linkages, parsing, paths, power, relevance, rulepruning, sentences, trees, wordforms, wordgraph
 from weftline.plans.lineage import cut
 from weftline.registry import _WORDS, KEYS, _values
 from weftline.sources import trees as source
@@ -418,3 +418,19 @@ def gr_positions(spark, sf_dir):
     return t.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("start").alias("first"), F.max("stop").alias("stop"), F.max("stop_byte").alias("stop_byte"), F.sum("start").alias("starts"), F.sum("start_byte").alias("start_bytes"), wide.alias("wide")
     )
+
+
+@query(f"""WITH RECURSIVE types AS MATERIALIZED (SELECT DISTINCT token FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS token FROM documents) WHERE token <> ''),
+seen(token) AS (SELECT token FROM types UNION SELECT unnest(parts) FROM ({_ALTS("seen")})),
+all_ AS MATERIALIZED (SELECT token FROM seen WHERE {_PLAIN}),
+alts AS MATERIALIZED (SELECT DISTINCT token, parts FROM ({_ALTS("seen")})),
+walk(root, token, steps) AS (SELECT token, token, 1 FROM types UNION ALL SELECT root, unnest(parts), steps + 2 FROM walk JOIN alts USING (token))
+SELECT root AS token, count(*) AS words, count(DISTINCT token) AS different, max(steps)::INTEGER AS deepest, sum(steps)::BIGINT AS steps FROM walk JOIN all_ USING (token) GROUP BY root""")
+def gr_addresses(spark, sf_dir):
+    """The words in the graph of each different token of documents, how many differ, and how far
+    in they stand: steps are choices of an alternative or a part."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    types = cut(wordgraph.tokens(docs, ["doc_id"]).select("token").distinct())
+    words = paths.addressed(wordgraph.issued(types, types.select(F.col("token").alias("word"))), types)
+    n = F.size("address")
+    return words.groupBy(F.col("root").alias("token")).agg(F.count(F.lit(1)).alias("words"), F.countDistinct("word").alias("different"), F.max(n).alias("deepest"), F.sum(n.cast("long")).alias("steps"))
