@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.parsing import Chart, Payload, charted, links
-from weftline.plans.lineage import cut
+from weftline.plans.lineage import Parts, cut
 
 ROOT = "root"
 #: What a choice tells: the link that it makes, or the word and clause that it takes and their cost.
@@ -123,15 +123,16 @@ def _ends(node: Column) -> tuple[Column, Column]:
 
 def _used(every: DataFrame, start: DataFrame, keys: list[str], longest: int) -> DataFrame:
     """The choices of nodes that are reached from the roots."""
-    pending, out = start, None
+    pending, out, turn = Parts(every.sparkSession), Parts(every.sparkSession), 0
+    pending.add(start.select(*keys, "node", "length", "half"), 0)
     for length in range(longest, 0, -1):
         for half in (True, False):
-            own = every.where((F.col("length") == length) & (F.col("half") == half))
-            new = cut(own.join(pending.where((F.col("length") == length) & (F.col("half") == half)).select(*keys, "node").distinct(), [*keys, "node"], "left_semi"))
-            out = new if out is None else out.unionByName(new)
+            turn += 1
+            at = (F.col("length") == length) & (F.col("half") == half)
+            new = out.add(every.where(at).join(pending.read().where(at).select(*keys, "node").distinct(), [*keys, "node"], "left_semi"), turn)
             kids = new.select(*keys, F.explode("kids").alias("node")).distinct()
-            pending = pending.unionByName(kids.select(*keys, "node", *_ends(F.col("node"))))
-    return every.limit(0) if out is None else out
+            pending.add(kids.select(*keys, "node", *_ends(F.col("node"))), turn)
+    return out.read() if turn else every.limit(0)
 
 
 def drawn(f: Forest, n: int, seed: int) -> DataFrame:
@@ -144,19 +145,18 @@ def drawn(f: Forest, n: int, seed: int) -> DataFrame:
     keys = f.keys
     pending = f.roots.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw"), F.lit(ROOT).alias("node"), "length", F.lit(False).alias("half")) if n > 0 else f.roots.select(*keys, F.lit(0).alias("draw"), F.lit(ROOT).alias("node"), "length", F.lit(False).alias("half")).limit(0)
     spot = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *(F.col(k) for k in keys), F.col("draw"), F.col("node")), 12).cast("double") / float(2**52)
-    told = None
+    waiting, told, turn = Parts(pending.sparkSession), Parts(pending.sparkSession), 0
+    waiting.add(pending, 0)
     for length in range(f.longest, 0, -1):
         for half in (True, False):
+            turn += 1
             at = (F.col("length") == length) & (F.col("half") == half)
-            here = pending.where(at).select(*keys, "draw", "node", spot.alias("u"))
+            here = waiting.read().where(at).select(*keys, "draw", "node", spot.alias("u"))
             met = here.join(f.choices.where(at), [*keys, "node"]).where("lo <= u * all and u * all < hi")
-            new = cut(met.select(*keys, "draw", "kids", *TOLD))
-            own = new.where("name is not null or w is not null").select(*keys, "draw", *TOLD)
-            told = own if told is None else told.unionByName(own)
+            new = told.add(met.select(*keys, "draw", "kids", *TOLD), turn)
             kids = new.select(*keys, "draw", F.explode("kids").alias("node"))
-            pending = pending.unionByName(kids.select(*keys, "draw", "node", *_ends(F.col("node"))))
-    if told is None:
-        told = f.choices.select(*keys, F.lit(0).alias("draw"), *TOLD).limit(0)
+            waiting.add(kids.select(*keys, "draw", "node", *_ends(F.col("node"))), turn)
+    told = told.read().where("name is not null or w is not null") if turn else f.choices.select(*keys, F.lit(0).alias("draw"), *TOLD).limit(0)
     link, clause = F.when(F.col("name").isNotNull(), F.struct("lw", "rw", "name")), F.when(F.col("w").isNotNull(), F.struct("w", "d"))
     out = told.groupBy(*keys, "draw").agg(F.sum("cost").alias("cost"), F.array_sort(F.collect_list(link)).alias("links"), F.array_sort(F.collect_list(clause)).alias("clauses"))
     return out.join(f.roots.select(*keys, "nulls"), keys).select(*keys, "draw", "nulls", "cost", "links", "clauses")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.connectors import link_name, parsed, subtypes_match
-from weftline.plans.lineage import cut
+from weftline.plans.lineage import Parts, cut
 from weftline.sources import grammar
 
 #: Counts stop here, as 32-bit counts do.
@@ -155,16 +155,17 @@ def charted(clauses: DataFrame, keys: list[str], pay: Payload, max_null: int) ->
     b = nodes.select(*keys, F.col("w").alias("rw"), F.col("d").alias("rd"))
     state = [*keys, "lw", "rw", "ld", "rd", "l", "r", "nulls"]
     near = a.join(b, [*keys, "rw"]).withColumns({"l": F.lit(0), "r": F.lit(0), "nulls": F.col("rw") - F.col("lw") - 1})
-    pending = cut(near.select(*state, pay.unit(F.col("lw"), F.col("ld"), F.col("cost")).alias("n")))
+    pending, spans, lefts, rights = (Parts(nodes.sparkSession) for _ in range(4))
+    pending.add(near.select(*state, pay.unit(F.col("lw"), F.col("ld"), F.col("cost")).alias("n")), 0)
     pairs = cut(partners(connectors_by_side(nodes, keys), keys))
     sizes = cut(nodes.select(*keys, F.col("w"), F.col("d"), F.size("left").alias("nl"), F.size("right").alias("nr"), F.transform("left", lambda c: c["multi"]).alias("ml"), F.transform("right", lambda c: c["multi"]).alias("mr")))
     ends = [*keys, "m", "md"]
-    lefts, rights, spans, length, longest = None, None, None, 1, 1 + max_null
+    length, longest = 1, 1 + max_null
     while length <= longest:
         # all that makes up a span of this length is there: each pair of parts meets once
-        new = cut(pending.where(F.col("rw") - F.col("lw") == length).groupBy(*state).agg(pay.total(F.col("n")).alias("n")))
-        pending = pending.where(F.col("rw") - F.col("lw") > length)
-        spans = new if spans is None else spans.unionByName(new)
+        # (a turn makes spans of at most twice its length)
+        ready = pending.read(f"part = 0 or part >= {(length + 1) // 2}").where(F.col("rw") - F.col("lw") == length)
+        new = spans.add(ready.groupBy(*state).agg(pay.total(F.col("n")).alias("n")), length)
         left_linked, right_linked = _linked(new, pairs, sizes, keys, pay)
         # the word between takes lw's farthest connector; on its other side it may take rw's or not
         open_right = new.join(sizes.select(*keys, F.col("w").alias("lw"), F.col("d").alias("ld"), F.col("nr")), [*keys, "lw", "ld"]).where("l = nr").select(*state, "n")
@@ -172,15 +173,14 @@ def charted(clauses: DataFrame, keys: list[str], pay: Payload, max_null: int) ->
         part = lambda x, y: x.withColumn("own", F.lit(True)).unionByName(y.withColumn("own", F.lit(False)))
         left = part(left_linked, open_left).select(*keys, "lw", "ld", "l", F.col("rw").alias("m"), F.col("rd").alias("md"), F.col("nulls").alias("u1"), F.col("n").alias("n1"), "own")
         right = part(right_linked, open_right).select(*keys, F.col("lw").alias("m"), F.col("ld").alias("md"), "rw", "rd", "r", F.col("nulls").alias("u2"), F.col("n").alias("n2"), F.col("own").alias("right_own"))
-        left, right, old = cut(left), cut(right), lefts
-        lefts, rights = (left, right) if old is None else (old.unionByName(left), rights.unionByName(right))
-        met = left.join(rights, ends) if old is None else left.join(rights, ends).unionByName(old.join(right, ends))
+        left, right = lefts.add(left, length), rights.add(right, length)
+        met = left.join(rights.read(), ends).unionByName(lefts.read(f"part < {length}").join(right, ends))
         met = met.where((F.col("own") | F.col("right_own")) & (F.col("u1") + F.col("u2") <= max_null))
         met = met.withColumn("nulls", F.col("u1") + F.col("u2")).withColumn("n", pay.joined(F.col("n1"), F.col("n2")))
-        met = cut(met.groupBy(*state).agg(pay.total(F.col("n")).alias("n")))
+        met = pending.add(met.groupBy(*state).agg(pay.total(F.col("n")).alias("n")).select(*state, "n"), length)
         longest = max(longest, met.agg(F.max(F.col("rw") - F.col("lw"))).first()[0] or 0)
-        pending, length = pending.unionByName(met), length + 1
-    return Chart(spans, nodes, pairs, sizes)
+        length += 1
+    return Chart(spans.read(), nodes, pairs, sizes)
 
 
 def connectors_by_side(nodes: DataFrame, keys: list[str]) -> DataFrame:

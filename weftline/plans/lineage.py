@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 _OWN: dict[str, str] = {}
 
@@ -38,3 +39,23 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Parts:
+    """A table that grows by parts, each computed once and written to a folder of its own. What reads
+    it has one scan, however many parts there are, so that plans of loops do not grow with turns."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.schema = spark, f"{folder(spark)}/weftline/parts-{uuid.uuid4().hex}", None
+        atexit.register(_remove, spark, self.path)
+
+    def add(self, df: DataFrame, part: int) -> DataFrame:
+        """df as this part of the table, read from there."""
+        self.schema = df.schema if self.schema is None else self.schema
+        df.write.parquet(f"{self.path}/part={part}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/part={part}")
+
+    def read(self, parts: str = "true") -> DataFrame:
+        """The parts(part) of which the condition holds."""
+        schema = StructType([*self.schema.fields, StructField("part", IntegerType())])
+        return self.spark.read.schema(schema).parquet(self.path).where(parts).drop("part")
