@@ -6,10 +6,12 @@ before it at least one word nearer. A clause goes when an interval is empty."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.plans.lineage import cut
+from weftline.plans.lineage import Parts, cut
 from weftline.sources.trees import Grammar
 
 SIDE = ["name", "multi", "first", "lo", "hi"]
@@ -98,14 +100,14 @@ def pruned(clauses: DataFrame, keys: list[str], g: Grammar, max_null: int = 0, c
     rows, last = bounded(clauses, keys, g), clauses.groupBy(*keys).agg(F.first("last").alias("last"))
     size = lambda df: df.groupBy(*keys).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("size"), F.size(F.collect_set("w")).alias("words"))
     enough = size(rows).join(last, keys).where(F.col("words") + max_null > F.col("last")).select(*keys, F.col("size").alias("had"))
-    rows, done = cut(rows.join(enough, keys)), None
-    while True:
+    rows, done = cut(rows.join(enough, keys)), Parts(clauses.sparkSession)
+    for at in count(1):
         turn = cut(half_turn(half_turn(rows.drop("had"), keys, g, "-", max_null), keys, g, "+", max_null))
         turn = cut(crossed(turn, keys)) if cross else turn
         had = rows.select(*keys, "had").distinct()
         enough = cut(size(turn).join(last, keys).where(F.col("words") + max_null > F.col("last")).join(had, keys).select(*keys, "size", "had"))
         settled = turn.join(enough.where("size = had"), keys, "left_semi").select(*keys, "w", "d").distinct()
-        done = settled if done is None else done.unionByName(settled)
+        done.add(settled, at)
         rows = cut(turn.join(enough.where("size < had").select(*keys, F.col("size").alias("had")), keys))
         if rows.isEmpty():
-            return clauses.join(done, [*keys, "w", "d"], "left_semi")
+            return clauses.join(done.read(), [*keys, "w", "d"], "left_semi")

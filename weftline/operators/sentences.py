@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.plans.lineage import cut
 from weftline.sources import grammar
 
 WALL = "LEFT-WALL"
@@ -47,3 +50,41 @@ def stems(toks: DataFrame, keys: list[str]) -> DataFrame:
     cut = toks.select(*keys, "w", F.lower("word").alias("k"), sizes.alias("n")).where(F.length("k") >= F.col("n") + grammar.STEM_LETTERS)
     cut = cut.select(*keys, "w", F.expr("substring(k, 1, length(k) - n)").alias("stem"), F.expr("right(k, n)").alias("suffix"))
     return cut.join(suffixes, "suffix").select(*keys, "w", "stem", "suffix")
+
+
+#: The key of a kind of sentences.
+KIND = ["kind"]
+
+
+@dataclass(frozen=True)
+class Kinds:
+    """Sentences by kind. What a grammar of classes makes of a sentence follows from the classes of
+    its words in order, so that sentences that are equal in them are one kind, worked out once.
+
+    each: kind, classes(w, classname) and n, its sentences; members: keys and classes of each sentence."""
+
+    keys: list[str]
+    each: DataFrame
+    members: DataFrame
+
+    def words(self) -> DataFrame:
+        """kind, w, classname."""
+        return self.each.select("kind", F.inline("classes"))
+
+    def counts(self) -> DataFrame:
+        """kind, n: the sentences of each kind."""
+        return self.each.select("kind", "n")
+
+    def spread(self, found: DataFrame) -> DataFrame:
+        """found(kind, ...) for every sentence: keys in place of kind."""
+        rest = [c for c in found.columns if c != "kind"]
+        return found.join(self.each.select("kind", "classes"), "kind").join(self.members, "classes").select(*self.keys, *rest)
+
+
+def kinds(words: DataFrame, keys: list[str]) -> Kinds:
+    """The kinds of the sentences of words(keys, w, classname). Words of a null key are of no
+    sentence; a word that stands twice stands twice in its kind."""
+    row = F.struct("w", "classname")
+    members = cut(words.dropna(subset=keys).groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("classes")))
+    each = cut(members.groupBy("classes").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.monotonically_increasing_id()))
+    return Kinds(keys, each, members)

@@ -6,10 +6,12 @@ over it, within a row: backwards from operands to parents, forwards from parents
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.plans.lineage import cut
+from weftline.plans.lineage import Parts, cut
 from weftline.sources.trees import Grammar
 
 SHAPE = ["classname", "live"]
@@ -35,30 +37,64 @@ def whole(words: DataFrame, g: Grammar) -> DataFrame:
     return words.join(g.classes.select("classname", live.alias("live")), "classname")
 
 
+#: Dictionaries of more names are swept by rows of connectors.
+MOST_NAMES = 64
+
+
 def live_connectors(state: DataFrame, keys: list[str], g: Grammar) -> DataFrame:
-    rows = state.select(*keys, "w", "classname", F.explode("live").alias("node"))
+    rows = state.withColumn("node", F.explode("live")).drop("live")
     return rows.join(g.leaves.select("classname", "node", "name", "dir", "reach"), ["classname", "node"])
 
 
 def swept(state: DataFrame, keys: list[str], g: Grammar, to: str) -> DataFrame:
     """state without the connectors that go `to` a side (-, + or both, -+) and find no live
-    connector there that matches, within the type's reach.
-
-    A sentence's other connectors pass by once, in the order of words: what stands nearest on
-    that side is a running maximum (or minimum), so that rows grow with the words of a sentence,
-    not with its pairs. The windows and the groups of a sentence share one exchange."""
+    connector there that matches, within the type's reach. Other columns of state stay.
+
+    A sentence's words pass by once in each direction: the nearest place before a word that
+    answers a name is a running maximum, the nearest one behind it a running minimum. Rows are
+    words, not connectors, and the windows of a sentence share one exchange."""
+    found = g.leaves.select("dir", "name").distinct().orderBy("name").limit(MOST_NAMES + 1).collect()  # the dictionary's
+    if len(found) > MOST_NAMES:
+        return _swept_by_name(state, keys, g, to)
+    at = {r["name"]: i for i, r in enumerate(found)}
+    spark = state.sparkSession
+    number = F.broadcast(spark.createDataFrame(list(at.items()), "name string, i int"))
+    # what each node of a class goes by, and the names that ask for it
+    asked = g.matching.select("a", "b").union(g.matching.select("b", "a")).toDF("name", "ask").join(number.toDF("ask", "j"), "ask").groupBy("name").agg(F.collect_list("j").alias("asked"))
+    leaf = F.struct("node", "i", "dir", "reach", F.coalesce("asked", F.expr("cast(array() as array<int>)")).alias("asked"))
+    table = cut(g.leaves.join(number, "name").join(asked, "name", "left").groupBy("classname").agg(F.map_from_entries(F.collect_list(F.struct("node", leaf))).alias("by")))
+    rows = state.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).join(F.broadcast(table) if g.small else table, "classname")
+    rows = rows.withColumn("own", F.transform("live", lambda x: F.col("by")[x])).drop("by", "live")
+    rows = rows.withColumn("answers", F.array_distinct(F.flatten("own.asked")))
+    # the nearest words that answer each name, by a window for each direction
+    before = Window.partitionBy(*keys).orderBy("w").rangeBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(*keys).orderBy(-F.col("w")).rangeBetween(Window.unboundedPreceding, -1)
+    place = lambda i: F.when(F.array_contains("answers", i), F.col("w"))
+    nearest = lambda r: (F.max(place(at[r["name"]])).over(before) if r["dir"] == "-" else F.min(place(at[r["name"]])).over(behind)) if r["dir"] in to else F.lit(None).cast("int")
+    rows = rows.select("*", *(nearest(r).alias(f"__{i}") for i, r in enumerate(found)))
+    near = F.array(*(F.col(f"__{i}") for i in range(len(found))), F.lit(None).cast("int"))
+    fits = lambda x, n: ~x["dir"].isin(*to) | F.coalesce(F.abs(F.col("w") - n[x["i"]]) <= x["reach"], F.lit(False))
+    # a lambda's variable holds the places, so that they are put together once a row
+    live = F.transform(F.array(near), lambda n: F.transform(F.filter("own", lambda x: fits(x, n)), lambda x: x["node"]))[0]
+    return purged(rows.withColumn("live", live).where("size(live) > 0").select(*state.columns), g)
+
+
+def _swept_by_name(state: DataFrame, keys: list[str], g: Grammar, to: str) -> DataFrame:
+    """As swept(), for dictionaries of many names: rows are connectors and the names that they
+    answer, and windows are by sentence and name."""
     asked = g.matching.select("a", "b").union(g.matching.select("b", "a")).toDF("name", "asked").groupBy("name").agg(F.collect_list("asked").alias("asked"))
     rows = live_connectors(state, keys, g).join(F.broadcast(asked) if g.small else asked, "name", "left").repartition(*keys)
     # a row for what a connector asks for, and one for each name that it answers
     own = F.array(F.struct(F.col("name").alias("ask"), F.lit(True).alias("asks")))
     answers = F.transform(F.coalesce("asked", F.array().cast("array<string>")), lambda x: F.struct(x.alias("ask"), F.lit(False).alias("asks")))
-    rows = rows.select(*keys, "w", "classname", "node", "dir", "reach", F.explode(F.concat(own, answers)).alias("x")).select("*", "x.*").drop("x")
+    rows = rows.withColumn("x", F.explode(F.concat(own, answers))).select("*", "x.*").drop("x")
     side = Window.partitionBy(*keys, "ask").orderBy("w")
     at = F.when(~F.col("asks"), F.col("w"))
     before, after = F.max(at).over(side.rangeBetween(Window.unboundedPreceding, -1)), F.min(at).over(side.rangeBetween(1, Window.unboundedFollowing))
     met = rows.withColumn("near", F.when(F.col("dir") == "-", before).otherwise(after)).where("asks")
     met = met.where(~F.col("dir").isin(*to) | (F.abs(F.col("w") - F.col("near")) <= F.col("reach")))
-    return purged(met.groupBy(*keys, "w", "classname").agg(F.array_sort(F.collect_list("node")).alias("live")), g)
+    live = F.array_sort(F.collect_list("node")).alias("live")
+    return purged(met.groupBy(*(c for c in state.columns if c != "live")).agg(live).select(*state.columns), g)
 
 
 #: So many shapes are sent to all tasks; more are joined like any table.
@@ -89,16 +125,15 @@ def pruned(words: DataFrame, keys: list[str], g: Grammar, linked: bool = False)
     all its words. Elsewhere a loss may pass on from word to word, a sweep for each."""
     here = Window.partitionBy(*keys)
     total, many = F.sum(F.size("live")).over(here), F.count(F.lit(1)).over(here)
-    state, done = cut(whole(words.withColumn("all", many), g).withColumn("had", total)), None
-    while True:
-        had = state.groupBy(*keys).agg(F.max("had").alias("had"), F.max("all").alias("all"))
-        turn = swept(state.drop("had", "all"), keys, g, "-+").join(had, keys).withColumn("have", total)
-        turn = cut(turn.withColumn("many", many).where("many = all").drop("many") if linked else turn)
+    state, done = cut(whole(words.withColumn("all", many), g).withColumn("had", total)), Parts(words.sparkSession)
+    for at in count(1):
+        turn = swept(state, keys, g, "-+").withColumn("have", total)
+        turn = cut(turn.withColumn("many", F.size(F.collect_set("w").over(here))).where("many = all").drop("many") if linked else turn)
         settled = turn.where("have = had").drop("had", "have", "all")
-        done = settled if done is None else done.unionByName(settled)
+        done.add(settled, at)
         state = turn.where("have < had").drop("had").withColumnRenamed("have", "had")
         if state.isEmpty():
-            return done
+            return done.read()
 
 
 def clause_counts(shapes: DataFrame, g: Grammar) -> DataFrame:

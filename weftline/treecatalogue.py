@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.connectors import parsed
 from weftline.operators import constituents, forest, linkages, parsing, paths, power, relevance, rulepruning, sentences, trees, wordforms, wordgraph
+from weftline.operators.sentences import KIND
 from weftline.plans.lineage import cut
 from weftline.registry import _WORDS, KEYS, _values
 from weftline.sources import trees as source
@@ -37,10 +38,19 @@ def clauses(spark: SparkSession, sf_dir: str, cutoff: float = CUTOFF) -> DataFra
     """keys, w, last, classname, live, d, connectors, cost: the clauses of the words of
     conversations after expression pruning, of sentences all of whose words may be linked. Each
     shape is expanded once, and numbers its clauses."""
-    g, words = source.grammar(spark), _words(spark, sf_dir)
-    state = cut(trees.pruned(words, KEYS, g, linked=True))
-    last = words.groupBy(*KEYS).agg(F.max("w").alias("last"))
-    return numbered(state, last, KEYS, g, cutoff)
+    kinds = _kinds(spark, sf_dir)
+    return kinds.spread(_made(kinds, source.grammar(spark), cutoff))
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> sentences.Kinds:
+    return sentences.kinds(_words(spark, sf_dir), KEYS)
+
+
+def _made(kinds: sentences.Kinds, g: source.Grammar, cutoff: float = CUTOFF) -> DataFrame:
+    """As clauses(), with kind in place of keys."""
+    state = cut(trees.pruned(kinds.words(), KIND, g, linked=True))
+    last = kinds.each.select("kind", F.array_max(F.col("classes.w")).alias("last"))
+    return numbered(state, last, KIND, g, cutoff)
 
 
 def numbered(state: DataFrame, last: DataFrame, keys: list[str], g: source.Grammar, cutoff: float) -> DataFrame:
@@ -126,12 +136,13 @@ SELECT classname, node, count(*) FILTER (t = 0) AS n, count(*) FILTER (t = 1) AS
 def gr_exp_swept(spark, sf_dir):
     """Connectors of all words' expressions, and those that a sweep to the left, and then one to
     the right, leave."""
-    g = source.grammar(spark)
-    start = cut(trees.whole(_words(spark, sf_dir), g))
-    left = cut(trees.swept(start, KEYS, g, "-"))
-    both = trees.swept(left, KEYS, g, "+")
-    rows = [x.select("classname", F.explode("live").alias("node"), F.lit(t).alias("t")) for t, x in enumerate((start, left, both))]
-    hit = lambda t: F.count(F.when(F.col("t") == t, 1))
+    g, kinds = source.grammar(spark), _kinds(spark, sf_dir)
+    start = cut(trees.whole(kinds.words().join(kinds.counts(), "kind"), g))
+    left = cut(trees.swept(start, KIND, g, "-"))
+    both = trees.swept(left, KIND, g, "+")
+    # words of one class and shape are counted before their connectors are taken apart
+    rows = [x.groupBy(*trees.SHAPE).agg(F.sum("n").alias("n")).select("classname", F.explode("live").alias("node"), "n", F.lit(t).alias("t")) for t, x in enumerate((start, left, both))]
+    hit = lambda t: F.coalesce(F.sum(F.when(F.col("t") == t, F.col("n"))), F.lit(0))
     return rows[0].union(rows[1]).union(rows[2]).groupBy("classname", "node").agg(hit(0).alias("n"), hit(1).alias("n_left"), hit(2).alias("n_both"))
 
 
@@ -139,8 +150,9 @@ def gr_exp_swept(spark, sf_dir):
 SELECT conv_id, turn, s, count(DISTINCT w) AS n_words, count(*) AS n_connectors FROM r16 JOIN n USING (conv_id, turn, s) GROUP BY conv_id, turn, s, n HAVING count(DISTINCT w) = n""")
 def gr_exp_pruned(spark, sf_dir):
     """What expression pruning leaves of sentences all of whose words may still be linked."""
-    live = trees.pruned(_words(spark, sf_dir), KEYS, source.grammar(spark), linked=True)
-    return live.groupBy(*KEYS).agg(F.countDistinct("w").alias("n_words"), F.sum(F.size("live")).alias("n_connectors"))
+    kinds = _kinds(spark, sf_dir)
+    live = trees.pruned(kinds.words(), KIND, source.grammar(spark), linked=True)
+    return kinds.spread(live.groupBy(*KIND).agg(F.countDistinct("w").alias("n_words"), F.sum(F.size("live")).alias("n_connectors")))
 
 
 @query(f"""WITH {_WORDS}, {_CLAUSES} SELECT classname, disjunct, cost, count(*) AS n
@@ -193,26 +205,41 @@ b0 AS MATERIALIZED (SELECT * FROM b0w WHERE lo <= hi QUALIFY count(*) OVER (PART
 {_half("b0", "b1", "-")}, {_half("b1", "b2", "+")}"""
 
 
+def _sums() -> list:
+    return [F.count(F.lit(1)).alias("n"), F.sum("lo").alias("nearest"), F.sum("hi").alias("farthest")]
+
+
+def _totals() -> list:
+    return [F.sum(c).alias(c) for c in ("n", "nearest", "farthest")]
+
+
+def _weighed(sums: DataFrame, kinds: sentences.Kinds) -> DataFrame:
+    """Sums of kinds times the sentences of each."""
+    rows = sums.join(kinds.counts().withColumnRenamed("n", "__n"), "kind")
+    return rows.withColumns({c: F.col(c) * F.col("__n") for c in ("n", "nearest", "farthest")}).drop("__n")
+
+
 @query(f"""WITH {_BOUNDS}, u AS (SELECT 'made' AS step, w, id, lo, hi, name FROM b0 UNION ALL SELECT 'left', w, id, lo, hi, name FROM b1 UNION ALL SELECT 'right', w, id, lo, hi, name FROM b2)
 SELECT step, name, count(*) AS n, sum(lo)::BIGINT AS nearest, sum(hi)::BIGINT AS farthest FROM u GROUP BY step, name""")
 def gr_power_swept(spark, sf_dir):
     """Connectors of clauses and the distances at which they may link: as made, after a turn to
     the left, and after one to the right."""
-    g = source.grammar(spark)
-    made = cut(power.bounded(clauses(spark, sf_dir), KEYS, g))
-    left = cut(power.half_turn(made, KEYS, g, "-"))
-    steps = {"made": made, "left": left, "right": power.half_turn(left, KEYS, g, "+")}
-    rows = [x.select(F.lit(k).alias("step"), "name", "lo", "hi") for k, x in steps.items()]
-    return rows[0].union(rows[1]).union(rows[2]).groupBy("step", "name").agg(F.count(F.lit(1)).alias("n"), F.sum("lo").alias("nearest"), F.sum("hi").alias("farthest"))
+    g, kinds = source.grammar(spark), _kinds(spark, sf_dir)
+    made = cut(power.bounded(_made(kinds, g), KIND, g))
+    left = cut(power.half_turn(made, KIND, g, "-"))
+    steps = {"made": made, "left": left, "right": power.half_turn(left, KIND, g, "+")}
+    rows = [x.groupBy("kind", "name").agg(*_sums()).select(F.lit(k).alias("step"), "*") for k, x in steps.items()]
+    return _weighed(rows[0].union(rows[1]).union(rows[2]), kinds).groupBy("step", "name").agg(*_totals())
 
 
 @query()
 def gr_power_pruned(spark, sf_dir):
     """The clauses of each sentence that are made, and those that power pruning leaves."""
-    g, c = source.grammar(spark), cut(clauses(spark, sf_dir))
-    left = power.pruned(c, KEYS, g).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_left"), F.countDistinct("w").alias("n_words"))
-    made = c.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_clauses"))
-    return made.join(left, KEYS, "left").select(*KEYS, "n_clauses", F.coalesce("n_left", F.lit(0)).alias("n_left"), F.coalesce("n_words", F.lit(0)).alias("n_words"))
+    g, kinds = source.grammar(spark), _kinds(spark, sf_dir)
+    c = cut(_made(kinds, g))
+    left = power.pruned(c, KIND, g).groupBy(*KIND).agg(F.count(F.lit(1)).alias("n_left"), F.countDistinct("w").alias("n_words"))
+    made = c.groupBy(*KIND).agg(F.count(F.lit(1)).alias("n_clauses"))
+    return kinds.spread(made.join(left, KIND, "left")).select(*KEYS, "n_clauses", F.coalesce("n_left", F.lit(0)).alias("n_left"), F.coalesce("n_words", F.lit(0)).alias("n_words"))
 
 
 _CROSSED = f"""{_BOUNDS}, ev AS (SELECT conv_id, turn, s, w, count(DISTINCT id) AS n_all FROM b2 GROUP BY ALL),
@@ -230,10 +257,10 @@ x1 AS (SELECT * FROM x0 WHERE lo <= hi QUALIFY count(*) OVER (PARTITION BY id) =
 def gr_crossed(spark, sf_dir):
     """Connectors and their distances after a turn to either side, without what would cross the
     links that sentences must have, and the number of such links."""
-    g = source.grammar(spark)
-    rows = cut(power.half_turn(power.half_turn(power.bounded(clauses(spark, sf_dir), KEYS, g), KEYS, g, "-"), KEYS, g, "+"))
-    n = power.mandatory(rows, KEYS).agg(F.count(F.lit(1)).alias("n_links"))
-    out = power.crossed(rows, KEYS).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("lo").alias("nearest"), F.sum("hi").alias("farthest"))
+    g, kinds = source.grammar(spark), _kinds(spark, sf_dir)
+    rows = cut(power.half_turn(power.half_turn(power.bounded(_made(kinds, g), KIND, g), KIND, g, "-"), KIND, g, "+"))
+    n = power.mandatory(rows, KIND).join(kinds.counts(), "kind").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_links"))
+    out = _weighed(power.crossed(rows, KIND).groupBy("kind", "name").agg(*_sums()), kinds).groupBy("name").agg(*_totals())
     return out.join(F.broadcast(n))
 
 
@@ -253,12 +280,15 @@ asked AS (SELECT DISTINCT id, conv_id, turn, s, classname, rule FROM cons JOIN a
 def gr_rule_lacks(spark, sf_dir):
     """Clauses that ask for a link by a rule, and those of them that no link of their sentence can
     satisfy."""
-    g, c = source.grammar(spark), cut(clauses(spark, sf_dir))
-    rules = spark.createDataFrame(rulepruning.RULES, rulepruning.RULE)
-    names = c.select(*KEYS, "w", "d", "classname", F.explode(F.transform("connectors", lambda x: F.regexp_replace(x, "^@", ""))).alias("name"))
-    asked = names.join(rulepruning.index(g, rules)[0], "name").select(*KEYS, "w", "d", "classname", "rule").distinct()
-    lost = rulepruning.lacking(c, KEYS, g, rules).withColumn("lost", F.lit(1))
-    return asked.join(lost, [*KEYS, "w", "d", "rule"], "left").groupBy("rule", "classname").agg(F.count(F.lit(1)).alias("n_asked"), F.count("lost").alias("n_lost"))
+    g, kinds = source.grammar(spark), _kinds(spark, sf_dir)
+    c, rules = cut(_made(kinds, g)), spark.createDataFrame(rulepruning.RULES, rulepruning.RULE)
+    names = c.select(*KIND, "w", "d", "classname", F.explode(F.transform("connectors", lambda x: F.regexp_replace(x, "^@", ""))).alias("name"))
+    asks = cut(rulepruning.index(g, rules)[0])
+    asked = names.join(F.broadcast(asks) if g.small else asks, "name").select(*KIND, "w", "d", "classname", "rule").distinct()
+    lost = rulepruning.lacking(c, KIND, g, rules).withColumn("lost", F.lit(1))
+    met = asked.join(lost, [*KIND, "w", "d", "rule"], "left").groupBy("kind", "rule", "classname").agg(F.count(F.lit(1)).alias("n_asked"), F.count("lost").alias("n_lost"))
+    total = lambda c: F.sum(F.col(c) * F.col("n")).alias(c)
+    return met.join(kinds.counts(), "kind").groupBy("rule", "classname").agg(total("n_asked"), total("n_lost"))
 
 
 _SELECTS = f"""sel AS (SELECT DISTINCT rule, link FROM (SELECT DISTINCT link FROM lk) JOIN rules ON {_like("link", "selector")})"""
@@ -271,11 +301,12 @@ def gr_relevant_rules(spark, sf_dir):
     """The names of links that each sentence's clauses can make, and the rules that such links
     make relevant to it."""
     g, rules = source.grammar(spark), spark.createDataFrame(rulepruning.RULES, rulepruning.RULE)
-    cons = clauses(spark, sf_dir).select(*KEYS, "w", F.explode("connectors").alias("c")).select(*KEYS, "w", F.regexp_replace("c", "^@", "").alias("name"))
-    links = cut(relevance.possible_links(cons, KEYS, g))
-    found = relevance.relevant(links, KEYS, rules).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rules"), F.array_join(F.array_sort(F.collect_list(F.col("rule").cast("string"))), " ").alias("rules"))
-    n = links.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_links"))
-    return n.join(found, KEYS, "left").select(*KEYS, "n_links", F.coalesce("n_rules", F.lit(0)).cast("long").alias("n_rules"), F.coalesce("rules", F.lit("")).alias("rules"))
+    kinds = _kinds(spark, sf_dir)
+    cons = _made(kinds, g).select(*KIND, "w", F.explode("connectors").alias("c")).select(*KIND, "w", F.regexp_replace("c", "^@", "").alias("name"))
+    links = cut(relevance.possible_links(cons, KIND, g))
+    found = relevance.relevant(links, KIND, rules).groupBy(*KIND).agg(F.count(F.lit(1)).alias("n_rules"), F.array_join(F.array_sort(F.collect_list(F.col("rule").cast("string"))), " ").alias("rules"))
+    n = links.groupBy(*KIND).agg(F.count(F.lit(1)).alias("n_links"))
+    return kinds.spread(n.join(found, KIND, "left")).select(*KEYS, "n_links", F.coalesce("n_rules", F.lit(0)).cast("long").alias("n_rules"), F.coalesce("rules", F.lit("")).alias("rules"))
 
 
 def _canonical(e: tuple) -> str:
@@ -307,22 +338,36 @@ def gr_sub_expressions(spark, sf_dir):
 
 def parsable(spark: SparkSession, sf_dir: str, cutoff: float = CUTOFF) -> DataFrame:
     """The clauses that power pruning leaves, in the form in which parses are counted."""
-    c = cut(power.pruned(cut(clauses(spark, sf_dir, cutoff)), KEYS, source.grammar(spark), cross=True))
+    kinds = _kinds(spark, sf_dir)
+    return cut(kinds.spread(_parsable(kinds, cutoff)))
+
+
+def _parsable(kinds: sentences.Kinds, cutoff: float = CUTOFF) -> DataFrame:
+    """As parsable(), with kind in place of keys."""
+    g = source.grammar(kinds.each.sparkSession)
+    c = cut(power.pruned(cut(_made(kinds, g, cutoff)), KIND, g, cross=True))
     c = c.withColumn("disjunct", F.array_join("connectors", " & ")).withColumn("c", parsed(F.col("disjunct")))
     side = lambda s: F.filter("c", lambda x: x["dir"] == s)
-    return cut(c.select(*KEYS, "w", "last", "classname", "d", "disjunct", "cost", side("-").alias("left"), side("+").alias("right")))
+    return cut(c.select(*KIND, "w", "last", "classname", "d", "disjunct", "cost", side("-").alias("left"), side("+").alias("right")))
 
 
 @query()
 def gr_parse_counts(spark, sf_dir):
     """How many linkages of all their words the sentences of conversations have."""
-    return parsing.parse_counts(parsable(spark, sf_dir), KEYS)
+    kinds = _kinds(spark, sf_dir)
+    return kinds.spread(parsing.parse_counts(_parsable(kinds), KIND))
+
+
+def _best(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+    """The best linkages of each sentence."""
+    kinds = _kinds(spark, sf_dir)
+    return kinds.spread(cut(parsing.linkages(_parsable(kinds), KIND, most)))
 
 
 @query()
 def gr_best(spark, sf_dir):
     """The three best linkages of each sentence: cost, length and links."""
-    best = parsing.linkages(parsable(spark, sf_dir), KEYS, 3)
+    best = _best(spark, sf_dir, 3)
     links = F.array_join(F.transform("links", lambda x: F.concat_ws("-", x["lw"].cast("string"), x["name"], x["rw"].cast("string"))), " ")
     return best.select(*KEYS, "rank", "cost", "length", links.alias("links"))
 
@@ -331,7 +376,7 @@ def gr_best(spark, sf_dir):
 def gr_shown(spark, sf_dir):
     """The best linkage of each sentence, its links from left to right, and the connectors that
     it uses at each word."""
-    best = parsing.linkages(parsable(spark, sf_dir), KEYS, 1)
+    best = _best(spark, sf_dir, 1)
     k = F.concat_ws("/", *(F.col(c).cast("string") for c in KEYS)).alias("k")
     links = cut(best.select(k, "rank", F.posexplode("links").alias("i", "x")).select("k", "rank", "i", "x.*"))
     row = F.concat_ws(":", F.col("w").cast("string"), "disjunct")
@@ -343,7 +388,7 @@ def gr_shown(spark, sf_dir):
 def gr_phrases(spark, sf_dir):
     """The constituents of the best linkage of each sentence of conversations, drawn in three
     styles: on one line, with labels at both ends, and on a line each."""
-    best = parsing.linkages(parsable(spark, sf_dir), KEYS, 1)
+    best = _best(spark, sf_dir, 1)
     k = F.concat_ws("/", *(F.col(c).cast("string") for c in KEYS)).alias("k")
     links = cut(best.select(k, "rank", F.posexplode("links").alias("i", "x")).select("k", "rank", "i", "x.*"))
     texts = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
@@ -356,15 +401,20 @@ def gr_phrases(spark, sf_dir):
 def gr_forest(spark, sf_dir):
     """The packed forest of each sentence of conversations: its nodes and choices, the linkages
     that it stands for, and the clauses that any of them uses."""
-    f = forest.forest(parsable(spark, sf_dir), KEYS)
-    n = f.choices.groupBy(*KEYS).agg(F.countDistinct("node").alias("n_nodes"), F.count(F.lit(1)).alias("n_choices"), F.countDistinct("w", "d").alias("n_clauses"))
-    return n.join(f.roots.select(*KEYS, F.col("all").cast("long").alias("n_parses")), KEYS)
+    kinds = _kinds(spark, sf_dir)
+    f = forest.forest(_parsable(kinds), KIND)
+    n = f.choices.groupBy(*KIND).agg(F.countDistinct("node").alias("n_nodes"), F.count(F.lit(1)).alias("n_choices"), F.countDistinct("w", "d").alias("n_clauses"))
+    return kinds.spread(n.join(f.roots.select(*KIND, F.col("all").cast("long").alias("n_parses")), KIND))
 
 
 @query()
 def gr_drawn(spark, sf_dir):
     """Three linkages of each sentence of conversations, drawn by exp(-cost)."""
-    rows = forest.drawn(forest.forest(parsable(spark, sf_dir), KEYS, 1.0), 3, 1)
+    kinds = _kinds(spark, sf_dir)
+    f = forest.forest(_parsable(kinds), KIND, 1.0)
+    # each sentence draws from its kind's forest, by a hash of its own keys
+    own = forest.Forest(KEYS, cut(kinds.spread(f.roots)), cut(kinds.spread(f.choices)), f.longest)
+    rows = forest.drawn(own, 3, 1)
     links = F.array_join(F.transform("links", lambda x: F.concat_ws("-", x["lw"].cast("string"), x["name"], x["rw"].cast("string"))), " ")
     return rows.select(*KEYS, "draw", "cost", links.alias("links"))
 
