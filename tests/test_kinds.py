@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from weftline.operators import sentences, trees
+from weftline.operators import parsing, sentences, trees
 from weftline.sources import trees as source
 
 
@@ -29,3 +29,12 @@ def test_sweeps_agree(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(trees, "MOST_NAMES", 0)
             assert by_word and by_word == rows(trees.swept(trees.whole(words, g), ["k"], g, to))
+
+
+def test_pruned_counts(spark):
+    """Pruning by live connectors leaves as many clauses and words as pruning by pairs does."""
+    words = _words(spark, ["the dog is on the table", "dog running in it", "the the of", "it moved the cat and dog to dogs", "of", "he liked houses by the sea in it"])
+    left = parsing.pruned(parsing.sentence_clauses(words, ["k"]), ["k"])
+    want = left.groupBy("k").agg(F.count(F.lit(1)).alias("n_clauses"), F.countDistinct("w").alias("n_words"))
+    got = parsing.pruned_counts(words, ["k"], parsing.clause_trees())
+    assert sorted(map(tuple, want.collect())) == sorted(map(tuple, got.collect())) and want.count() > 2

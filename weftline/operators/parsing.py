@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.connectors import link_name, parsed, subtypes_match
+from weftline.operators.trees import pruned as expression_pruned
 from weftline.plans.lineage import Parts, cut
-from weftline.sources import grammar
+from weftline.sources import grammar, trees
 
 #: Counts stop here, as 32-bit counts do.
 MOST = 2**31 - 1
@@ -65,6 +66,36 @@ def pruned(clauses: DataFrame, keys: list[str]) -> DataFrame:
     return left
 
 
+def clause_trees(rows: list[tuple[str, str, float]] = grammar.CLAUSES, cutoff: float = 2.7) -> dict[str, tuple]:
+    """Rows (classname, disjunct, cost) up to the cost cut-off as one expression for each class: an OR
+    of clauses, each an AND of connectors."""
+    out: dict = {}
+    for name, disjunct, cost in rows:
+        if cost <= cutoff:
+            out.setdefault(name, []).append(trees.all_of(*(trees.con(c.strip()) for c in disjunct.split("&")), cost=cost))
+    return {name: trees.one_of(*x) for name, x in out.items()}
+
+
+def pruned_counts(words: DataFrame, keys: list[str], expressions: dict[str, tuple]) -> DataFrame:
+    """keys, n_clauses and n_words: what pruned() leaves of the clauses of words(keys, w, classname)
+    by expressions as clause_trees() gives them. A word's row holds the numbers of its live
+    connectors, and a clause goes with any of them, so that no clause or pair of them is a row."""
+    spark = words.sparkSession
+    g = trees.grammar(spark, spark.createDataFrame(trees.node_rows(expressions), trees.NODES), {})
+    # each connector with its clause, and how many connectors that has to either side
+    side = lambda s: F.sum((F.col("dir") == s).cast("int")).over(Window.partitionBy("classname", "parent"))
+    nodes = g.classes.select("classname", F.inline("nodes")).join(g.leaves.select("classname", "node", "dir"), ["classname", "node"])
+    own = nodes.select("classname", "node", "parent", side("-").alias("nl"), side("+").alias("nr")).groupBy("classname").agg(F.array_sort(F.collect_list(F.struct("node", "parent", "nl", "nr"))).alias("own"))
+    own = F.broadcast(cut(own))
+    last = F.max("w").over(Window.partitionBy(*keys))
+    rows = words.withColumn("last", last).join(own, "classname")
+    fits = F.filter("own", lambda x: (x["nl"] <= F.col("w")) & (x["nr"] <= F.col("last") - F.col("w")))
+    rows = rows.select(*keys, "w", "classname", F.transform(fits, lambda x: x["node"]).alias("live")).where("size(live) > 0")
+    left = expression_pruned(rows, keys, g).join(own, "classname")
+    kept = F.array_distinct(F.transform(F.filter("own", lambda x: F.array_contains("live", x["node"])), lambda x: x["parent"]))
+    return left.groupBy(*keys).agg(F.sum(F.size(kept)).alias("n_clauses"), F.countDistinct("w").alias("n_words"))
+
+
 @dataclass(frozen=True)
 class Payload:
     """What a span carries: the empty span (its left word, that word's clause and cost), two

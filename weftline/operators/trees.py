@@ -118,6 +118,7 @@ def purged(state: DataFrame, g: Grammar) -> DataFrame:
 
 def pruned(words: DataFrame, keys: list[str], g: Grammar, linked: bool = False) -> DataFrame:
     """words(keys, w, classname) with live: sweeps to both sides, until none deletes a connector.
+    Words that come with live begin with that, others with all connectors of their classes.
     Deletion only ever shrinks live sets, so the order of sweeps changes their number and not what
     is left. A sentence in which a sweep deletes nothing takes no part in the next.
 
@@ -125,7 +126,8 @@ def pruned(words: DataFrame, keys: list[str], g: Grammar, linked: bool = False)
     all its words. Elsewhere a loss may pass on from word to word, a sweep for each."""
     here = Window.partitionBy(*keys)
     total, many = F.sum(F.size("live")).over(here), F.count(F.lit(1)).over(here)
-    state, done = cut(whole(words.withColumn("all", many), g).withColumn("had", total)), Parts(words.sparkSession)
+    words = words.withColumn("all", many)
+    state, done = cut((words if "live" in words.columns else whole(words, g)).withColumn("had", total)), Parts(words.sparkSession)
     for at in count(1):
         turn = swept(state, keys, g, "-+").withColumn("have", total)
         turn = cut(turn.withColumn("many", F.size(F.collect_set("w").over(here))).where("many = all").drop("many") if linked else turn)

@@ -44,8 +44,8 @@ def gr_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gr_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses of each sentence that pruning leaves."""
-    c = parsing.sentence_clauses(_words(spark, sf_dir), KEYS)
-    return parsing.pruned(c, KEYS).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_clauses"), F.countDistinct("w").alias("n_words"))
+    kinds = sentences.kinds(_words(spark, sf_dir), KEYS)
+    return kinds.spread(parsing.pruned_counts(kinds.words(), sentences.KIND, parsing.clause_trees()))
 
 
 def gr_corpus_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
