@@ -31,6 +31,16 @@ def test_sweeps_agree(spark, monkeypatch):
             assert by_word and by_word == rows(trees.swept(trees.whole(words, g), ["k"], g, to))
 
 
+def test_types_of_places(spark, tmp_path):
+    """Connectors are taken apart once for all words of a class and place: copies of a text change counts only."""
+    from weftline import catalogue
+
+    texts = [(i, 0, "the dog is on the table") for i in range(50)]
+    spark.createDataFrame(texts, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["dir"], r["n_types"]): r["n"] for r in catalogue.QUERIES["gr_types"](spark, str(tmp_path)).collect()}
+    assert got and all(n % 50 == 0 for n in got.values())
+
+
 def test_pruned_counts(spark):
     """Pruning by live connectors leaves as many clauses and words as pruning by pairs does."""
     words = _words(spark, ["the dog is on the table", "dog running in it", "the the of", "it moved the cat and dog to dogs", "of", "he liked houses by the sea in it"])

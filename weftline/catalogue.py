@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import expressions, linkages, pairs, parsing, sentences, wordforms
+from weftline.plans.lineage import cut
 from weftline.registry import _CLOSED, _NAMES, _ROWS, _WORDS, KEYS, _values, _words
 from weftline.sources import grammar
 
@@ -212,8 +213,14 @@ def gr_nearest(spark, sf_dir):
 @query(f"WITH {_CONS}, t AS (SELECT conv_id, turn, s, w, dir, count(DISTINCT uc) AS n_types FROM cons GROUP BY ALL) SELECT dir, n_types, count(*) AS n FROM t GROUP BY dir, n_types")
 def gr_types(spark, sf_dir):
     """Words by how many types their connectors of a direction have."""
-    c = parsing.connectors(parsing.sentence_clauses(_words(spark, sf_dir), KEYS), KEYS)
-    return c.groupBy(*KEYS, "w", "dir").agg(F.countDistinct("uc").alias("n_types")).groupBy("dir", "n_types").agg(F.count(F.lit(1)).alias("n"))
+    words = _words(spark, sf_dir).withColumn("last", F.max("w").over(Window.partitionBy(*KEYS)))
+    # words of equal classes and places are looked at once
+    alike = ["classes", "w", "last"]
+    words = words.groupBy(*KEYS, "w", "last").agg(F.array_sort(F.collect_set("classname")).alias("classes"))
+    n = cut(words.groupBy(*alike).agg(F.count(F.lit(1)).alias("n")))
+    c = parsing.connectors(parsing.sentence_clauses(n.select(*alike, F.explode("classes").alias("classname")), alike[:1]), alike[:1])
+    types = c.groupBy(*alike, "dir").agg(F.countDistinct("uc").alias("n_types"))
+    return types.join(n, alike).groupBy("dir", "n_types").agg(F.sum("n").alias("n"))
 
 
 # --- dictionary entries ---

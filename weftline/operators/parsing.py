@@ -18,7 +18,7 @@ MOST = 2**31 - 1
 
 
 def sentence_clauses(words: DataFrame, keys: list[str], clauses: DataFrame | None = None, cutoff: float = 2.7) -> DataFrame:
-    """words(keys, w, classname) with their clauses: d (number), cost, and the connectors to
+    """words(keys, w, classname; last, if it is there) with their clauses: d (number), cost, and the connectors to
     the left and right, nearest first. Clauses over the cost cut-off, and those with more
     connectors to a side than the sentence has words there, go."""
     spark = words.sparkSession
@@ -27,7 +27,7 @@ def sentence_clauses(words: DataFrame, keys: list[str], clauses: DataFrame | Non
     side = lambda s: F.filter("c", lambda x: x["dir"] == s)
     c = F.broadcast(c.select("classname", "d", "disjunct", "cost", side("-").alias("left"), side("+").alias("right")))
     last = F.max("w").over(Window.partitionBy(*keys))
-    out = words.withColumn("last", last).join(c, "classname")
+    out = (words if "last" in words.columns else words.withColumn("last", last)).join(c, "classname")
     return out.where((F.size("left") <= F.col("w")) & (F.size("right") <= F.col("last") - F.col("w")))
 
 
