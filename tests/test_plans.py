@@ -17,3 +17,13 @@ def test_plans_of_loops(spark):
     assert [r["n_parses"] for r in parsing.parse_counts(c, ["k"]).collect()] == [1]
     f = forest.forest(c, ["k"])
     assert [len(r["links"]) for r in forest.drawn(f, 2, 1).collect()] == [5, 5]
+
+
+def test_charts_are_not_broadcast(spark):
+    """However small their files are, no table of a chart goes whole through the driver."""
+    clauses = spark.createDataFrame([("LEFT-WALL", "A+", 0.0), ("z", "A-", 0.0)], "classname string, disjunct string, cost double")
+    words = spark.createDataFrame([(0, 0, "LEFT-WALL"), (0, 1, "z")], "k int, w int, classname string")
+    made = parsing.charted(parsing.sentence_clauses(words, ["k"], clauses), ["k"], parsing.counted(), 0)
+    for df in (made.whole(["k"]), parsing.links(made.spans, made.pairs, made.sizes, ["k"])):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert made.whole(["k"]).count() == 1

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.parsing import Chart, Payload, charted, links
-from weftline.plans.lineage import Parts, cut
+from weftline.plans.lineage import Parts, cut, grown
 
 ROOT = "root"
 #: What a choice tells: the link that it makes, or the word and clause that it takes and their cost.
@@ -67,7 +67,7 @@ def _choices(c: Chart, spans: DataFrame, keys: list[str], beta: float) -> DataFr
     out = rows(near, _span(), False, [], F.exp(-F.lit(float(beta)) * F.col("cost")), w=F.col("lw"), d=F.col("ld"), cost=F.col("cost"))
 
     # halves: with a link between their end words, all of one end word's inner side used up
-    made = cut(links(spans, c.pairs, c.sizes, keys))
+    made = grown(links(spans, c.pairs, c.sizes, keys))
     link = {"lw": F.col("lw"), "rw": F.col("rw"), "name": F.col("name")}
     left = rows(made.where("ri = nl"), _half("L", "li", True), True, [_span()], F.col("n"), **link)
     right = rows(made.where("li = nr"), _half("R", "ri", True), True, [_span()], F.col("n"), **link)
@@ -96,15 +96,15 @@ def forest(clauses: DataFrame, keys: list[str], beta: float = 0.0, max_null: int
     Sentences without a linkage have no rows, and clauses without rows an empty forest. A choice
     that stands in clauses twice must differ in d."""
     c = charted(clauses, keys, weighted(beta), max_null)
-    tops = cut(c.whole(keys))
+    tops = grown(c.whole(keys))
     least = Window.partitionBy(*keys)
     tops = tops.withColumn("least", F.min("nulls").over(least)).where("nulls = least")
     one = tops.select(*keys, F.lit(ROOT).alias("node"), (F.col("rw") - F.col("lw") + 1).cast("int").alias("length"), F.lit(False).alias("half"), F.array(_span()).alias("kids"), F.col("n").cast("double").alias("weight"), "nulls")
-    top = cut(one)
+    top = grown(one)
     kept = top.select(*keys).distinct()
-    every = _choices(c, cut(c.spans.join(kept, keys, "left_semi")), keys, beta)
+    every = _choices(c, grown(c.spans.join(kept, keys, "left_semi")), keys, beta)
     nothing = [F.lit(None).cast(every.schema[t].dataType).alias(t) for t in TOLD]
-    every = cut(every.unionByName(top.select(*keys, "node", "length", "half", "kids", *nothing, "weight")).sortWithinPartitions("length"))
+    every = grown(every.unionByName(top.select(*keys, "node", "length", "half", "kids", *nothing, "weight")).sortWithinPartitions("length"))
     roots = top.groupBy(*keys).agg(F.min("nulls").alias("nulls"), F.max("length").alias("length"), F.sum("weight").alias("all"))
     longest = roots.agg(F.max("length")).first()[0] or 0
     used = _used(every, top.select(*keys, "node", "length", "half").distinct(), keys, longest)
@@ -112,7 +112,7 @@ def forest(clauses: DataFrame, keys: list[str], beta: float = 0.0, max_null: int
     ordered = by.orderBy(F.concat_ws(" ", "kids"), "name", "w", "d")
     placed = used.withColumn("hi", F.sum("weight").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.withColumn("lo", F.coalesce(F.lag("hi").over(ordered), F.lit(0.0))).withColumn("all", F.max("hi").over(by))
-    return Forest(keys, cut(roots), cut(placed.sortWithinPartitions("length")), longest)
+    return Forest(keys, cut(roots), grown(placed.sortWithinPartitions("length")), longest)
 
 
 def _ends(node: Column) -> tuple[Column, Column]:
@@ -179,7 +179,7 @@ def shares(f: Forest) -> DataFrame:
         for half in (True, False):
             at = (F.col("length") == length) & (F.col("half") == half)
             here = outer.where(at).groupBy(*keys, "node").agg(F.sum("out").alias("out"))
-            met = cut(f.choices.where(at).join(here, [*keys, "node"]).withColumn("c", F.monotonically_increasing_id()))
+            met = grown(f.choices.where(at).join(here, [*keys, "node"]).withColumn("c", F.monotonically_increasing_id()))
             own = met.where("name is not null").select(*keys, "lw", "rw", "name", (F.col("out") * F.col("weight")).alias("share"))
             out = own if out is None else out.unionByName(own)
             kids = met.select(*keys, "c", "out", "weight", F.explode("kids").alias("node")).join(inner, [*keys, "node"])

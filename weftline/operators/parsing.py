@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.connectors import link_name, parsed, subtypes_match
 from weftline.operators.trees import pruned as expression_pruned
-from weftline.plans.lineage import Parts, cut
+from weftline.plans.lineage import Parts, cut, grown
 from weftline.sources import grammar, trees
 
 #: Counts stop here, as 32-bit counts do.
@@ -181,15 +181,15 @@ def charted(clauses: DataFrame, keys: list[str], pay: Payload, max_null: int) ->
     left = clauses.join(full, keys, "left_semi").select(*keys, "w", "last", "d", "cost", "left", "right")
     end = left.select(*keys, "last").distinct().select(*keys, (F.col("last") + 1).alias("w"), "last", F.lit(0).alias("d"), F.lit(0.0).alias("cost"), F.expr("cast(array() as array<struct<text:string,multi:boolean,hd:string,uc:string,lc:string,dir:string>>)").alias("left"))
     end = end.withColumn("right", F.col("left"))
-    nodes = cut(left.unionByName(end))
+    nodes = grown(left.unionByName(end))
     a = nodes.select(*keys, F.col("w").alias("lw"), F.col("d").alias("ld"), "cost", F.explode(F.sequence(F.col("w") + 1, F.col("w") + 1 + max_null)).alias("rw"))
     b = nodes.select(*keys, F.col("w").alias("rw"), F.col("d").alias("rd"))
     state = [*keys, "lw", "rw", "ld", "rd", "l", "r", "nulls"]
     near = a.join(b, [*keys, "rw"]).withColumns({"l": F.lit(0), "r": F.lit(0), "nulls": F.col("rw") - F.col("lw") - 1})
     pending, spans, lefts, rights = (Parts(nodes.sparkSession) for _ in range(4))
     pending.add(near.select(*state, pay.unit(F.col("lw"), F.col("ld"), F.col("cost")).alias("n")), 0)
-    pairs = cut(partners(connectors_by_side(nodes, keys), keys))
-    sizes = cut(nodes.select(*keys, F.col("w"), F.col("d"), F.size("left").alias("nl"), F.size("right").alias("nr"), F.transform("left", lambda c: c["multi"]).alias("ml"), F.transform("right", lambda c: c["multi"]).alias("mr")))
+    pairs = grown(partners(connectors_by_side(nodes, keys), keys))
+    sizes = grown(nodes.select(*keys, F.col("w"), F.col("d"), F.size("left").alias("nl"), F.size("right").alias("nr"), F.transform("left", lambda c: c["multi"]).alias("ml"), F.transform("right", lambda c: c["multi"]).alias("mr")))
     ends = [*keys, "m", "md"]
     length, longest = 1, 1 + max_null
     while length <= longest:

@@ -41,9 +41,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """cut(df), of a table that grows with the corpus. What files hold is packed many times denser than
+    rows are, so that by their size joins would send tables whole through the driver that do not
+    fit there: such a table is shuffled to its joins."""
+    return cut(df).hint("merge")
+
+
 class Parts:
     """A table that grows by parts, each computed once and written to a folder of its own. What reads
-    it has one scan, however many parts there are, so that plans of loops do not grow with turns."""
+    it has one scan, however many parts there are, so that plans of loops do not grow with turns.
+    It is shuffled to its joins, as grown() tables are."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.path, self.schema = spark, f"{folder(spark)}/weftline/parts-{uuid.uuid4().hex}", None
@@ -53,9 +61,9 @@ class Parts:
         """df as this part of the table, read from there."""
         self.schema = df.schema if self.schema is None else self.schema
         df.write.parquet(f"{self.path}/part={part}")
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/part={part}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/part={part}").hint("merge")
 
     def read(self, parts: str = "true") -> DataFrame:
         """The parts(part) of which the condition holds."""
         schema = StructType([*self.schema.fields, StructField("part", IntegerType())])
-        return self.spark.read.schema(schema).parquet(self.path).where(parts).drop("part")
+        return self.spark.read.schema(schema).parquet(self.path).where(parts).drop("part").hint("merge")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions.connectors import parsed
 from weftline.operators import constituents, forest, linkages, parsing, paths, power, relevance, rulepruning, sentences, trees, wordforms, wordgraph
 from weftline.operators.sentences import KIND
-from weftline.plans.lineage import cut
+from weftline.plans.lineage import cut, grown
 from weftline.registry import _WORDS, KEYS, _values
 from weftline.sources import trees as source
 
@@ -348,7 +348,7 @@ def _parsable(kinds: sentences.Kinds, cutoff: float = CUTOFF) -> DataFrame:
     c = cut(power.pruned(cut(_made(kinds, g, cutoff)), KIND, g, cross=True))
     c = c.withColumn("disjunct", F.array_join("connectors", " & ")).withColumn("c", parsed(F.col("disjunct")))
     side = lambda s: F.filter("c", lambda x: x["dir"] == s)
-    return cut(c.select(*KIND, "w", "last", "classname", "d", "disjunct", "cost", side("-").alias("left"), side("+").alias("right")))
+    return grown(c.select(*KIND, "w", "last", "classname", "d", "disjunct", "cost", side("-").alias("left"), side("+").alias("right")))
 
 
 @query()
@@ -413,7 +413,7 @@ def gr_drawn(spark, sf_dir):
     kinds = _kinds(spark, sf_dir)
     f = forest.forest(_parsable(kinds), KIND, 1.0)
     # each sentence draws from its kind's forest, by a hash of its own keys
-    own = forest.Forest(KEYS, cut(kinds.spread(f.roots)), cut(kinds.spread(f.choices)), f.longest)
+    own = forest.Forest(KEYS, cut(kinds.spread(f.roots)), grown(kinds.spread(f.choices)), f.longest)
     rows = forest.drawn(own, 3, 1)
     links = F.array_join(F.transform("links", lambda x: F.concat_ws("-", x["lw"].cast("string"), x["name"], x["rw"].cast("string"))), " ")
     return rows.select(*KEYS, "draw", "cost", links.alias("links"))
