@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.operators import expressions, linkages, pairs, parsing, sentences, wordforms
+from weftline.operators import expressions, linkages, pairs, parsing, places, sentences, wordforms
 from weftline.plans.lineage import cut
 from weftline.registry import _CLOSED, _NAMES, _ROWS, _WORDS, KEYS, _values, _words
 from weftline.sources import grammar
@@ -194,20 +194,16 @@ met AS (SELECT a.conv_id, a.turn, a.s, a.w AS lw, a.d AS ld, a.i AS li, b.w AS r
 SELECT uc, dir, count(*) AS n, count(h.w) AS n_held FROM cons c LEFT JOIN held h USING (conv_id, turn, s, w, d, i) GROUP BY uc, dir""")
 def gr_swept(spark, sf_dir):
     """One sweep of pruning: connectors, and those of them that have a partner."""
-    cons = parsing.connectors(parsing.sentence_clauses(_words(spark, sf_dir), KEYS), KEYS)
-    met = parsing.partners(cons, KEYS)
-    held = met.select(*KEYS, F.col("lw").alias("w"), F.col("ld").alias("d"), F.col("li").alias("i")).union(met.select(*KEYS, "rw", "rd", "ri")).distinct().withColumn("held", F.lit(1))
-    return cons.join(held, [*KEYS, "w", "d", "i"], "left").groupBy("uc", "dir").agg(F.count(F.lit(1)).alias("n"), F.count("held").alias("n_held"))
+    return places.held_counts(places.places(_words(spark, sf_dir), KEYS))
 
 
 @query(f"""WITH {_CONS}, f AS (SELECT conv_id, turn, s, lw, ld, li, uc, min(rw - lw) AS near, max(rw - lw) AS far FROM met GROUP BY ALL)
 SELECT uc, count(*) AS n, min(near)::INTEGER AS nearest, max(far)::INTEGER AS farthest, sum(near)::BIGINT AS near_words, sum(far)::BIGINT AS far_words FROM f GROUP BY uc""")
 def gr_nearest(spark, sf_dir):
     """How near and how far the partners of right-going connectors stand, by type."""
-    c = parsing.connectors(parsing.sentence_clauses(_words(spark, sf_dir), KEYS), KEYS)
-    uc = c.select(*KEYS, F.col("w").alias("lw"), F.col("d").alias("ld"), F.col("i").alias("li"), "uc")
-    far = parsing.partners(c, KEYS).groupBy(*KEYS, "lw", "ld", "li").agg(F.min(F.expr("rw - lw")).alias("near"), F.max(F.expr("rw - lw")).alias("far")).join(uc, [*KEYS, "lw", "ld", "li"])
-    return far.groupBy("uc").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("nearest"), F.max("far").alias("farthest"), F.sum("near").alias("near_words"), F.sum("far").alias("far_words"))
+    # a word that stands twice in its class has its partners once
+    words = _words(spark, sf_dir).select(*KEYS, "w", "classname").distinct()
+    return places.nearest(places.places(words, KEYS))
 
 
 @query(f"WITH {_CONS}, t AS (SELECT conv_id, turn, s, w, dir, count(DISTINCT uc) AS n_types FROM cons GROUP BY ALL) SELECT dir, n_types, count(*) AS n FROM t GROUP BY dir, n_types")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.connectors import CONNECTOR
-from weftline.operators import evaluation, generation, parsing, postprocess, sentences
+from weftline.operators import evaluation, generation, parsing, places, postprocess, sentences
 from weftline.sources import grammar
 
 KEYS = ["conv_id", "turn", "s"]
@@ -38,8 +38,7 @@ def gr_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gr_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of connectors of a sentence's clauses that match, by link name."""
-    c = parsing.sentence_clauses(_words(spark, sf_dir), KEYS)
-    return parsing.partners(parsing.connectors(c, KEYS), KEYS).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return places.link_counts(places.places(_words(spark, sf_dir), KEYS))
 
 
 def gr_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,7 +176,8 @@ def gr_exp_counts(spark, sf_dir):
     shapes = state.select(*trees.SHAPE).distinct()
     cheap = trees.expanded(shapes, g, CUTOFF).groupBy(*trees.SHAPE).agg(F.count(F.lit(1)).alias("m"))
     n = trees.clause_counts(shapes, g).join(cheap, trees.SHAPE, "left")
-    return state.join(n, trees.SHAPE).groupBy(*KEYS).agg(F.sum("n").alias("n_clauses"), F.sum(F.coalesce("m", F.lit(0))).alias("n_cheap"))
+    n = cut(n)  # a whole expression is one shape: of the dictionary's size, and most words are of few of them
+    return state.join(F.broadcast(n) if g.small else n, trees.SHAPE).groupBy(*KEYS).agg(F.sum("n").alias("n_clauses"), F.sum(F.coalesce("m", F.lit(0))).alias("n_cheap"))
 
 
 # --- clauses ---
