@@ -75,3 +75,17 @@ def test_no_clause_of_a_linkage_goes(spark):
                 used |= {(k, w, c) for w, c in enumerate(choice)}
     assert used and used <= crossed <= left, (used - crossed, crossed - left)
     assert len(left) < 0.8 * sum(map(len, by_word.values())), (len(left), len(used), sum(map(len, by_word.values())))
+
+
+def test_rows_are_dealt_once(spark):
+    """Half turns and crossed links shuffle by the sentence alone: what follows joins and windows where the rows lie."""
+    import re
+
+    g = source.grammar(spark)
+    clauses = spark.createDataFrame([(0, 0, 1, 0, ["Wd+"]), (0, 1, 1, 0, ["Wd-"])], "k int, w int, last int, d int, connectors array<string>")
+    rows = power.half_turn(power.half_turn(power.bounded(clauses, KEYS, g), KEYS, g, "-"), KEYS, g, "+")
+    plan = power.crossed(rows, KEYS)._jdf.queryExecution().executedPlan().toString()
+    by = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    own = [x for x in by if re.search(r"\bk#", x)]  # others deal the dictionary's rows
+    assert own and all(re.fullmatch(r"k#\d+, \d+", x) for x in own), by
+    assert "SortMergeJoin" in plan

@@ -11,7 +11,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.plans.lineage import Parts, cut
+from weftline.plans.lineage import Parts, cut, together
 from weftline.sources.trees import Grammar
 
 SIDE = ["name", "multi", "first", "lo", "hi"]
@@ -21,8 +21,9 @@ def bounded(clauses: DataFrame, keys: list[str], g: Grammar) -> DataFrame:
     """clauses(keys, w, last, d, connectors) as keys, w, d, dir, i (1: the nearest of its side),
     name, multi, first, lo, hi and n, the clause's number of connectors: one row for each. At
     first an interval is what the words of the sentence and the type's reach leave: each
-    connector nearer by needs a word before it, each one farther off a word behind it."""
-    rows = clauses.select(*keys, "w", "last", "d", F.size("connectors").alias("n"), F.posexplode("connectors").alias("at", "connector"))
+    connector nearer by needs a word before it, each one farther off a word behind it. Rows of equal
+    keys lie together; what follows keeps them so."""
+    rows = together(clauses, keys).select(*keys, "w", "last", "d", F.size("connectors").alias("n"), F.posexplode("connectors").alias("at", "connector"))
     parts = g.leaves.select("connector", "name", "multi", "dir", "reach").distinct()
     side = Window.partitionBy(*keys, "w", "d", "dir").orderBy("at")
     rows = rows.join(parts, "connector").withColumn("i", F.row_number().over(side)).withColumn("__of", F.count(F.lit(1)).over(Window.partitionBy(*keys, "w", "d", "dir")))
@@ -41,7 +42,8 @@ def half_turn(rows: DataFrame, keys: list[str], g: Grammar, to: str, max_null: i
     """rows after every connector that goes `to` one side has met those that may answer it there.
 
     Equal connectors of a word with equal intervals meet once, whatever the number of clauses;
-    an equi-join on sentence and name, with the two intervals as the residual. Two nearest
+    an equi-join on sentence and name, with the two intervals as the residual. Of rows that lie
+    together by sentence (lineage.together) nothing is shuffled. Two nearest
     connectors that link once only would cut off the words between them: they may link only as
     far apart as words may stay without links."""
     own, other = ("b", "a") if to == "-" else ("a", "b")
@@ -51,13 +53,14 @@ def half_turn(rows: DataFrame, keys: list[str], g: Grammar, to: str, max_null: i
     far = F.col("w") - F.col("ow") if to == "-" else F.col("ow") - F.col("w")
     shut = F.col("first") & F.col("ofirst") & ~F.col("multi") & ~F.col("omulti")
     met = asks.join(answers, [*keys, "name"]).withColumn("far", far).where("far between lo and hi and far between olo and ohi").where(~shut | (F.col("far") <= 1 + max_null))
-    met = met.groupBy(*keys, "w", *SIDE).agg(F.min("far").alias("near"), F.max("far").alias("far"))
-    side = rows.where(F.col("dir") == to).join(met, [*keys, "w", *SIDE])
-    order = Window.partitionBy(*keys, "w", "d").orderBy("i")
+    met = met.groupBy(*keys, "w", *SIDE).agg(F.min("far").alias("near"), F.max("far").alias("far")).withColumn("dir", F.lit(to))
+    turned = F.col("dir") == to
+    side = rows.join(met, [*keys, "w", "dir", *SIDE], "left").where(~turned | F.col("near").isNotNull())
+    order = Window.partitionBy(*keys, "w", "d", "dir").orderBy("i")
     lo = F.max(F.col("near") - F.col("i")).over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("i")
     hi = F.min(F.col("far") - F.col("i")).over(order.rowsBetween(0, Window.unboundedFollowing)) + F.col("i")
-    side = side.withColumn("new", lo).withColumn("hi", hi).drop("near", "far", "lo").withColumnRenamed("new", "lo")
-    return _whole(side.select(*rows.columns).unionByName(rows.where(F.col("dir") != to)), keys)
+    side = side.withColumns({"lo": F.when(turned, lo).otherwise(F.col("lo")), "hi": F.when(turned, hi).otherwise(F.col("hi"))})
+    return _whole(side.select(*rows.columns), keys)
 
 
 def mandatory(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,13 +100,14 @@ def pruned(clauses: DataFrame, keys: list[str], g: Grammar, max_null: int = 0, c
     each turn also takes away what would cross mandatory links."""
     if cross and max_null:
         raise ValueError("links are mandatory only where all words are linked")
-    rows, last = bounded(clauses, keys, g), clauses.groupBy(*keys).agg(F.first("last").alias("last"))
+    rows, last = bounded(clauses, keys, g), together(clauses.select(*keys, "last"), keys).groupBy(*keys).agg(F.first("last").alias("last"))
     size = lambda df: df.groupBy(*keys).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("size"), F.size(F.collect_set("w")).alias("words"))
     enough = size(rows).join(last, keys).where(F.col("words") + max_null > F.col("last")).select(*keys, F.col("size").alias("had"))
     rows, done = cut(rows.join(enough, keys)), Parts(clauses.sparkSession)
     for at in count(1):
-        turn = cut(half_turn(half_turn(rows.drop("had"), keys, g, "-", max_null), keys, g, "+", max_null))
-        turn = cut(crossed(turn, keys)) if cross else turn
+        rows = together(rows, keys)
+        turn = together(cut(half_turn(half_turn(rows.drop("had"), keys, g, "-", max_null), keys, g, "+", max_null)), keys)
+        turn = together(cut(crossed(turn, keys)), keys) if cross else turn
         had = rows.select(*keys, "had").distinct()
         enough = cut(size(turn).join(last, keys).where(F.col("words") + max_null > F.col("last")).join(had, keys).select(*keys, "size", "had"))
         settled = turn.join(enough.where("size = had"), keys, "left_semi").select(*keys, "w", "d").distinct()

@@ -48,6 +48,15 @@ def grown(df: DataFrame) -> DataFrame:
     return cut(df).hint("merge")
 
 
+def together(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the rows of equal keys in one partition. Distinct rows, windows and joins by these keys
+    and others then need no exchange of their own, at any size: joins may be by more columns than
+    those that rows are dealt by, and no table is sent whole in place of its exchange."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).hint("merge")
+
+
 class Parts:
     """A table that grows by parts, each computed once and written to a folder of its own. What reads
     it has one scan, however many parts there are, so that plans of loops do not grow with turns.

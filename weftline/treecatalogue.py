@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions.connectors import parsed
 from weftline.operators import constituents, forest, linkages, parsing, paths, power, relevance, rulepruning, sentences, trees, wordforms, wordgraph
 from weftline.operators.sentences import KIND
-from weftline.plans.lineage import cut, grown
+from weftline.plans.lineage import cut, grown, together
 from weftline.registry import _WORDS, KEYS, _values
 from weftline.sources import trees as source
 
@@ -226,8 +226,8 @@ def gr_power_swept(spark, sf_dir):
     """Connectors of clauses and the distances at which they may link: as made, after a turn to
     the left, and after one to the right."""
     g, kinds = source.grammar(spark), _kinds(spark, sf_dir)
-    made = cut(power.bounded(_made(kinds, g), KIND, g))
-    left = cut(power.half_turn(made, KIND, g, "-"))
+    made = together(cut(power.bounded(_made(kinds, g), KIND, g)), KIND)
+    left = together(cut(power.half_turn(made, KIND, g, "-")), KIND)
     steps = {"made": made, "left": left, "right": power.half_turn(left, KIND, g, "+")}
     rows = [x.groupBy("kind", "name").agg(*_sums()).select(F.lit(k).alias("step"), "*") for k, x in steps.items()]
     return _weighed(rows[0].union(rows[1]).union(rows[2]), kinds).groupBy("step", "name").agg(*_totals())
@@ -259,7 +259,7 @@ def gr_crossed(spark, sf_dir):
     """Connectors and their distances after a turn to either side, without what would cross the
     links that sentences must have, and the number of such links."""
     g, kinds = source.grammar(spark), _kinds(spark, sf_dir)
-    rows = cut(power.half_turn(power.half_turn(power.bounded(_made(kinds, g), KIND, g), KIND, g, "-"), KIND, g, "+"))
+    rows = together(cut(power.half_turn(power.half_turn(power.bounded(_made(kinds, g), KIND, g), KIND, g, "-"), KIND, g, "+")), KIND)
     n = power.mandatory(rows, KIND).join(kinds.counts(), "kind").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_links"))
     out = _weighed(power.crossed(rows, KIND).groupBy("kind", "name").agg(*_sums()), kinds).groupBy("name").agg(*_totals())
     return out.join(F.broadcast(n))
