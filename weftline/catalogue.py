@@ -38,6 +38,12 @@ def _lower(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.tokens(_sents(spark, sf_dir), KEYS).where("w > 0").withColumn("word", F.lower("word"))
 
 
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """keys, lists: the same words, a row for each sentence."""
+    sents = _sents(spark, sf_dir).select(*KEYS, F.transform(sentences.word_list(), F.lower).alias("words"))
+    return pairs.gathered(sents, KEYS)
+
+
 def _known(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted({(w,) for w, _ in _CLOSED}), "word string")
 
@@ -164,21 +170,19 @@ mi AS (SELECT l, r, n, round(-log2((n * (sum(n) OVER ())::BIGINT)::DOUBLE / ((su
 @query(f"WITH {_PAIRS} SELECT l, r, n FROM cnt")
 def gr_pairs(spark, sf_dir):
     """Word pairs up to three words apart, seen twice at least."""
-    return pairs.counts(pairs.sentence_pairs(_lower(spark, sf_dir), KEYS))
+    return pairs.counts(_listed(spark, sf_dir).select(F.inline(pairs.listed())))
 
 
 @query(f"WITH {_PAIRS} SELECT l, r, n, cost FROM mi")
 def gr_pair_costs(spark, sf_dir):
     """Their mutual information as costs."""
-    return pairs.costs(pairs.counts(pairs.sentence_pairs(_lower(spark, sf_dir), KEYS)))
+    return pairs.costs(pairs.counts(_listed(spark, sf_dir).select(F.inline(pairs.listed()))))
 
 
 @query(f"WITH {_PAIRS} SELECT conv_id, turn, s, count(*) AS n, count(cost) AS n_known, round(sum(coalesce(cost, {pairs.ANY_COST})), 3) AS cost FROM prs LEFT JOIN mi USING (l, r) GROUP BY conv_id, turn, s")
 def gr_local_pairs(spark, sf_dir):
     """Each sentence's own pairs: how many the table knows, and what they cost together."""
-    p = pairs.sentence_pairs(_lower(spark, sf_dir), KEYS)
-    out = pairs.local(p, pairs.costs(pairs.counts(p)))
-    return out.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("known"), 1)).alias("n_known"), F.round(F.sum("cost"), 3).alias("cost"))
+    return pairs.local_sums(_listed(spark, sf_dir), KEYS).withColumn("cost", F.round("cost", 3))
 
 
 _CONS = f"""{_WORDS},

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.plans.lineage import cut
@@ -23,8 +23,12 @@ def sentences(texts: DataFrame, keys: list[str]) -> DataFrame:
 
 def tokens(sents: DataFrame, keys: list[str]) -> DataFrame:
     """keys, w (0: the wall) and word of every token, punctuation stripped off its ends."""
-    split = F.filter(F.transform(F.split("sentence", r"\s+"), lambda t: F.regexp_replace(t, STRIPPED, "")), lambda t: t != "")
-    return sents.select(*keys, F.posexplode(F.concat(F.array(F.lit(WALL)), split)).alias("w", "word"))
+    return sents.select(*keys, F.posexplode(F.concat(F.array(F.lit(WALL)), word_list())).alias("w", "word"))
+
+
+def word_list() -> Column:
+    """The words of a sentence in order, as tokens() has them behind the wall."""
+    return F.filter(F.transform(F.split("sentence", r"\s+"), lambda t: F.regexp_replace(t, STRIPPED, "")), lambda t: t != "")
 
 
 def lookup(toks: DataFrame, keys: list[str]) -> DataFrame:
