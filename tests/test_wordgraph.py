@@ -69,3 +69,18 @@ def test_graphs(spark):
 
 def test_graphs_of_nothing(spark):
     assert wordgraph.graphs(spark.createDataFrame([], "k int, text string"), ["k"]).count() == 0
+
+
+def test_bare_tokens_meet_no_table(spark):
+    """Texts of bare tokens send none of them to the table of graphs; others tell their edges to both sides."""
+    texts = [(0, "one two six"), (1, "Six one (Two) three-four six"), (2, "(a) (b)"), (3, "One"), (4, "x"), (5, "walk walking One")]
+    got = {r["k"]: tuple(r)[1:] for r in wordgraph.graphs(spark.createDataFrame(texts, "k int, text string"), ["k"]).collect()}
+    assert got[0] == (3, 3, 3, 2) and got[4] == (1, 1, 1, 0)
+    types = spark.createDataFrame([(t,) for _, x in texts for t in x.split()], "token string").distinct()
+    table = {r["token"]: r for r in wordgraph.flattened(wordgraph.issued(types, types.withColumnRenamed("token", "word"))).collect()}
+    for k, x in texts:
+        ts = [table[t] for t in x.split()]
+        edges = sum(t["edges"] for t in ts) + sum(a["tails"] * b["heads"] for a, b in zip(ts, ts[1:]))
+        assert got[k] == (len(ts), sum(t["slots"] for t in ts), sum(t["words"] for t in ts), edges), k
+    bare = {r["token"] for r in types.where(wordgraph.bare()).collect()}
+    assert {"one", "x", "walk"} <= bare and not {"One", "(a)", "walking", "three-four"} & bare

@@ -6,7 +6,7 @@ their tokens' graphs up, end to end."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.plans.lineage import cut
@@ -86,13 +86,29 @@ def flattened(rows: DataFrame) -> DataFrame:
     return done
 
 
+def bare() -> Column:
+    """Whether a token has no alternative by its letters: its graph is one word, whatever others are."""
+    t = F.col("token")
+    return ~t.rlike(LEFT) & ~t.rlike(RIGHT) & ~t.rlike(UNIT) & ~t.rlike(MIDDLE) & ~t.rlike(SUFFIX) & (F.lower(t) == t)
+
+
 def graphs(texts: DataFrame, keys: list[str]) -> DataFrame:
     """texts(keys, text) as keys, tokens, slots, words and edges of each text's graph. A text
-    without tokens gives no row; texts of equal keys are one, so keys must tell texts apart."""
-    toks = tokens(texts, keys)
-    types = cut(toks.select("token").distinct())
-    table = cut(flattened(issued(types, types.select(F.col("token").alias("word")))))
-    rows = toks.join(table, "token")
-    after = F.lead("heads").over(Window.partitionBy(*keys).orderBy("i"))
-    rows = rows.withColumn("join", F.coalesce(F.col("tails") * after, F.lit(0)))
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("tokens"), F.sum("slots").alias("slots"), F.sum("words").alias("words"), F.sum(F.col("edges") + F.col("join")).alias("edges"))
+    without tokens gives no row; texts of equal keys are one, so keys must tell texts apart.
+
+    A bare token is one word, with one edge to another beside it. Texts count their tokens as if all
+    were bare, and only the others meet the table of graphs, to tell what they add to that."""
+    types = cut(tokens(texts, keys).select("token").distinct())
+    table = cut(flattened(issued(types, types.select(F.col("token").alias("word")))).where(~bare()))
+    split = texts.select(*keys, F.filter(F.split("text", r"\s+"), lambda t: t != "").alias("t")).select(*keys, F.size("t").alias("n"), "t")
+    rows = split.select(*keys, "n", F.posexplode("t").alias("i", "token")).where(~bare()).join(table, "token")
+    order = Window.partitionBy(*keys).orderBy("i")
+    beside = lambda at, step: F.coalesce(at == F.col("i") + step, F.lit(False))
+    follows, comes = beside(F.lead("i").over(order), 1), beside(F.lag("i").over(order), -1)
+    after = F.when(F.col("i") == F.col("n") - 1, 0).otherwise(F.col("tails") * F.when(follows, F.lead("heads").over(order)).otherwise(1) - 1)
+    before = F.when((F.col("i") == 0) | comes, 0).otherwise(F.col("heads") - 1)  # a token before it that is not bare tells its own edges
+    more = rows.select(*keys, F.lit(0).cast("long").alias("tokens"), (F.col("slots") - 1).alias("slots"), (F.col("words") - 1).alias("words"), (F.col("edges") + after + before).alias("edges"))
+    more = more.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("tokens", "slots", "words", "edges")))
+    n = F.col("n").cast("long")
+    own = split.where("n > 0").select(*keys, n.alias("tokens"), n.alias("slots"), n.alias("words"), (n - 1).alias("edges"))
+    return own.unionByName(more).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("tokens", "slots", "words", "edges")))
