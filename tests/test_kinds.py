@@ -20,6 +20,15 @@ def test_kinds(spark):
     assert sorted((r["k"], r["last"]) for r in found.spread(last).collect()) == [(0, 2), (1, 2), (2, 2), (3, 2), (4, 1)]
 
 
+def test_kinds_are_not_broadcast(spark):
+    """Tables of kinds and sentences grow with the corpus: no join sends one through the driver, however small its files."""
+    found = sentences.kinds(_words(spark, ["the dog", "a cat"]), ["k"])
+    last = found.each.select("kind", F.size("classes").alias("last"))
+    for df in (found.spread(last), found.words().join(last, "kind"), found.words().join(found.counts(), "kind")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_sweeps_agree(spark, monkeypatch):
     """Dictionaries of many names are swept by rows of connectors, to the same end."""
     words, g = _words(spark, ["the dog is on the table", "dog running in it", "the the of", "it moved the cat and dog to dogs"]), source.grammar(spark)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.plans.lineage import cut
+from weftline.plans.lineage import grown
 from weftline.sources import grammar
 
 WALL = "LEFT-WALL"
@@ -89,6 +89,6 @@ def kinds(words: DataFrame, keys: list[str]) -> Kinds:
     """The kinds of the sentences of words(keys, w, classname). Words of a null key are of no
     sentence; a word that stands twice stands twice in its kind."""
     row = F.struct("w", "classname")
-    members = cut(words.dropna(subset=keys).groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("classes")))
-    each = cut(members.groupBy("classes").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.monotonically_increasing_id()))
+    members = grown(words.dropna(subset=keys).groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("classes")))
+    each = grown(members.groupBy("classes").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.monotonically_increasing_id()))
     return Kinds(keys, each, members)
