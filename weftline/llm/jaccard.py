@@ -78,10 +78,14 @@ def sketches(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(odd, axis=1, bitorder="little").view("<i8")
 
 
+def _differing(sx: str, sy: str) -> Column:
+    """In how many bits two sketches differ."""
+    return sum((F.bit_count(F.col(sx)[i].bitwiseXOR(F.col(sy)[i])) for i in range(8)), F.lit(0))
+
+
 def _close(sx: str, sy: str, nx: str, ny: str) -> Column:
     """Whether two sketches let their sets be similar."""
-    apart = sum((F.bit_count(F.col(sx)[i].bitwiseXOR(F.col(sy)[i])) for i in range(8)), F.lit(0))
-    return apart <= F.col(nx) + F.col(ny) - 2 * F.ceil(3 * (F.col(nx) + F.col(ny)) / 7)
+    return _differing(sx, sy) <= F.col(nx) + F.col(ny) - 2 * F.ceil(3 * (F.col(nx) + F.col(ny)) / 7)
 
 
 def chosen_sets(batches: Iterator[pa.RecordBatch], chosen: KeyFilter, k: int) -> Iterator[Block]:
@@ -166,26 +170,27 @@ class Join:
         return materialised(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("o1", "o2", "tokens"))), "tokens")
 
     def links(self, pairs: DataFrame, shared: DataFrame) -> DataFrame:
-        """x, y of the distinct pairs(x, y) that are similar; with nx and ny, the sizes of their
-        sets, their sketches have been compared."""
-        # how many prefix tokens of the first order they share decides what they can share at most
-        known = "nx" in pairs.columns
-        sizes = [F.when(F.col("x") < F.col("y"), F.struct("nx", "ny")).otherwise(F.struct(F.col("ny").alias("nx"), F.col("nx").alias("ny"))).alias("s")] if known else []
-        pairs = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), *sizes).distinct()
-        if known:
-            pairs = pairs.select("x", "y", "s.nx", "s.ny")
-        else:
-            n = self.nodes.select("node", "n", "sketch")
-            pairs = pairs.join(n.toDF("x", "nx", "sx"), "x").join(n.toDF("y", "ny", "sy"), "y").where(_close("sx", "sy", "nx", "ny"))
-        pairs = materialised(pairs.where("4 * least(nx, ny) >= 3 * greatest(nx, ny)").select("x", "y", "nx", "ny"), "pairs")
+        """x, y of the distinct pairs(x, y) that are similar."""
+        pairs = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        n = self.nodes.select("node", "n", "sketch")
+        pairs = pairs.join(n.toDF("x", "nx", "sx"), "x").join(n.toDF("y", "ny", "sy"), "y").where(_close("sx", "sy", "nx", "ny"))
+        pairs = self.sharing(materialised(pairs.select("x", "y", "nx", "ny"), "pairs"), shared)
+        return self.verified_links(pairs, self.tokens_of(_nodes_of(pairs)))
+
+    def sharing(self, pairs: DataFrame, shared: DataFrame) -> DataFrame:
+        """The pairs(x, y, nx, ny, ...) that share as many prefix tokens of the first order as
+        their sizes take: that decides what they can share at most."""
+        pairs = pairs.where("4 * least(nx, ny) >= 3 * greatest(nx, ny)")
         both = pairs.join(shared.withColumnsRenamed({"node": "x", "keys": "kx"}), "x").join(shared.withColumnsRenamed({"node": "y", "keys": "ky"}), "y")
         rest = F.greatest(*(F.floor(3 * F.col(c) / 4) for c in ("nx", "ny")))  # tokens after the longer prefix, at most
-        both = both.where(F.size(F.array_intersect("kx", "ky")) + rest >= F.ceil(3 * (F.col("nx") + F.col("ny")) / 7)).select("x", "y")
-        pairs = materialised(both, "pairs")
-        tokens = self.tokens_of(pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct())
+        both = both.where(F.size(F.array_intersect("kx", "ky")) + rest >= F.ceil(3 * (F.col("nx") + F.col("ny")) / 7))
+        return materialised(both.select(*pairs.columns), "pairs")
+
+    def verified_links(self, pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+        """x, y of the pairs that are similar, by the tokens of their nodes."""
         # the other orders' filters: prefixes meet, the sets stay where they are
         orders = tokens.select("node", "o1", "o2")
-        met = pairs.join(orders.toDF("x", "ax", "bx"), "x").join(orders.toDF("y", "ay", "by"), "y")
+        met = pairs.select("x", "y").join(orders.toDF("x", "ax", "bx"), "x").join(orders.toDF("y", "ay", "by"), "y")
         pairs = materialised(met.where(F.arrays_overlap("ax", "ay") & F.arrays_overlap("bx", "by")).select("x", "y"), "pairs")
         sets = tokens.select("node", "tokens")
         met = pairs.join(sets.toDF("x", "tx"), "x").join(sets.toDF("y", "ty"), "y")
@@ -202,7 +207,11 @@ class Join:
         found = self.links(pairs.unionByName(_with_pivot(many)), shared)
         roots = components(found)
         own = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(self.nodes.select("node", "sketch"), "node")
-        return components(found.unionByName(self.links(_across(own), shared)))
+        pairs = self.sharing(materialised(_across(own), "across"), shared)
+        tokens = self.tokens_of(_nodes_of(pairs))
+        # a node and the one of another component that is nearest to it, then what that leaves apart
+        roots = components(_stars(roots).unionByName(self.verified_links(_nearest(pairs), tokens)))
+        return components(_stars(roots).unionByName(self.verified_links(_apart(pairs, roots), tokens)))
 
 
 def first_order(t: np.ndarray, at: np.ndarray, heavy: KeyFilter) -> tuple[np.ndarray, np.ndarray]:
@@ -248,10 +257,34 @@ def _with_pivot(own: DataFrame) -> DataFrame:
     return own.join(pivot, ["key", "size"]).where(_first_common("nx", "rx", "n", "rank")).select("x", F.col("node").alias("y")).distinct()
 
 
+def _nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct()
+
+
+def _stars(roots: DataFrame) -> DataFrame:
+    """Links that make the same components: a node and its root."""
+    return roots.where("node <> root").select(F.col("node").alias("x"), F.col("root").alias("y"))
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of the pairs of a node with nodes of another component, that of the least different sketches."""
+    best = pairs.groupBy("x", "rooty").agg(F.min(F.struct("bits", "y")).alias("p"))
+    return best.select("x", "p.y")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose components are still two."""
+    met = pairs.select("rootx", "rooty").distinct()
+    for c in ("rootx", "rooty"):
+        met = met.join(roots.toDF(c, f"{c}_now"), c, "left").withColumn(f"{c}_now", F.coalesce(f"{c}_now", c))
+    met = materialised(met.where("rootx_now <> rooty_now").select("rootx", "rooty"), "apart")
+    return pairs.join(met, ["rootx", "rooty"], "left_semi").select("x", "y").distinct()
+
+
 def _across(own: DataFrame) -> DataFrame:
     """All pairs of a key's nodes of different components that can be similar if the key is
     their first common one: those outside the key's largest component with every node of
-    another one."""
+    another one; with their components and the bits in which their sketches differ."""
     own = materialised(own.select("key", "node", "root", "rank", "n", "sketch").dropDuplicates(["key", "node"]), "own")
     sizes = own.groupBy("key", "root").agg(F.count(F.lit(1)).alias("s"))
     most = sizes.groupBy("key").agg(F.max(F.struct("s", "root")).alias("most"), F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -261,7 +294,8 @@ def _across(own: DataFrame) -> DataFrame:
     b = mixed_keys.select("key", F.col("node").alias("y"), F.col("root").alias("rooty"), F.col("most").alias("mosty"), F.col("n").alias("ny"), F.col("rank").alias("ry"), F.col("sketch").alias("sy"))
     # two nodes outside the largest component meet once
     met = a.join(b, "key").where((F.col("rootx") != F.col("rooty")) & ((F.col("rooty") == F.col("mosty")) | (F.col("x") < F.col("y"))))
-    return met.where(_first_common("nx", "rx", "ny", "ry") & _close("sx", "sy", "nx", "ny")).select("x", "y", "nx", "ny").distinct()
+    met = met.where(_first_common("nx", "rx", "ny", "ry") & _close("sx", "sy", "nx", "ny"))
+    return met.select("x", "y", "nx", "ny", "rootx", "rooty", _differing("sx", "sy").alias("bits")).distinct()
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
