@@ -3,8 +3,8 @@
 A text's UTF-8 bytes, padded, are the samples of an 8-bit mono WAV file. The file is cut where
 a rolling gear hash of its last 32 bytes has zero bits, so that equal passages of different
 files fall into equal chunks. Chunks are known by digests; Spark joins find those that several
-files share, which are stored once; a file of which no chunk is shared is stored as the row of
-its chunks. A file's ordered list of digests rebuilds it, and its digest verifies it.
+files share, which are stored once; a file's other chunks stand in its own row, where it
+was read. A file's ordered list of digests rebuilds it, and its digest verifies it.
 """
 
 from __future__ import annotations
@@ -125,8 +125,8 @@ def manifests(docs: DataFrame) -> DataFrame:
 
 class ChunkStore:
     """The files of docs(doc_id, text), stored: `manifest` lists every document's file, `whole`
-    holds files none of whose chunks another file has, as rows of chunks, and `chunks` each
-    chunk of the other files once."""
+    holds a row for each file with the chunks that no other file has, null in place of the rest
+    (`shared`: where), and `chunks` each chunk of several files once."""
 
     def __init__(self, docs: DataFrame):
         spark = docs.sparkSession
@@ -138,40 +138,45 @@ class ChunkStore:
         # copies of a file are read once: the filter passes at least one document of each
         owners = spark.sparkContext.broadcast(key_filter(self.files.select(F.xxhash64("doc_id").alias("k")), "k"))
 
-        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[bytes], list[bytes], bool]]:
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[bytes], list[bytes], np.ndarray]]:
             for batch in batches:
                 for v in batch.filter(pa.array(owners.value.passes(spark_hashes(batch.column("doc_id"))))).column("text"):
                     media = encoded(payload_of(v.as_py())[1])
                     bodies = chunked(media)
                     digests = [digest(c) for c in bodies]
-                    yield digest(media), digests, bodies, bool(shared.value.passes(_filter_keys(digests)).any())
+                    yield digest(media), digests, bodies, shared.value.passes(_filter_keys(digests))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in _lots((m, d, b) for m, d, b, s in chosen(batches) if not s):
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), *(pa.array([r[i] for r in rows], pa.list_(pa.binary())) for i in (1, 2))], names=["media", "digests", "bodies"])
+            for rows in _lots((m, np.flatnonzero(s).tolist(), d, [None if x else y for x, y in zip(s, b, strict=True)]) for m, d, b, s in chosen(batches)):
+                kinds = [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["media", "shared", "digests", "bodies"])
 
         def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in _lots(x for _, d, b, s in chosen(batches) if s for x in zip(d, b, strict=True)):
+            for rows in _lots(x for _, *file in chosen(batches) for *x, s in zip(*file, strict=True) if s):
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], names=["digest", "body"])
 
         texts = docs.select(F.col("doc_id").cast("long"), "text")
-        self.whole = materialised(texts.mapInArrow(whole, "media binary, digests array<binary>, bodies array<binary>"), "whole")
+        self.whole = materialised(texts.mapInArrow(whole, "media binary, shared array<int>, digests array<binary>, bodies array<binary>"), "whole")
         chunks = texts.mapInArrow(parts, "digest binary, body binary").groupBy("digest").agg(F.first("body").alias("body"))
         self.chunks = materialised(chunks, "chunks")
 
     def read(self) -> DataFrame:
         """media, media_sha256, media_bytes, payload_bytes, payload_sha256, tail_crc32 and feature of every
         file, from its stored bytes; a file that does not have its digest is an error."""
-        stored = self.whole.select("media", "bodies")
-        refs = self.files.join(self.whole.select("media"), "media", "left_anti").select("media", F.posexplode("digests").alias("pos", "digest"))
-        met = refs.join(self.chunks, "digest").groupBy("media").agg(F.array_sort(F.collect_list(F.struct("pos", "body"))).alias("c"))
-        rebuilt = met.select("media", F.col("c.body").alias("bodies"))
+        stored = self.whole.where("size(shared) = 0").select("media", "bodies")
+        some = self.whole.where("size(shared) > 0")
+        refs = some.select("media", "digests", F.explode("shared").alias("pos")).select("media", "pos", F.expr("digests[pos]").alias("digest"))
+        met = refs.join(self.chunks, "digest").groupBy("media").agg(F.collect_list(F.struct("pos", "body")).alias("c"))
+        rebuilt = some.select("media", "bodies").join(met, "media", "left")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = []
-                for name, bodies in zip(batch.column("media").to_pylist(), batch.column("bodies"), strict=True):
-                    media = b"".join(bodies.as_py())
+                for name, bodies, *others in zip(batch.column("media").to_pylist(), *batch.columns[1:], strict=True):
+                    own = bodies.as_py()
+                    for c in (x for o in others for x in o.as_py() or ()):
+                        own[c["pos"]] = c["body"]
+                    media = b"".join(x or b"" for x in own)
                     if digest(media) != name:
                         raise ValueError(f"the chunks of {name.hex()} make another file")
                     p = decoded(media)
@@ -182,7 +187,7 @@ class ChunkStore:
 
         schema = "media binary, media_sha256 string, media_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
         found = stored.mapInArrow(run, schema).unionByName(rebuilt.mapInArrow(run, schema))
-        if stored.count() > stored.select("media").distinct().count():  # the filter passed copies of a file too
+        if self.whole.count() > self.whole.select("media").distinct().count():  # the filter passed copies of a file too
             found = found.dropDuplicates(["media"])
         return materialised(found, "read")
 
@@ -192,7 +197,7 @@ def _lots(rows: Iterator[tuple], size: int = 4 << 20) -> Iterator[list[tuple]]:
     lot, held = [], 0
     for r in rows:
         lot.append(r)
-        held += len(r[-1]) if isinstance(r[-1], bytes) else sum(map(len, r[-1]))
+        held += len(r[-1]) if isinstance(r[-1], bytes) else sum(len(x or b"") for x in r[-1])
         if held >= size:
             yield lot
             lot, held = [], 0
