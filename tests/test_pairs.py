@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from weftline.operators import pairs
+from weftline.plans.lineage import cut
 
 
 def _sentences(spark):
@@ -29,3 +30,12 @@ def test_local_sums(spark):
     out = pairs.local_sums(sents, ["k"])
     assert sorted(map(tuple, want.collect())) == sorted(map(tuple, out.withColumn("cost", F.round("cost", 3)).collect()))
     assert "LeftOuter" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_are_not_broadcast(spark):
+    """However small the files are that they come from, neither pairs nor their table go whole through the driver."""
+    sents = pairs.gathered(cut(_sentences(spark)), ["k"])
+    out = pairs.local_sums(sents, ["k"])
+    assert out.count() == 3
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in pairs.costs(pairs.counts(sents.select(F.inline(pairs.listed()))))._jdf.queryExecution().executedPlan().toString()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.plans.lineage import grown
+
 #: What a link costs that the table of pairs does not know.
 ANY_COST = 4.5
 
@@ -35,7 +37,9 @@ def counts(pairs: DataFrame, least: int = 2) -> DataFrame:
 
 
 def costs(n: DataFrame) -> DataFrame:
-    """l, r, n and cost: minus the pointwise mutual information in bits, by the table's sums."""
+    """l, r, n and cost: minus the pointwise mutual information in bits, by the table's sums. The
+    table is made once and shuffled to its joins."""
+    n = grown(n)
     left = n.groupBy("l").agg(F.sum("n").alias("nl"))
     right = n.groupBy("r").agg(F.sum("n").alias("nr"))
     total = n.agg(F.sum("n").alias("total"))  # one row
@@ -54,9 +58,10 @@ def local_sums(sents: DataFrame, keys: list[str], reach: int = 3, least: int = 2
     """keys, n, n_known and cost of each gathered sentence's pairs, by the table of all sentences'.
     Pairs that the table does not know have one cost, so that a sentence's number of them is enough
     and only known ones are sent back to it. Costs have six decimals and are added up as whole numbers
-    of millionths, so that no order of rows changes a sum."""
+    of millionths, so that no order of rows changes a sum. By the size of the files that they come
+    from, pairs would look small enough to be sent whole through the driver: they are shuffled."""
     p = sents.select(*keys, F.inline(listed(reach)))
-    met = p.select(*keys, "l", "r").join(costs(counts(p, least)).select("l", "r", "cost"), ["l", "r"])
+    met = p.hint("merge").select(*keys, "l", "r").join(costs(counts(p, least)).select("l", "r", "cost"), ["l", "r"])
     none = F.lit(0).cast("long")
     rows = sents.select(*keys, F.size(listed(reach)).cast("long").alias("n"), none.alias("n_known"), none.alias("cost")).where("n > 0")
     rows = rows.unionByName(met.select(*keys, none.alias("n"), F.lit(1).cast("long").alias("n_known"), F.round(F.col("cost") * 1e6).cast("long").alias("cost")))
