@@ -89,3 +89,17 @@ def test_rows_are_dealt_once(spark):
     own = [x for x in by if re.search(r"\bk#", x)]  # others deal the dictionary's rows
     assert own and all(re.fullmatch(r"k#\d+, \d+", x) for x in own), by
     assert "SortMergeJoin" in plan
+
+
+def test_half_turns_are_made_once(spark):
+    """The second half turn reads what the first one wrote: no half turn is worked out anew for each of its three reads."""
+    from weftline.plans.lineage import cut
+
+    g = source.grammar(spark)
+    rows = [(0, 0, 2, 0, ["Wd+"]), (0, 1, 2, 0, ["Ds+"]), (0, 1, 2, 1, ["Wd-", "Ss+"]), (0, 2, 2, 0, ["Ds-", "Wd-"]), (0, 2, 2, 1, ["S*-"])]
+    start = cut(power.bounded(spark.createDataFrame(rows, "k int, w int, last int, d int, connectors array<string>"), KEYS, g))
+    nested = power.half_turn(power.half_turn(start, KEYS, g, "-"), KEYS, g, "+")
+    turned = power.turned(start, KEYS, g)
+    assert sorted(map(tuple, nested.collect())) == sorted(map(tuple, turned.collect())) != []
+    reads = lambda df: df._jdf.queryExecution().analyzed().toString().count("Relation [k")
+    assert reads(turned) <= 3 < reads(nested)

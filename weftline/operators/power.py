@@ -63,6 +63,12 @@ def half_turn(rows: DataFrame, keys: list[str], g: Grammar, to: str, max_null: i
     return _whole(side.select(*rows.columns), keys)
 
 
+def turned(rows: DataFrame, keys: list[str], g: Grammar, max_null: int = 0) -> DataFrame:
+    """rows after a half turn to the left and one to the right. A half turn reads its rows three times,
+    so that those of the first are made once and written, not worked out anew for each of the three."""
+    return half_turn(together(cut(half_turn(rows, keys, g, "-", max_null)), keys), keys, g, "+", max_null)
+
+
 def mandatory(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, a, b: the links between words a < b that every clause of one of the two words needs:
     each has a connector that can end at the other word only."""
@@ -100,13 +106,13 @@ def pruned(clauses: DataFrame, keys: list[str], g: Grammar, max_null: int = 0, c
     each turn also takes away what would cross mandatory links."""
     if cross and max_null:
         raise ValueError("links are mandatory only where all words are linked")
-    rows, last = bounded(clauses, keys, g), together(clauses.select(*keys, "last"), keys).groupBy(*keys).agg(F.first("last").alias("last"))
+    rows, last = together(cut(bounded(clauses, keys, g)), keys), together(clauses.select(*keys, "last"), keys).groupBy(*keys).agg(F.first("last").alias("last"))
     size = lambda df: df.groupBy(*keys).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("size"), F.size(F.collect_set("w")).alias("words"))
     enough = size(rows).join(last, keys).where(F.col("words") + max_null > F.col("last")).select(*keys, F.col("size").alias("had"))
     rows, done = cut(rows.join(enough, keys)), Parts(clauses.sparkSession)
     for at in count(1):
         rows = together(rows, keys)
-        turn = together(cut(half_turn(half_turn(rows.drop("had"), keys, g, "-", max_null), keys, g, "+", max_null)), keys)
+        turn = together(cut(turned(rows.drop("had"), keys, g, max_null)), keys)
         turn = together(cut(crossed(turn, keys)), keys) if cross else turn
         had = rows.select(*keys, "had").distinct()
         enough = cut(size(turn).join(last, keys).where(F.col("words") + max_null > F.col("last")).join(had, keys).select(*keys, "size", "had"))

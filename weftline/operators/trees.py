@@ -6,6 +6,7 @@ over it, within a row: backwards from operands to parents, forwards from parents
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame, Window
@@ -37,6 +38,21 @@ def whole(words: DataFrame, g: Grammar) -> DataFrame:
     return words.join(g.classes.select("classname", live.alias("live")), "classname")
 
 
+#: What stays of a shape: an AND goes with any of its operands, an OR with all of them, and what stands under a node that goes.
+_DOWN = "aggregate(nodes, cast(array() as array<int>), (acc, x) -> if(least[x.node] is not null and (x.parent is null or array_contains(acc, x.parent)), concat(acc, array(x.node)), acc))"
+# a lambda's variable holds the costs, so that they are worked out once a row
+STAY = f"transform(array({LEAST}), least -> {_DOWN})[0]"
+
+#: So many shapes are sent to all tasks; more are joined like any table.
+MOST_SHAPES = 100_000
+
+
+def _sent(shapes: DataFrame) -> DataFrame:
+    """shapes, computed once and sent to all tasks where they are few."""
+    shapes = cut(shapes)
+    return F.broadcast(shapes) if shapes.limit(MOST_SHAPES + 1).count() <= MOST_SHAPES else shapes.hint("merge")
+
+
 #: Dictionaries of more names are swept by rows of connectors.
 MOST_NAMES = 64
 
@@ -52,31 +68,35 @@ def swept(state: DataFrame, keys: list[str], g: Grammar, to: str) -> DataFrame:
 
     A sentence's words pass by once in each direction: the nearest place before a word that
     answers a name is a running maximum, the nearest one behind it a running minimum. Rows are
-    words, not connectors, and the windows of a sentence share one exchange."""
-    found = g.leaves.select("dir", "name").distinct().orderBy("name").limit(MOST_NAMES + 1).collect()  # the dictionary's
+    words, not connectors, and the windows of a sentence share one exchange. A word's row holds
+    the names that it answers and those that it finds answered as the bits of one number; what
+    these leave of a shape is worked out once for all words alike."""
+    found = g.leaves.select("dir", "name", "reach").distinct().orderBy("name").limit(MOST_NAMES + 1).collect()  # the dictionary's
     if len(found) > MOST_NAMES:
         return _swept_by_name(state, keys, g, to)
-    at = {r["name"]: i for i, r in enumerate(found)}
     spark = state.sparkSession
-    number = F.broadcast(spark.createDataFrame(list(at.items()), "name string, i int"))
-    # what each node of a class goes by, and the names that ask for it
-    asked = g.matching.select("a", "b").union(g.matching.select("b", "a")).toDF("name", "ask").join(number.toDF("ask", "j"), "ask").groupBy("name").agg(F.collect_list("j").alias("asked"))
-    leaf = F.struct("node", "i", "dir", "reach", F.coalesce("asked", F.expr("cast(array() as array<int>)")).alias("asked"))
+    number = F.broadcast(spark.createDataFrame([(r["name"], i) for i, r in enumerate(found)], "name string, i int"))
+    # the bit of what each node of a class goes by, and those of the names that ask for it
+    asked = g.matching.select("a", "b").union(g.matching.select("b", "a")).toDF("name", "ask").join(number.toDF("ask", "j"), "ask").groupBy("name").agg(F.expr("bit_or(shiftleft(1L, j))").alias("asked"))
+    leaf = F.struct(F.expr("shiftleft(1L, i)").alias("own"), F.coalesce("asked", F.lit(0).cast("long")).alias("asked"))
     table = cut(g.leaves.join(number, "name").join(asked, "name", "left").groupBy("classname").agg(F.map_from_entries(F.collect_list(F.struct("node", leaf))).alias("by")))
-    rows = state.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).join(F.broadcast(table) if g.small else table, "classname")
-    rows = rows.withColumn("own", F.transform("live", lambda x: F.col("by")[x])).drop("by", "live")
-    rows = rows.withColumn("answers", F.array_distinct(F.flatten("own.asked")))
+    table = F.broadcast(table) if g.small else table
+    shapes = state.select(*SHAPE).distinct().join(table, "classname").select(*SHAPE, F.expr("aggregate(live, 0L, (a, x) -> a | by[x].asked)").alias("answers"))
+    rows = state.join(_sent(shapes), SHAPE).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
     # the nearest words that answer each name, by a window for each direction
     before = Window.partitionBy(*keys).orderBy("w").rangeBetween(Window.unboundedPreceding, -1)
     behind = Window.partitionBy(*keys).orderBy(-F.col("w")).rangeBetween(Window.unboundedPreceding, -1)
-    place = lambda i: F.when(F.array_contains("answers", i), F.col("w"))
-    nearest = lambda r: (F.max(place(at[r["name"]])).over(before) if r["dir"] == "-" else F.min(place(at[r["name"]])).over(behind)) if r["dir"] in to else F.lit(None).cast("int")
-    rows = rows.select("*", *(nearest(r).alias(f"__{i}") for i, r in enumerate(found)))
-    near = F.array(*(F.col(f"__{i}") for i in range(len(found))), F.lit(None).cast("int"))
-    fits = lambda x, n: ~x["dir"].isin(*to) | F.coalesce(F.abs(F.col("w") - n[x["i"]]) <= x["reach"], F.lit(False))
-    # a lambda's variable holds the places, so that they are put together once a row
-    live = F.transform(F.array(near), lambda n: F.transform(F.filter("own", lambda x: fits(x, n)), lambda x: x["node"]))[0]
-    return purged(rows.withColumn("live", live).where("size(live) > 0").select(*state.columns), g)
+    bit = lambda i: F.expr(f"shiftleft(1L, {i})")
+    place = lambda i: F.when(F.col("answers").bitwiseAND(bit(i)) != 0, F.col("w"))
+    nearest = lambda i, r: F.max(place(i)).over(before) if r["dir"] == "-" else F.min(place(i)).over(behind)
+    asks = [(i, r) for i, r in enumerate(found) if r["dir"] in to]
+    rows = rows.select("*", *(nearest(i, r).alias(f"__{i}") for i, r in asks))
+    fits = [F.when(F.abs(F.col("w") - F.col(f"__{i}")) <= r["reach"], bit(i)).otherwise(F.lit(0).cast("long")) for i, r in asks]
+    ok = reduce(lambda x, y: x.bitwiseOR(y), fits + [bit(i) for i, r in enumerate(found) if r["dir"] not in to], F.lit(0).cast("long"))
+    rows = cut(rows.select(*state.columns, ok.alias("ok")))
+    each = rows.select(*SHAPE, "ok").distinct().join(table, "classname").select("classname", F.col("live").alias("was"), "ok", F.expr("filter(live, x -> by[x].own & ok <> 0)").alias("live"))
+    each = each.join(g.classes, "classname").select("classname", F.col("was").alias("live"), "ok", F.array_intersect("live", F.expr(STAY)).alias("left")).where("size(left) > 0")
+    return rows.join(_sent(each), [*SHAPE, "ok"]).drop("live", "ok").withColumnRenamed("left", "live").select(*state.columns)
 
 
 def _swept_by_name(state: DataFrame, keys: list[str], g: Grammar, to: str) -> DataFrame:
@@ -97,23 +117,13 @@ def _swept_by_name(state: DataFrame, keys: list[str], g: Grammar, to: str) -> Da
     return purged(met.groupBy(*(c for c in state.columns if c != "live")).agg(live).select(*state.columns), g)
 
 
-#: So many shapes are sent to all tasks; more are joined like any table.
-MOST_SHAPES = 100_000
-
-
 def purged(state: DataFrame, g: Grammar) -> DataFrame:
     """state with what the loss of connectors takes along: an AND goes with any of its operands,
     an OR with all of them, and what stands under a node that goes. Words with nothing left go.
     Many words share a class and a live set, so that each such shape is worked out once."""
     state = cut(state)
-    stays = "least[x.node] is not null and (x.parent is null or array_contains(acc, x.parent))"
-    down = f"aggregate(nodes, cast(array() as array<int>), (acc, x) -> if({stays}, concat(acc, array(x.node)), acc))"
-    # a lambda's variable holds the costs, so that they are worked out once a row
-    stay = F.expr(f"transform(array({LEAST}), least -> {down})[0]")
-    shapes = cut(state.select(*SHAPE).distinct().join(g.classes, "classname").select(*SHAPE, F.array_intersect("live", stay).alias("left")))
-    few = shapes.limit(MOST_SHAPES + 1).count() <= MOST_SHAPES
-    out = state.join(F.broadcast(shapes) if few else shapes, SHAPE)
-    return out.drop("live").withColumnRenamed("left", "live").where("size(live) > 0")
+    shapes = state.select(*SHAPE).distinct().join(g.classes, "classname").select(*SHAPE, F.array_intersect("live", F.expr(STAY)).alias("left"))
+    return state.join(_sent(shapes), SHAPE).drop("live").withColumnRenamed("left", "live").where("size(live) > 0")
 
 
 def pruned(words: DataFrame, keys: list[str], g: Grammar, linked: bool = False) -> DataFrame:

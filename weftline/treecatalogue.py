@@ -57,8 +57,10 @@ def numbered(state: DataFrame, last: DataFrame, keys: list[str], g: source.Gramm
     """state(keys, w, classname, live) with last(keys, last) and the clauses of each word's shape.
     A shape's clauses come as one array: their number follows from the dictionary alone."""
     shapes = cut(state.select("classname", "live").distinct())
-    found = trees.expanded(shapes, g, cutoff).groupBy(*trees.SHAPE).agg(F.array_sort(F.collect_list(F.struct("connectors", "cost"))).alias("all"))
-    rows = state.join(found, trees.SHAPE).join(last, keys)
+    found = cut(trees.expanded(shapes, g, cutoff).groupBy(*trees.SHAPE).agg(F.array_sort(F.collect_list(F.struct("connectors", "cost"))).alias("all")))
+    # words are never sent whole through the driver to meet their clauses, however small their files are
+    few = (found.agg(F.sum(F.size("all"))).first()[0] or 0) <= trees.MOST_SHAPES
+    rows = state.hint("merge").join(last, keys).join(F.broadcast(found) if few else found.hint("merge"), trees.SHAPE)
     return rows.select(*keys, "w", "last", *trees.SHAPE, F.posexplode("all").alias("d", "x")).select(*keys, "w", "last", *trees.SHAPE, "d", "x.*")
 
 
@@ -259,7 +261,8 @@ def gr_crossed(spark, sf_dir):
     """Connectors and their distances after a turn to either side, without what would cross the
     links that sentences must have, and the number of such links."""
     g, kinds = source.grammar(spark), _kinds(spark, sf_dir)
-    rows = together(cut(power.half_turn(power.half_turn(power.bounded(_made(kinds, g), KIND, g), KIND, g, "-"), KIND, g, "+")), KIND)
+    start = together(cut(power.bounded(_made(kinds, g), KIND, g)), KIND)
+    rows = together(cut(power.turned(start, KIND, g)), KIND)
     n = power.mandatory(rows, KIND).join(kinds.counts(), "kind").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_links"))
     out = _weighed(power.crossed(rows, KIND).groupBy("kind", "name").agg(*_sums()), kinds).groupBy("name").agg(*_totals())
     return out.join(F.broadcast(n))
