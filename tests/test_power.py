@@ -103,3 +103,16 @@ def test_half_turns_are_made_once(spark):
     assert sorted(map(tuple, nested.collect())) == sorted(map(tuple, turned.collect())) != []
     reads = lambda df: df._jdf.queryExecution().analyzed().toString().count("Relation [k")
     assert reads(turned) <= 3 < reads(nested)
+
+
+def test_sentences_go_between_half_turns(spark):
+    """Of a sentence that the half turn to the left leaves a word of without a clause no row meets the one to the right."""
+    g = source.grammar(spark)
+    made = [(0, 0, 1, 0, ["Wd+"]), (0, 1, 1, 0, ["Wd-"]), (1, 0, 2, 0, ["Wd+"]), (1, 1, 2, 0, ["Wd-"]), (1, 2, 2, 0, ["Os-"])]
+    clauses = spark.createDataFrame(made, "k int, w int, last int, d int, connectors array<string>")
+    rows = power.bounded(clauses, KEYS, g)
+    last = clauses.select("k", "last").distinct()
+    assert {r["k"] for r in power.turned(rows, KEYS, g).collect()} == {0, 1}
+    assert {r["k"] for r in power.turned(rows, KEYS, g, last=last).collect()} == {0}
+    assert {r["k"] for r in power.turned(rows, KEYS, g, 1, last).collect()} == {0, 1}
+    assert sorted((r["k"], r["w"]) for r in power.pruned(clauses, KEYS, g).collect()) == [(0, 0), (0, 1)]

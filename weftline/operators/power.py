@@ -11,7 +11,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.plans.lineage import Parts, cut, together
+from weftline.plans.lineage import Parts, cut, grown, together
 from weftline.sources.trees import Grammar
 
 SIDE = ["name", "multi", "first", "lo", "hi"]
@@ -63,10 +63,21 @@ def half_turn(rows: DataFrame, keys: list[str], g: Grammar, to: str, max_null: i
     return _whole(side.select(*rows.columns), keys)
 
 
-def turned(rows: DataFrame, keys: list[str], g: Grammar, max_null: int = 0) -> DataFrame:
+def turned(rows: DataFrame, keys: list[str], g: Grammar, max_null: int = 0, last: DataFrame | None = None) -> DataFrame:
     """rows after a half turn to the left and one to the right. A half turn reads its rows three times,
-    so that those of the first are made once and written, not worked out anew for each of the three."""
-    return half_turn(together(cut(half_turn(rows, keys, g, "-", max_null)), keys), keys, g, "+", max_null)
+    so that those of the first are made once and written, not worked out anew for each of the three.
+    With last(keys, last), a sentence in which the first leaves more than max_null words without a
+    clause goes before the second, as it would behind it: half turns only take away."""
+    left = cut(half_turn(rows, keys, g, "-", max_null))
+    if last is not None:
+        left = left.join(_enough(left, keys, last, max_null).select(*keys), keys, "left_semi")
+    return half_turn(together(left, keys), keys, g, "+", max_null)
+
+
+def _enough(rows: DataFrame, keys: list[str], last: DataFrame, max_null: int) -> DataFrame:
+    """keys and size (of all intervals together) of sentences with at most max_null words without a row."""
+    size = rows.groupBy(*keys).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("size"), F.size(F.collect_set("w")).alias("words"))
+    return size.join(last, keys).where(F.col("words") + max_null > F.col("last")).select(*keys, "size")
 
 
 def mandatory(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,16 +117,15 @@ def pruned(clauses: DataFrame, keys: list[str], g: Grammar, max_null: int = 0, c
     each turn also takes away what would cross mandatory links."""
     if cross and max_null:
         raise ValueError("links are mandatory only where all words are linked")
-    rows, last = together(cut(bounded(clauses, keys, g)), keys), together(clauses.select(*keys, "last"), keys).groupBy(*keys).agg(F.first("last").alias("last"))
-    size = lambda df: df.groupBy(*keys).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("size"), F.size(F.collect_set("w")).alias("words"))
-    enough = size(rows).join(last, keys).where(F.col("words") + max_null > F.col("last")).select(*keys, F.col("size").alias("had"))
+    rows, last = together(cut(bounded(clauses, keys, g)), keys), grown(clauses.groupBy(*keys).agg(F.first("last").alias("last")))
+    enough = _enough(rows, keys, last, max_null).withColumnRenamed("size", "had")
     rows, done = cut(rows.join(enough, keys)), Parts(clauses.sparkSession)
     for at in count(1):
         rows = together(rows, keys)
-        turn = together(cut(turned(rows.drop("had"), keys, g, max_null)), keys)
+        turn = together(cut(turned(rows.drop("had"), keys, g, max_null, last)), keys)
         turn = together(cut(crossed(turn, keys)), keys) if cross else turn
         had = rows.select(*keys, "had").distinct()
-        enough = cut(size(turn).join(last, keys).where(F.col("words") + max_null > F.col("last")).join(had, keys).select(*keys, "size", "had"))
+        enough = cut(_enough(turn, keys, last, max_null).join(had, keys).select(*keys, "size", "had"))
         settled = turn.join(enough.where("size = had"), keys, "left_semi").select(*keys, "w", "d").distinct()
         done.add(settled, at)
         rows = cut(turn.join(enough.where("size < had").select(*keys, F.col("size").alias("had")), keys))
